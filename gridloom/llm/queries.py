@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, packing, warc
+from gridloom.llm import bpe, chat, near_dedup, packing, warc
 from gridloom.llm.common import stored
 
 
@@ -45,6 +45,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = bpe.encode(_table(spark, sf_dir, "documents"), path)
@@ -57,7 +62,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op6_bpe_tree, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op6_bpe_tree, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
