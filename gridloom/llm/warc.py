@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, *, name: str = "warc", archive_bytes: int =
             for page_id, url, payload, first in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
                 if out is None:
                     file = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(done):04d}.warc.gz"
-                    out, size = store.open_output_stream(f"{inner}/{file}"), 0
+                    out, size = store.open_output_stream(f"{inner}/{file}", compression=None), 0
                     done.append(f"{folder}/{file}")
                 known = not pd.isna(first)
                 data = record_bytes("revisit" if known else "response", f"urn:page:{'' if pd.isna(page_id) else int(page_id)}", url or "", bytes(payload), f"urn:page:{int(first)}" if known else None)
@@ -106,7 +106,8 @@ def write_archives(pages: DataFrame, *, name: str = "warc", archive_bytes: int =
                     out = None
         if out is not None:
             out.close()
-        yield pd.DataFrame({"path": done})
+        if done:
+            yield pd.DataFrame({"path": done})
 
     ids = pages.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     return [r["path"] for r in ids.mapInPandas(write, "path string").collect()]
@@ -239,7 +240,8 @@ def read_archives(spark: SparkSession, paths: list[str] | str, *, payloads: bool
                     if size > 32_000_000:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=columns)
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     if not paths:
         return spark.createDataFrame([], RECORD_SCHEMA)
