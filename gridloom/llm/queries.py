@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, near_dedup, packing, warc
+from gridloom.llm import bpe, chat, language_id, near_dedup, packing, warc
 from gridloom.llm.common import stored
 
 
@@ -50,6 +50,14 @@ def op4_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = language_id.fold("doc_id")
+    profiles = language_id.learn(docs.where(fold != 2))
+    found = language_id.with_language(docs.drop("lang"), profiles)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = bpe.encode(_table(spark, sf_dir, "documents"), path)
@@ -62,7 +70,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op6_bpe_tree, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
