@@ -59,20 +59,15 @@ def letter_codes(text: str | None) -> np.ndarray:
 
 def gram_counts(codes: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams as 64-bit values in ascending order and how often each occurs. A blank may only stand at an end."""
-    found, blank = [], codes == 0
-    value, inner = codes.copy(), np.zeros(len(codes), dtype=bool)
-    for n in range(1, max_n + 1):
-        if n > 1:
-            if len(value) < 2:
-                break
-            if n > 2:
-                inner = inner[:-1] | blank[n - 2 : n - 2 + len(value) - 1]
-            else:
-                inner = np.zeros(len(value) - 1, dtype=bool)
-            value = value[:-1] * _STEP + codes[n - 1 :]
-            found.append((value + np.uint64(n))[~inner])
-        else:
-            found.append(value[~blank] + np.uint64(1))
+    blank, digits = codes == 0, codes + np.uint64(1)
+    value, inner = digits, np.zeros(len(codes), dtype=bool)
+    found = [value[~blank]]
+    for n in range(2, max_n + 1):
+        if len(value) < 2:
+            break
+        inner = inner[:-1] | blank[n - 2 : len(codes) - 1] if n > 2 else inner[:-1]
+        value = value[:-1] * _STEP + digits[n - 1 :]
+        found.append(value[~inner])
     every = np.sort(np.concatenate(found))
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
     return every[first], np.diff(np.append(first, len(every)))
