@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language_id, near_dedup, packing, warc
+from gridloom.llm import bpe, chat, language_id, near_dedup, packing, pq, top_k, warc
 from gridloom.llm.common import stored
 
 
@@ -64,13 +64,23 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode("ids", path), 256).alias("decoded_sha256"))
 
 
+def op7_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(top_k.finite("embedding"))
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long")).alias("weights"))
+    return top_k.top_k(whole, F.col("vec_id") % 50 == 0, key="vec_id", weights="weights", k=5)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
 
 
+def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation)}
 
 
 def oracle_sql() -> dict[str, str]:
