@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +60,10 @@ def parallelism(spark: SparkSession) -> int:
 def blocks(rows: int, most: int, at_least: int = 1) -> int:
     """How many blocks of at most about ``most`` rows hold ``rows`` rows."""
     return max(at_least, math.ceil(rows / most))
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most ``rows`` rows, so that results are handed back in small pieces."""
+    for pdf in batches:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i : i + rows]

@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks
+from gridloom.llm.common import blocks, slices
 from gridloom.llm.tokenization import byte_level_encoder
 
 CAPACITY = 1024
 GROUPS = 1024
-#: Documents whose pieces are held at once.
-SLICE_ROWS = 1000
 
 
 def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,7 +40,7 @@ def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, en
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = byte_level_encoder(path)
-        for pdf in (b[i : i + SLICE_ROWS] for b in batches for i in range(0, len(b), SLICE_ROWS)):
+        for pdf in slices(batches):
             out = []
             for k, t in zip(pdf["key"], pdf["text"], strict=True):
                 ids = encoder.encode(t) + end

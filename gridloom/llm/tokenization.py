@@ -21,7 +21,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: 1C-1F, Latin letters, and the common typographic marks.
 _STABLE = re.compile("[\t\n\r -~¡-¬®-ɏ‐-―‘-„•…€]*")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def load_tokenizer(path: str):
@@ -106,6 +106,8 @@ class FieldEncoder:
         self.words = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], dtype=object)
 
     def encode(self, text: str) -> bytes:
+        if _STABLE.fullmatch(text):
+            text = text.lower()  # as the file's normalizer does; words are then found again in either case
         fields = re.split("[ \t\n\r]+", text) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.ids.__getitem__, fields))
 
