@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language_id, near_dedup, packing, pq, top_k, warc
+from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, packing, pq, top_k, warc
 from gridloom.llm.common import stored
 
 
@@ -27,6 +27,13 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits.withColumnRenamed("full_bytes", "payload_bytes"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that keep a line: the lines that stay, how many there were, and a digest of the new text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    done = line_dedup.without_repeated_lines(docs)
+    return done.select("doc_id", "n_lines", F.size(F.split("text", "\n")).cast("long").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -80,7 +87,7 @@ def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_fuzzy_lines, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation)}
 
 
 def oracle_sql() -> dict[str, str]:
