@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, packing, pq, top_k, warc
+from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, packing, pq, token_output, top_k, warc
 from gridloom.llm.common import stored
 
 
@@ -86,8 +86,13 @@ def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op10_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.write_packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.segments(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_fuzzy_lines, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_fuzzy_lines, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation, op10_packed_output)}
 
 
 def oracle_sql() -> dict[str, str]:
