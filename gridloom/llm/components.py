@@ -8,6 +8,7 @@ counts.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = later.where("node != parent").select(F.col("node").alias("root"), F.col("parent").alias("to"))
         roots = roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return roots
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For links between nodes 0 to n - 1, the smallest node that each can reach."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (jumped := new[new] != new).any():
+            new = np.where(jumped, new[new], new)
+        new = new[root]
+        if np.array_equal(new, root):
+            return root
+        root = new

@@ -2,11 +2,10 @@
 
 Documents with the same set of word shingles form one class; only classes are compared. Classes that share a
 band of their signatures are candidates, and a link counts only if the full sets have a Jaccard similarity of
-at least ``percent`` hundredths. The links inside a bucket aren't all worked out: a bucket needs no pair
-whose ends are connected already. First everything is compared with one hub of its bucket, the member with the most
-candidates, for a few rounds; then all pairs that still are in different components are compared. So large
-groups of near copies cost a multiple of their size, and no component is missed that all candidate
-pairs together would give.
+at least ``percent`` hundredths. In small buckets the pairs are listed and verified by joins. Buckets with many
+different classes overlap (they come from one text that was copied with many changes), so they are
+put together into groups, and each group is compared once, in blocks: a task gets the full sets of two blocks, works out all
+intersections as matrix products and returns a spanning forest of the links, never the pairs.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing. Repeated rows and equal ids
 are rows of their own. A null id is no component's smallest id; a component of nothing but null ids has a null one.
@@ -17,18 +16,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
-from gridloom.llm.components import components
+from gridloom.llm.common import slices, stored
+from gridloom.llm.components import components, spanning_forest
 from gridloom.llm.shingles import shingle_sets
 from gridloom.llm.superminhash import band_keys, signatures
 
 BANDS, ROWS = 25, 5
-#: Rounds of comparing with hubs, and the pairs for each bucket row from which on another round is worth while.
-HUB_ROUNDS, PAIRS_A_ROW = 6, 3
+#: Buckets with more classes are compared in blocks of at most so many classes and shingles.
+LIGHT_BUCKET, BLOCK_CLASSES, BLOCK_SHINGLES = 32, 512, 2_000_000
+#: Shingles whose columns are multiplied at once.
+COLUMNS = 4096
 #: Row keys that may be broadcast (some 40 bytes each); with more, documents and keys are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -43,7 +45,7 @@ def signed_rows(docs: DataFrame, *, key: str, text: str, words: int, bands: int,
     kind = dict(docs.dtypes)[key]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, 1000):
             sets = list(shingle_sets(pdf["text"].tolist(), words))
             keys = band_keys(signatures(sets, bands * rows), bands, rows)
             yield pd.DataFrame(
@@ -66,7 +68,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, words:
     rows = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "row_key", "left_semi")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, 1000):
             sets = list(shingle_sets(pdf["text"].tolist(), words))
             yield pd.DataFrame({"set_id": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": [s.view("int64") for s in sets]})
 
@@ -86,48 +88,86 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("both").cast("long") * 100 >= (F.col("n").cast("long") + F.col("m") - F.col("both")) * percent).select("a", "b")
 
 
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("set_id"))
-    return members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-
-
-def _open_pairs(labelled: DataFrame) -> int:
-    """Pairs of a bucket that aren't connected yet."""
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    return int(sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, as sums of matrix products over slices of the common shingles."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32 if len(common) < 1 << 24 else np.float64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, values)
+        found = at < len(common)
+        found[found] = common[at[found]] == values[found]
+        order = np.argsort(at[found], kind="stable")
+        return at[found][order], owner[found][order]
+
+    (a_at, a_owner), (b_at, b_owner) = places(left), places(right)
+    for begin in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - begin)
+        sides = []
+        for at, owner, n in ((a_at, a_owner, len(left)), (b_at, b_owner, len(right))):
+            i, j = np.searchsorted(at, [begin, begin + width])
+            side = np.zeros((n, width), dtype=out.dtype)
+            side[owner[i:j], at[i:j] - begin] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def block_forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Columns a and b: a spanning forest of the links between the classes of one block or two."""
+    ids, sets = pdf["set_id"].tolist(), pdf["shingles"].tolist()
+    first = pdf["block"].to_numpy() == pdf["i"].to_numpy()
+    left = np.flatnonzero(first)
+    right = np.flatnonzero(~first) if (~first).any() else left
+    if not len(left):
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
+    both = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+    size = np.array([len(x) for x in sets])
+    rows, cols = np.nonzero(both * 100 >= (size[left][:, None] + size[right][None, :] - both) * percent)
+    root = spanning_forest(left[rows], right[cols], len(ids))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pd.DataFrame({"a": [ids[k] for k in moved], "b": [ids[root[k]] for k in moved]}, dtype=object)
+
+
+def heavy_groups(heavy: DataFrame) -> DataFrame:
+    """Columns set_id and group of the classes of large buckets; buckets that overlap are in one group."""
+    lowest = heavy.groupBy("bucket").agg(F.min("set_id").alias("low"))
+    roots = components(heavy.join(lowest, "bucket").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
+    return stored(roots.select(F.col("node").alias("set_id"), F.col("root").alias("group")), "groups")
+
+
+def heavy_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Columns a and b: links that connect all classes of a group which its links connect."""
+    rows = groups.join(sets, "set_id").withColumn("n", F.size("shingles"))
+    per_block = F.greatest(F.lit(8), F.least(F.lit(BLOCK_CLASSES), (BLOCK_SHINGLES / F.max("n")).cast("int")))
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.select("group", "set_id", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("group", "set_id", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.groupBy("group", "i", "j").applyInPandas(lambda pdf: block_forest(pdf, percent), "a binary, b binary")
 
 
 def linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Columns node and root of all classes that have a link; None without links.
 
-    ``members`` has bucket, set_id, n and score (how many candidates a class has) and is a stored table.
+    ``members`` has bucket, size (of the bucket), set_id and n, and is a stored table.
     """
-    rows, found, roots = members.count(), [], None
-    for turn in range(HUB_ROUNDS + 1):
-        labelled = _labelled(members, roots)
-        pairs_left = _open_pairs(labelled)
-        if not pairs_left:
-            break
-        last = turn == HUB_ROUNDS or pairs_left <= PAIRS_A_ROW * rows
-        if last:
-            other = labelled.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("set_id", "n", "root")))
-            pairs = labelled.join(other, "bucket").where((F.col("set_id") < F.col("set_id2")) & (F.col("root") != F.col("root2")) & _close("n", "n2", percent)).select(F.col("set_id").alias("a"), F.col("set_id2").alias("b"))
-        else:
-            rank = F.col("score").cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "set_id")
-            hubs = labelled.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "set_id", "n", "root")).alias("hub"), F.count_distinct("root").alias("roots")).where("roots > 1")
-            hubs = hubs.select("bucket", *(F.col(f"hub.{c}").alias(f"{c}2") for c in ("set_id", "n", "root")))
-            pairs = labelled.join(hubs, "bucket").where((F.col("root") != F.col("root2")) & _close("n", "n2", percent)).select(F.col("set_id").alias("a"), F.col("set_id2").alias("b"))
-        links = stored(verified(pairs.distinct(), sets, percent), "links")
-        if not links.isEmpty():
-            found.append(links)
-            every = found[0]
-            for more in found[1:]:
-                every = every.unionByName(more)
-            roots = stored(components(every), "roots")
-        if last:
-            break
-    return roots
+    heavy = members.where(F.col("size") > LIGHT_BUCKET)
+    groups = None if heavy.isEmpty() else heavy_groups(heavy)
+    light = members.where(F.col("size") <= LIGHT_BUCKET)
+    if groups is not None:
+        light = light.join(groups, "set_id", "left")
+    else:
+        light = light.withColumn("group", F.lit(None).cast("binary"))
+    other = light.select("bucket", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("group").alias("group2"))
+    apart = F.coalesce(F.col("group") != F.col("group2"), F.lit(True))
+    pairs = light.join(other, "bucket").where((F.col("set_id") < F.col("b")) & _close("n", "m", percent) & apart).select(F.col("set_id").alias("a"), "b").distinct()
+    links = verified(pairs, sets, percent)
+    if groups is not None:
+        links = links.unionByName(heavy_links(groups, sets, percent))
+    links = stored(links, "links")
+    return None if links.isEmpty() else components(links)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -140,9 +180,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = stored(classes, "classes")
     exploded = classes.select("set_id", "n", F.explode("buckets").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = exploded.join(shared, "bucket")
-    scores = members.groupBy("set_id").agg(F.sum(F.col("size") - 1).alias("score"))
-    members = stored(members.drop("size").join(scores, "set_id"), "members")
+    members = stored(exploded.join(shared, "bucket"), "members")
     wanted = classes.join(members.select("set_id").distinct(), "set_id", "left_semi").select("row_key")
     low = classes.select("set_id", "low")
     if not members.isEmpty():

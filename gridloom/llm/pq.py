@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import blocks, stored
-from gridloom.llm.components import components
+from gridloom.llm.components import components, spanning_forest
 from gridloom.llm.top_k import finite
 
 #: The index is fitted on at most about this many classes, drawn by hash; every row is indexed.
@@ -96,22 +96,6 @@ def fit(sample: list, lists: int, seed: int = 7) -> Index:
     return Index(centroids, np.stack(words))
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For links between nodes 0 to n - 1, the smallest node that each can reach."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (jumped := new[new] != new).any():
-            new = np.where(jumped, new[new], new)
-        new = new[root]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def compare_block(index: Index, which: int, queries: pd.DataFrame, candidates: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Columns a, b, n: links that a class has more (b null), or two classes that are connected (n null)."""
     x, y = index.unit(queries["vector"].tolist()), index.unit(candidates["vector"].tolist())

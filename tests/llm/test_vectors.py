@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gridloom.llm import pq, queries
+from gridloom.llm import components, pq, queries
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -115,4 +115,4 @@ def test_recall_near_the_threshold(spark):
 
 def test_spanning_forest():
     a, b = np.array([5, 3, 1, 8]), np.array([3, 2, 7, 9])
-    assert pq.spanning_forest(a, b, 10).tolist() == [0, 1, 2, 2, 4, 2, 6, 1, 8, 8]
+    assert components.spanning_forest(a, b, 10).tolist() == [0, 1, 2, 2, 4, 2, 6, 1, 8, 8]
