@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import parallelism
+from gridloom.llm.common import parallelism, slices
 from gridloom.llm.tokenization import FieldEncoder, field_encoder
 
 LEAF_CHARS = 16_384
@@ -126,23 +126,29 @@ def _n_pieces(chars: int, leaf_chars: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, chars) / leaf_chars)))
 
 
-def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, decoded: bool = False) -> DataFrame:
     """Encode every whole text: columns ``key`` and ``ids`` (little-endian unsigned 32-bit integers).
 
+    With ``decoded`` a column of that name holds what the ids decode to, worked out by the same worker.
+
     Texts of at most twice ``leaf_chars`` characters are encoded where they are read, without a shuffle.
     Only longer ones are cut and dealt out; their pieces meet again by row, never more than one row's text.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]
 
+    def finished(encoder: FieldEncoder, keys: list, ids: list[bytes]) -> pd.DataFrame:
+        out = pd.DataFrame({"key": pd.Series(keys, dtype=object), "ids": ids})
+        return out.assign(decoded=[encoder.decode(i) for i in ids]) if decoded else out
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = field_encoder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "ids": [encoder.encode(t) for t in pdf["text"]]})
+        for pdf in slices(batches):
+            yield finished(encoder, pdf["key"].tolist(), [encoder.encode(t) for t in pdf["text"]])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder(field_encoder(path))
-        for pdf in batches:
+        for pdf in slices(batches, 64):
             done = [encoder.encode(t) for t in pdf["text"]]
             yield pdf.assign(ids=[x.ids.astype("<u4").tobytes() for x in done], starts=[x.starts.astype("<i4").tobytes() for x in done], lengths=[(x.ends - x.starts).astype("<i4").tobytes() for x in done])
 
@@ -154,10 +160,11 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
         for t, ids, starts, lengths in zip(one["text"], one["ids"], one["starts"], one["lengths"], strict=True):
             begin = np.frombuffer(starts, dtype="<i4")
             pieces.append(Encoded(t, np.frombuffer(ids, dtype="<u4"), begin, begin + np.frombuffer(lengths, dtype="<i4")))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * copies, "ids": [encoder.tree(pieces).ids.astype("<u4").tobytes()] * copies})
+        ids = encoder.tree(pieces).ids.astype("<u4").tobytes()
+        return finished(field_encoder(path), [pdf["key"].iloc[0]] * copies, [ids] * copies)
 
     long_chars = 2 * leaf_chars
-    schema = f"key {kind}, ids binary"
+    schema = f"key {kind}, ids binary" + ", decoded string" * decoded
     short = rows.where(F.length("text") <= long_chars).mapInPandas(whole, schema)
     n = F.pow(F.lit(2), F.ceil(F.log2(F.length("text") / F.lit(leaf_chars)))).cast("int")
     size = F.ceil(F.length("text") / n).cast("int")

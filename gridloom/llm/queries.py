@@ -67,8 +67,8 @@ def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    return ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode("ids", path), 256).alias("decoded_sha256"))
+    done = bpe.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
