@@ -133,25 +133,25 @@ def regrid_weights(points: DataFrame, nodes: DataFrame, elements: DataFrame, *,
 
 
 def node_centred(nodes: DataFrame, elements: DataFrame, values: DataFrame, item: str, *, keys: Sequence[str] = (), extrapolate: bool = True) -> DataFrame:
-    """Element values at nodes by pseudo-Laplacian weights; inverse distances where the weights are singular.
+    """Element values at nodes by pseudo-Laplacian weights from the offsets of the centres around a node.
 
-    Without ``extrapolate`` weights are clamped to [0, 2].
+    Where these are singular or don't add up to anything (one or two elements), inverse distances are used. Without
+    ``extrapolate`` weights are clamped to [0, 2].
     """
     centre = centroids(nodes, elements).select("element", F.col("x").alias("ex"), F.col("y").alias("ey"))
     around = elements.select("element", F.explode("nodes").alias("node")).join(centre, "element").join(nodes.select("node", "x", "y"), "node")
-    dx, dy = F.col("ex") - F.col("x"), F.col("ey") - F.col("y")
-    d = around.withColumn("dx", dx).withColumn("dy", dy)
-    m = d.groupBy("node").agg(F.sum("dx").alias("rx"), F.sum("dy").alias("ry"), F.sum(F.col("dx") * F.col("dx")).alias("ixx"), F.sum(F.col("dy") * F.col("dy")).alias("iyy"), F.sum(F.col("dx") * F.col("dy")).alias("ixy"))
-    lam = F.col("ixx") * F.col("iyy") - F.col("ixy") * F.col("ixy")
-    regular = F.abs(lam) > 1e-10 * F.col("ixx") * F.col("iyy")
-    safe = F.when(regular, lam)
-    m = m.select("node", ((F.col("ixy") * F.col("ry") - F.col("iyy") * F.col("rx")) / safe).alias("lx"), ((F.col("ixy") * F.col("rx") - F.col("ixx") * F.col("ry")) / safe).alias("ly"))
-    w = 1.0 + F.col("lx") * F.col("dx") + F.col("ly") * F.col("dy")
+    d = around.select("node", "element", (F.col("ex") - F.col("x")).alias("dx"), (F.col("ey") - F.col("y")).alias("dy"))
+    m = d.groupBy("node").agg(F.sum(F.col("dx") * F.col("dx")).alias("ixx"), F.sum(F.col("dy") * F.col("dy")).alias("iyy"), F.sum(F.col("dx") * F.col("dy")).alias("ixy"))
+    m = m.withColumn("lam", F.col("ixx") * F.col("iyy") - F.col("ixy") * F.col("ixy"))
+    m = m.withColumn("lam", F.when(F.col("lam") > 1e-10 * F.col("ixx") * F.col("iyy"), F.col("lam")))
+    w = 1.0 + (2 * F.col("ixy") * F.col("dx") * F.col("dy") - F.col("iyy") * F.col("dx") * F.col("dx") - F.col("ixx") * F.col("dy") * F.col("dy")) / F.col("lam")
     if not extrapolate:
         w = F.greatest(F.lit(0.0), F.least(F.lit(2.0), w))
-    weighted = d.join(m, "node").withColumn("w", F.coalesce(w, 1.0 / F.greatest(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(1e-10))))
-    joined = values.select(*keys, "element", nan.num(item).alias("_v")).join(weighted.select("node", "element", "w"), "element")
-    return joined.groupBy(*keys, "node").agg(nan.divide(F.sum(F.col("_v") * F.col("w")), F.sum("w")).alias(item))
+    inverse = 1.0 / F.greatest(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(1e-300))
+    weighted = d.join(m, "node").select("node", "element", F.coalesce(w, F.lit(0.0)).alias("w"), inverse.alias("inverse"))
+    joined = values.select(*keys, "element", nan.num(item).alias("_v")).join(weighted, "element")
+    sums = joined.groupBy(*keys, "node").agg(F.sum("w").alias("w"), F.sum(F.col("_v") * F.col("w")).alias("vw"), F.sum("inverse").alias("i"), F.sum(F.col("_v") * F.col("inverse")).alias("vi"))
+    return sums.select(*keys, "node", F.when(F.col("w") > 1e-9, nan.divide(F.col("vw"), F.col("w"))).otherwise(nan.divide(F.col("vi"), F.col("i"))).alias(item))
 
 
 def split_quads(elements: DataFrame) -> DataFrame:
