@@ -42,7 +42,7 @@ def parse_mesh(lines: Sequence[str]) -> Mesh:
 
 def read_mesh(spark: SparkSession, path: str) -> Mesh:
     """A mesh file from any store that Spark reads. A mesh is a dimension table; it is kept on the driver."""
-    text = spark.read.option("wholetext", True).text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     if text is None:
         raise ValueError(f"no mesh in {path}")
     return parse_mesh([line for line in text[0].splitlines() if line.strip()])
