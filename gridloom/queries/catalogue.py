@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
@@ -20,7 +20,10 @@ from gridloom.queries.datasets import out, sql_out
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-T = micros("time").alias("time")
+
+
+def T() -> Column:
+    return micros("time").alias("time")
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -58,17 +61,17 @@ def sel_time_slice(spark, sf):
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('quantity')} AS quantity FROM (SELECT *, dense_rank() OVER (ORDER BY time) - 1 AS step FROM {ds.GRID1}) WHERE step >= 2 AND step < 60 AND (step - 2) % 5 = 0")
 def isel_time_every_nth(spark, sf):
-    return select.steps_at(ds.grid1(spark, sf), slice(2, 60, 5)).select(T, "x_idx", out("quantity").alias("quantity"))
+    return select.steps_at(ds.grid1(spark, sf), slice(2, 60, 5)).select(T(), "x_idx", out("quantity").alias("quantity"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('discount')} AS discount FROM (SELECT *, dense_rank() OVER (ORDER BY time DESC) AS back FROM {ds.GRID1}) WHERE back IN (1, 3)")
 def isel_negative(spark, sf):
-    return select.steps_at(ds.grid1(spark, sf), [-1, -3]).select(T, "x_idx", out("discount").alias("discount"))
+    return select.steps_at(ds.grid1(spark, sf), [-1, -3]).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('discount')} AS discount FROM {ds.GRID1} WHERE time = (SELECT max(date_trunc('month', l_shipdate)) FROM lineitem)")
 def isel_last(spark, sf):
-    return select.last_step(ds.grid1(spark, sf)).select(T, "x_idx", out("discount").alias("discount"))
+    return select.last_step(ds.grid1(spark, sf)).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT element, {sql_out('value')} AS value FROM {ds.CENTRES} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.05")
@@ -80,14 +83,14 @@ def sel_area(spark, sf):
 def sel_area_grid(spark, sf):
     grid = Grid2D(Axis(100.0, 10.0, 7), Axis(3.0, 5.0, 10))
     f = Frame.of(ds.grid2(spark, sf), ("time", "y_idx", "x_idx"), geometry=grid)
-    return f.sel(area=(115, 10, 145, 40)).df.select(T, "y_idx", "x_idx", out("price", 4).alias("price"))
+    return f.sel(area=(115, 10, 145, 40)).df.select(T(), "y_idx", "x_idx", out("price", 4).alias("price"))
 
 
 @query(f"SELECT epoch_us(time) AS time, {sql_out('price', 4)} AS price FROM {ds.GRID2} WHERE x_idx = 3 AND y_idx = 4")
 def sel_nearest_cell(spark, sf):
     grid = Grid2D(Axis(100.0, 10.0, 7), Axis(3.0, 5.0, 10))
     f = Frame.of(ds.grid2(spark, sf), ("time", "y_idx", "x_idx"), geometry=grid)
-    return f.sel(x=131.0, y=24.9).df.select(T, out("price", 4).alias("price"))
+    return f.sel(x=131.0, y=24.9).df.select(T(), out("price", 4).alias("price"))
 
 
 @query(f"SELECT element, {sql_out('value')} AS value FROM {ds.CENTRES} ORDER BY (x - 0.05) * (x - 0.05) + (y + 0.02) * (y + 0.02), element LIMIT 1")
@@ -113,7 +116,7 @@ def fillna(spark, sf):
 
 @query(f"SELECT epoch_us(time) AS time, {sql_out('total', 2)} AS total FROM {ds.DAILY} WHERE NOT isnan(total)")
 def dropna(spark, sf):
-    return select.dropna(ds.daily(spark, sf), ["total", "n"]).select(T, out("total", 2).alias("total"))
+    return select.dropna(ds.daily(spark, sf), ["total", "n"]).select(T(), out("total", 2).alias("total"))
 
 
 @query(f"SELECT element, {sql_out('value')} AS value FROM {ds.CENTRES} WHERE (CASE WHEN (-0.1 > y) <> (-0.2 > y) AND x < 0.3 * (y + 0.2) / 0.1 - 0.1 THEN 1 ELSE 0 END + CASE WHEN (0.2 > y) <> (-0.1 > y) AND x < -0.15 * (y + 0.1) / 0.3 + 0.2 THEN 1 ELSE 0 END + CASE WHEN (-0.2 > y) <> (0.2 > y) AND x < -0.15 * (y - 0.2) / -0.4 + 0.05 THEN 1 ELSE 0 END) % 2 = 1")
@@ -142,7 +145,7 @@ def _reductions() -> None:
 
             def run(spark: SparkSession, sf: str, how: str = how, axis: str = axis, keys: list[str] = keys) -> DataFrame:
                 f = Frame.of(ds.grid1(spark, sf), ("time", "x_idx")).aggregate(how, axis)
-                return f.df.select(*(T if k == "time" else k for k in keys), out("quantity").alias("quantity"), out("discount").alias("discount"))
+                return f.df.select(*(T() if k == "time" else k for k in keys), out("quantity").alias("quantity"), out("discount").alias("discount"))
 
             run.__name__ = f"{how}_{axis}"
             query(text)(run)
@@ -160,7 +163,7 @@ def nanmean_total(spark, sf):
 @query(f"SELECT epoch_us(time) AS time, {sql_out('sum(quantity * (x_idx + 1)) FILTER (WHERE NOT isnan(quantity)) / sum(x_idx + 1) FILTER (WHERE NOT isnan(quantity))')} AS quantity FROM {ds.GRID1} WHERE NOT isnan(quantity) GROUP BY time")
 def average_space(spark, sf):
     g = ds.grid1(spark, sf).where(~F.isnan("quantity"))
-    return aggregate.average(g, ["time"], ["quantity"], F.col("x_idx") + 1).select(T, out("quantity").alias("quantity"))
+    return aggregate.average(g, ["time"], ["quantity"], F.col("x_idx") + 1).select(T(), out("quantity").alias("quantity"))
 
 
 @query(f"SELECT x_idx, {sql_out('sum(discount * quantity) / sum(quantity)')} AS discount FROM {ds.GRID1} WHERE NOT isnan(quantity) GROUP BY x_idx")
@@ -171,7 +174,7 @@ def average_time(spark, sf):
 @query(f"SELECT epoch_us(time) AS time, {sql_out('(total + n) / 2', 4)} AS mean, {sql_out('CASE WHEN isnan(total) THEN total ELSE greatest(total, n) END', 4)} AS max, {sql_out('CASE WHEN isnan(total) THEN total ELSE least(total, n) END', 4)} AS min, {sql_out('CASE WHEN isnan(total) THEN n ELSE greatest(total, n) END', 4)} AS nanmax FROM {ds.DAILY}")
 def across_items(spark, sf):
     cols = [nan.row_reduce([F.col("total"), F.col("n")], how) for how in ("mean", "max", "min", "nanmax")]
-    return ds.daily(spark, sf).select(T, *(out(c, 4).alias(n) for c, n in zip(cols, ("mean", "max", "min", "nanmax"), strict=True)))
+    return ds.daily(spark, sf).select(T(), *(out(c, 4).alias(n) for c, n in zip(cols, ("mean", "max", "min", "nanmax"), strict=True)))
 
 
 @query(f"SELECT x_idx, {', '.join(sql_out(f'quantile_cont(discount, {q})') + f' AS q{int(q * 100)}' for q in (0.1, 0.5, 0.9))} FROM {ds.GRID1} GROUP BY x_idx")
@@ -188,7 +191,7 @@ def nanquantile(spark, sf):
 
 @query(f"SELECT epoch_us(time) AS time, {sql_out('quantile_cont(discount, 0.75)')} AS discount FROM {ds.GRID1} GROUP BY time")
 def quantile_space(spark, sf):
-    return aggregate.quantile(ds.grid1(spark, sf), ["time"], ["discount"], 0.75).select(T, out("discount").alias("discount"))
+    return aggregate.quantile(ds.grid1(spark, sf), ["time"], ["discount"], 0.75).select(T(), out("discount").alias("discount"))
 
 
 def _describe_sql(item: str) -> str:
@@ -265,7 +268,7 @@ def math_abs_neg(spark, sf):
 @query(f"SELECT epoch_us(a.time) AS time, a.x_idx, {sql_out('a.quantity - b.quantity')} AS quantity, {sql_out('a.discount - b.discount')} AS discount FROM {ds.GRID1} a JOIN (SELECT x_idx, CASE WHEN bool_or(isnan(quantity)) THEN 'NaN'::DOUBLE ELSE avg(CASE WHEN isnan(quantity) THEN NULL ELSE quantity END) END AS quantity, avg(discount) AS discount FROM {ds.GRID1} GROUP BY x_idx) b USING (x_idx)")
 def anomaly(spark, sf):
     f = Frame.of(ds.grid1(spark, sf), ("time", "x_idx"))
-    return (f - f.mean()).df.select(T, "x_idx", out("quantity").alias("quantity"), out("discount").alias("discount"))
+    return (f - f.mean()).df.select(T(), "x_idx", out("quantity").alias("quantity"), out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('discount')} AS discount, {sql_out('tax')} AS tax FROM {ds.GRID1} JOIN (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS time, l_linenumber - 1 AS x_idx, avg(l_tax) AS tax FROM lineitem GROUP BY 1, 2) USING (time, x_idx)")
@@ -273,7 +276,7 @@ def merge(spark, sf):
     li = ds.table(spark, sf, "lineitem")
     tax = li.groupBy(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"), (F.col("l_linenumber") - 1).alias("x_idx")).agg(F.avg("l_tax").alias("tax"))
     merged = combine.merge([ds.grid1(spark, sf).drop("quantity"), tax], ["time", "x_idx"])
-    return merged.select(T, "x_idx", out("discount").alias("discount"), out("tax").alias("tax"))
+    return merged.select(T(), "x_idx", out("discount").alias("discount"), out("tax").alias("tax"))
 
 
 _PARTS = f"(SELECT time, x_idx, discount, 0 AS s FROM {ds.GRID1} WHERE time < '1999-06-01' UNION ALL SELECT time, x_idx, discount + 1, 1 FROM {ds.GRID1} WHERE time >= '1997-01-01')"
@@ -286,22 +289,22 @@ def _parts(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('arg_max(discount, s)')} AS discount FROM {_PARTS} GROUP BY time, x_idx")
 def concat_last(spark, sf):
-    return combine.concat(_parts(spark, sf), ["time", "x_idx"]).select(T, "x_idx", out("discount").alias("discount"))
+    return combine.concat(_parts(spark, sf), ["time", "x_idx"]).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('arg_min(discount, s)')} AS discount FROM {_PARTS} GROUP BY time, x_idx")
 def concat_first(spark, sf):
-    return combine.concat(_parts(spark, sf), ["time", "x_idx"], keep="first").select(T, "x_idx", out("discount").alias("discount"))
+    return combine.concat(_parts(spark, sf), ["time", "x_idx"], keep="first").select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('avg(discount)')} AS discount FROM {_PARTS} GROUP BY time, x_idx")
 def concat_average(spark, sf):
-    return combine.concat(_parts(spark, sf), ["time", "x_idx"], keep="average").select(T, "x_idx", out("discount").alias("discount"))
+    return combine.concat(_parts(spark, sf), ["time", "x_idx"], keep="average").select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, epoch_us(next_time) AS next_time, (epoch_us(next_time) - epoch_us(time)) / 1e6 AS gap FROM (SELECT time, lead(time) OVER (ORDER BY time) AS next_time FROM {ds.DAILY}) WHERE epoch_us(next_time) - epoch_us(time) > 86400000000")
 def gap_check(spark, sf):
-    return combine.gaps(ds.daily(spark, sf), 86_400).select(T, micros("next_time").alias("next_time"), "gap")
+    return combine.gaps(ds.daily(spark, sf), 86_400).select(T(), micros("next_time").alias("next_time"), "gap")
 
 
 # whole datasets
@@ -309,22 +312,22 @@ def gap_check(spark, sf):
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('discount * 100 + 2.5')} AS discount FROM {ds.GRID1}")
 def scale(spark, sf):
-    return pipeline.scale(ds.grid1(spark, sf), ["discount"], factor=100, offset=2.5).select(T, "x_idx", out("discount").alias("discount"))
+    return pipeline.scale(ds.grid1(spark, sf), ["discount"], factor=100, offset=2.5).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(a.time) AS time, a.x_idx, {sql_out('a.discount - b.discount')} AS discount FROM {ds.GRID1} a JOIN {_PARTS} b ON a.time = b.time AND a.x_idx = b.x_idx AND b.s = 1")
 def diff(spark, sf):
-    return pipeline.diff(ds.grid1(spark, sf), _parts(spark, sf)[1], ["time", "x_idx"], ["discount"]).select(T, "x_idx", out("discount").alias("discount"))
+    return pipeline.diff(ds.grid1(spark, sf), _parts(spark, sf)[1], ["time", "x_idx"], ["discount"]).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(a.time) AS time, a.x_idx, {sql_out('a.discount + b.discount')} AS discount FROM {ds.GRID1} a JOIN {_PARTS} b ON a.time = b.time AND a.x_idx = b.x_idx AND b.s = 0")
 def add(spark, sf):
-    return pipeline.add(ds.grid1(spark, sf), _parts(spark, sf)[0], ["time", "x_idx"], ["discount"]).select(T, "x_idx", out("discount").alias("discount"))
+    return pipeline.add(ds.grid1(spark, sf), _parts(spark, sf)[0], ["time", "x_idx"], ["discount"]).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT epoch_us(time) AS time, x_idx, {sql_out('discount')} AS discount FROM (SELECT *, dense_rank() OVER (ORDER BY time) - 1 AS step FROM {ds.GRID1}) WHERE step >= 10 AND time < '1999-01-01' AND (step - 10) % 3 = 0")
 def extract(spark, sf):
-    return pipeline.extract(ds.grid1(spark, sf), start=10, stop="1998", step=3).select(T, "x_idx", out("discount").alias("discount"))
+    return pipeline.extract(ds.grid1(spark, sf), start=10, stop="1998", step=3).select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"SELECT x_idx, CASE WHEN count(*) FILTER (WHERE NOT isnan(quantity)) = (SELECT count(DISTINCT date_trunc('month', l_shipdate)) FROM lineitem) THEN round(avg(CASE WHEN isnan(quantity) THEN NULL ELSE quantity END), 6) ELSE {ds.MISSING} END AS quantity FROM {ds.GRID1} GROUP BY x_idx")
@@ -356,7 +359,7 @@ SELECT epoch_us(t.time) AS time, {sql_out('a.n + (b.n - a.n) * (CASE WHEN a.time
 FROM t ASOF JOIN d a ON t.time >= a.time ASOF JOIN d b ON t.time <= b.time""")
 def interp_time_regular(spark, sf):
     f = Frame.of(ds.daily(spark, sf).select("time", "n"))
-    return f.interp_time("6h").df.select(T, out("n").alias("n"))
+    return f.interp_time("6h").df.select(T(), out("n").alias("n"))
 
 
 def _method_sql(value: str) -> str:
@@ -367,7 +370,7 @@ FROM t ASOF LEFT JOIN d a ON t.time >= a.time ASOF LEFT JOIN d b ON t.time <= b.
 
 def _to_other_axis(spark: SparkSession, sf: str, method: str) -> DataFrame:
     target = ds.table(spark, sf, "lineitem").select((F.col("l_shipdate") + F.expr("INTERVAL 7 HOURS")).alias("time"))
-    return interpolate.interp_time(ds.daily(spark, sf), target, [], ["n"], method=method, fill_value=-1.0).select(T, out("n").alias("n"))
+    return interpolate.interp_time(ds.daily(spark, sf), target, [], ["n"], method=method, fill_value=-1.0).select(T(), out("n").alias("n"))
 
 
 @query(_method_sql("a.n + (b.n - a.n) * ((epoch_us(t.time) - epoch_us(a.time)) / (epoch_us(b.time) - epoch_us(a.time))::DOUBLE)"))
@@ -391,14 +394,14 @@ FROM t CROSS JOIN c ASOF LEFT JOIN g a ON c.x_idx = a.x_idx AND t.time >= a.time
 def interp_time_cells(spark, sf):
     target = ds.table(spark, sf, "orders").select(F.col("o_orderdate").alias("time"))
     g = interpolate.interp_time(ds.grid1(spark, sf), target, ["x_idx"], ["discount"])
-    return g.select(T, "x_idx", out("discount").alias("discount"))
+    return g.select(T(), "x_idx", out("discount").alias("discount"))
 
 
 @query(f"""WITH d AS (SELECT time, total FROM {ds.DAILY}), v AS (SELECT * FROM d WHERE NOT isnan(total))
 SELECT epoch_us(d.time) AS time, {sql_out('CASE WHEN NOT isnan(d.total) THEN d.total WHEN a.time IS NULL OR b.time IS NULL THEN NULL ELSE a.total + (b.total - a.total) * ((epoch_us(d.time) - epoch_us(a.time)) / (epoch_us(b.time) - epoch_us(a.time))::DOUBLE) END', 3)} AS total
 FROM d ASOF LEFT JOIN v a ON d.time >= a.time ASOF LEFT JOIN v b ON d.time <= b.time""")
 def interp_na(spark, sf):
-    return interpolate.interp_na(ds.daily(spark, sf), [], ["total"]).select(T, out("total", 3).alias("total"))
+    return interpolate.interp_na(ds.daily(spark, sf), [], ["total"]).select(T(), out("total", 3).alias("total"))
 
 
 @query(f"SELECT count(DISTINCT g) = 1 AS is_equidistant, count(*) AS n_steps, (SELECT (epoch_us(b) - epoch_us(a)) / 1e6 FROM (SELECT time AS a, lead(time) OVER (ORDER BY time) AS b FROM {ds.DAILY}) ORDER BY a LIMIT 1) AS timestep FROM (SELECT epoch_us(time) - lag(epoch_us(time)) OVER (ORDER BY time) AS g FROM {ds.DAILY})")
@@ -473,7 +476,7 @@ SELECT epoch_us(g.time) AS time, point, {sql_out('sum(price * CASE WHEN g.x_idx
 FROM c JOIN {ds.GRID2} g ON g.x_idx BETWEEN ix AND ix + 1 AND g.y_idx BETWEEN iy AND iy + 1 GROUP BY g.time, point""")
 def interp_grid_bilinear(spark, sf):
     grid = Grid2D(Axis(-0.2, 0.4 / 6, 7), Axis(-0.2, 0.4 / 9, 10))
-    return interpolate.interp_grid(ds.grid2(spark, sf), ds.stations(spark, sf), grid, ["price"]).select(T, "point", out("price", 3).alias("price"))
+    return interpolate.interp_grid(ds.grid2(spark, sf), ds.stations(spark, sf), grid, ["price"]).select(T(), "point", out("price", 3).alias("price"))
 
 
 _FIELD = f"(SELECT d.time, e.element, d.n * e.value + e.code AS value FROM (SELECT TIMESTAMP '2024-01-01' + to_days(i::INT) AS time, i::DOUBLE AS n FROM range(0, 31) t(i)) d, {ds.CENTRES} e)"
