@@ -137,7 +137,7 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
     """The ``k`` nearest elements of every point: point, element, distance and rank (from 1); ties go to the smaller element.
 
     Elements lie in bins of about ``2 k``. A point looks through the ring of bins around it; if its k-th neighbour may
-    lie beyond, it looks again through a ring four times as wide. Extent and number are worked out unless given.
+    lie beyond, it looks again through a ring 16 times as wide. Extent and number are worked out unless given.
     """
     if k < 1:
         raise ValueError("at least one neighbour")
@@ -155,7 +155,7 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
     rings, r = [], 1
     while r < n:
         rings.append(r)
-        r *= 4
+        r *= 16
     out = []
     for r in [*rings, n]:
         whole = r >= n
