@@ -22,6 +22,7 @@ from gridloom.llm.common import stored
 from gridloom.llm.components import components
 from gridloom.llm.near_dedup import row_key
 
+#: With 6 bands of 2, sets with a similarity of 0.8 are candidates with a probability of 0.998, of 0.9 with 0.9999.
 SHINGLE_CHARS, PERCENT, BANDS, ROWS = 12, 80, 6, 2
 #: Buckets up to this size are compared pair by pair; larger ones first with a few hubs, then what isn't connected yet.
 LIGHT_BUCKET, HUB_ROUNDS = 32, 4
@@ -50,8 +51,9 @@ def _places(wide: Column, k: int) -> Column:
 
 
 def shingle_set(line: Column | str, k: int) -> Column:
-    wide = F.encode(line, "UTF-16BE")
-    return F.array_distinct(F.transform(_places(wide, k), lambda i: _shingle(wide, i, k)))
+    """The distinct shingles of a line. The wide text is bound to a variable, else it would be made anew for each shingle."""
+    of = lambda wide: F.array_distinct(F.transform(_places(wide, k), lambda i: _shingle(wide, i, k)))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
 def buckets_of(lines: DataFrame, k: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
@@ -61,16 +63,24 @@ def buckets_of(lines: DataFrame, k: int, bands: int, rows: int, seed: int = 11)
     places = wide.select("class", "wide", F.explode(_places(F.col("wide"), k)).alias("at"))
     hashes = places.select("class", _shingle(F.col("wide"), F.col("at"), k).alias("h"))
     least = hashes.groupBy("class").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(masks)))
-    return least.select("class", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + i}" for i in range(rows))) for b in range(bands))).alias("buckets"))
+    bucket = lambda b: F.xxhash64(F.lit(b), *(f"m{b * rows + i}" for i in range(rows)))
+    return least.select("class", F.array(*map(bucket, range(bands))).alias("buckets"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose exact sets are similar enough; ``lines`` has class and line."""
-    one = pairs.join(lines.select(F.col("class").alias("a"), F.col("line").alias("of_a")), "a")
-    two = one.join(lines.select(F.col("class").alias("b"), F.col("line").alias("of_b")), "b")
-    sets = two.select("a", "b", shingle_set("of_a", k).alias("of_a"), shingle_set("of_b", k).alias("of_b"))
-    counted = sets.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-    return counted.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
+    """Those of the pairs (a, b) of classes whose exact sets are similar enough; ``lines`` has class, line and n (the set's size).
+
+    Pairs whose sizes differ too much go before any text is joined.
+    """
+    size = lambda e: lines.select(F.col("class").alias(e), F.col("n").alias(f"n_{e}"))
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    left = pairs.join(size("a"), "a").join(size("b"), "b").where(close).select("a", "b")
+    side = lambda e: lines.select(F.col("class").alias(e), F.col("line").alias(f"of_{e}"))
+    two = left.join(side("a"), "a").join(side("b"), "b")
+    # Lambda variables hold each set and the size of the intersection, so that they are worked out once a pair.
+    sets = F.array(F.struct(shingle_set("of_a", k).alias("a"), shingle_set("of_b", k).alias("b")))
+    alike = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda both: both * 100 >= (F.size(s["a"]) + F.size(s["b"]) - both) * percent)
+    return two.where(F.exists(sets, alike)).select("a", "b")
 
 
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -87,22 +97,27 @@ def _pairs(labelled: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    hubs = labelled.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("order"), "class", "root")).alias("hub"))
-    hubs = hubs.select("bucket", F.col("hub.class").alias("b"), F.col("hub.root").alias("root2"))
+    """Pairs with one hub a bucket: first the class with the most candidates, then others of the largest component."""
+    order = F.struct(F.when(F.lit(turn == 0), F.col("score")).otherwise(F.lit(0)).alias("score"), F.xxhash64(F.lit(turn), "class").alias("hash"), "class")
+    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(order).alias("pick"))
+    rank = F.struct(*(["pick", "root"] if turn == 0 else ["n", "pick", "root"]))
+    hubs = sizes.groupBy("bucket").agg(F.max(rank).alias("hub")).select("bucket", F.col("hub.pick.class").alias("b"), F.col("hub.root").alias("root2"))
     return labelled.join(hubs, "bucket").where(F.col("root") != F.col("root2")).select(F.col("class").alias("a"), "b").distinct()
 
 
 def linked_classes(members: DataFrame, lines: DataFrame, k: int, percent: int) -> DataFrame:
-    """Columns node and root of all classes with a link. ``members``: bucket, size and class; a stored table."""
+    """Columns node and root of all classes with a link. ``members``: bucket, size and class; ``lines``: class, line and n; both stored."""
     heavy = members.where(F.col("size") > LIGHT_BUCKET)
-    found = stored(verified(_pairs(_labelled(members.where(F.col("size") <= LIGHT_BUCKET), None)), lines, k, percent), "links")
+    light = _pairs(_labelled(members.where(F.col("size") <= LIGHT_BUCKET), None))
+    found = stored(verified(light, lines, k, percent), "links")
     roots = stored(components(found), "roots")
     if not heavy.isEmpty():
+        scores = heavy.groupBy("class").agg(F.sum("size").alias("score"))
+        heavy = stored(heavy.join(scores, "class"), "heavy-members")
         for turn in range(HUB_ROUNDS + 1):
             labelled = _labelled(heavy, roots)
             pairs = _hub_pairs(labelled, turn) if turn < HUB_ROUNDS else _pairs(labelled)
-            links = stored(verified(pairs, lines, k, percent), "links")
-            found = found.unionByName(links)
+            found = found.unionByName(stored(verified(pairs, lines, k, percent), "links"))
             roots = stored(components(found), "roots")
     return roots
 
@@ -115,7 +130,8 @@ def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(exploded.join(shared, "bucket"), "line-members")
     wanted = _broadcast_if_few(members.select("class").distinct())
-    texts = stored(lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "line-texts")
+    texts = lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    texts = stored(texts.withColumn("n", F.size(shingle_set("line", k))), "line-texts")
     roots = linked_classes(members, texts, k, percent)
     places = lines.select("id", "row_key", "place", "class")
     labelled = places.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
