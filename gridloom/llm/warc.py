@@ -3,7 +3,8 @@
 Archives are gzip files with one member for each record. The reader checks every record (gzip CRC,
 version line, lengths, block and payload digests). Where a check fails it looks for the next gzip
 member or version line that begins a record which passes, goes on from there, and reports the bytes in
-between as a gap.
+between as a gap. Of a broken gzip member the records before the damage stay if a digest proves them; its gap then
+has the inner offset at which they end.
 
 Null payloads count as empty, null URLs as an empty target. Of pages with equal payloads those with the
 smallest id become responses and the others revisits; a page without an id is always a response.
@@ -125,11 +126,15 @@ class Record:
 
 
 class Damaged(Exception):
-    """A check of a record failed."""
+    """A check of a record failed. ``content`` is what a broken gzip member still gives, ``items`` what was salvaged from it."""
 
+    def __init__(self, reason: str, content: bytes = b"", items: list | None = None):
+        super().__init__(reason)
+        self.content, self.items = content, items or []
 
-def parse_record(data: bytes, pos: int) -> tuple[Record, int]:
-    """The record at ``pos`` of uncompressed data and where it ends; Damaged if a check fails."""
+
+def parse_record(data: bytes, pos: int, proven: bool = False) -> tuple[Record, int]:
+    """The record at ``pos`` of uncompressed data and where it ends; Damaged if a check fails, or with ``proven`` if no digest is there to check."""
     version = _VERSION.match(data, pos)
     if not version:
         raise Damaged("no version line")
@@ -158,10 +163,24 @@ def parse_record(data: bytes, pos: int) -> tuple[Record, int]:
         if digest and digest != found:
             raise Damaged("payload digest differs")
         digest = found
+    if proven and not want.startswith("sha1:") and not (kind == "response" and fields.get("warc-payload-digest")):
+        raise Damaged("no digest to check")
     strip = lambda x: x.strip("<>") if x is not None else None
     return Record(kind, strip(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), strip(fields.get("warc-refers-to")), digest, len(payload), payload), end + len(_END)
 
 
+def _readable(data: memoryview, pos: int, at: int) -> bytes:
+    """What a gzip member gives before it breaks somewhere in the chunk from ``at``."""
+    unpack = zlib.decompressobj(31)
+    out = [unpack.decompress(data[pos:at])]
+    try:
+        for i in range(at, min(at + _CHUNK, len(data))):
+            out.append(unpack.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def gunzip_member(data: bytes, pos: int) -> tuple[bytes, int]:
     """The content of the gzip member at ``pos`` and where it ends; Damaged if it is broken."""
     unpack, out, at = zlib.decompressobj(31), [], pos
@@ -169,55 +188,68 @@ def gunzip_member(data: bytes, pos: int) -> tuple[bytes, int]:
     try:
         while not unpack.eof:
             if at >= len(data):
-                raise Damaged("gzip member without end")
+                raise Damaged("gzip member without end", b"".join(out))
             chunk = view[at : at + _CHUNK]
             out.append(unpack.decompress(chunk))
             at += len(chunk)
     except zlib.error as e:
-        raise Damaged("gzip: " + str(e).partition(": ")[2]) from None
+        raise Damaged("gzip: " + str(e).partition(": ")[2], _readable(view, pos, at)) from None
     return b"".join(out), at - len(unpack.unused_data)
 
 
-def _records_at(data: bytes, pos: int) -> tuple[list[tuple[int, Record | str, int]], int]:
+def _inside(content: bytes, proven: bool) -> list[tuple[int, Record | str, int]]:
+    """Records and gaps of a member's content; Damaged without any record."""
+    found = [(a, x, n) for a, n, items in salvage(content, proven) for _, x, _ in items]
+    if all(isinstance(x, str) for _, x, _ in found):
+        raise Damaged(found[0][1] if found else "no version line")
+    return found
+
+
+def _records_at(data: bytes, pos: int, proven: bool = False) -> tuple[list[tuple[int, Record | str, int]], int]:
     """What stands at ``pos``: (inner offset, record or reason, inner length) for each, and where it ends."""
     if not data.startswith(b"\x1f\x8b", pos):
-        record, end = parse_record(data, pos)
+        record, end = parse_record(data, pos, proven)
         return [(0, record, end - pos)], end
-    content, end = gunzip_member(data, pos)
-    record, inner = parse_record(content, 0)
-    found: list[tuple[int, Record | str, int]] = [(0, record, inner)]
-    if inner < len(content):
-        found += [(inner + a, x, n) for a, n, items in salvage(content[inner:]) for _, x, _ in items]
-    return found, end
+    try:
+        content, end = gunzip_member(data, pos)
+    except Damaged as broken:
+        try:
+            items = _inside(broken.content, True)
+        except Damaged:
+            raise broken from None
+        # The end of what could be read is a gap for the reason that the member broke.
+        at = items.pop()[0] if isinstance(items[-1][1], str) else len(broken.content)
+        raise Damaged(str(broken), broken.content, [*items, (at, str(broken), len(broken.content) - at)]) from None
+    return _inside(content, False), end
+
+
+def _begins(data: bytes, at: int, proven: bool, seen: bytes) -> bool:
+    """Whether a valid record begins at ``at`` that isn't part of ``seen``, the content that was salvaged already."""
+    try:
+        end = _records_at(data, at, proven)[1]
+    except Damaged as e:
+        if not e.items:
+            return False
+        end = at + 64
+    return not seen or data[at:end] not in seen
+
 
+def salvage(data: bytes, proven: bool = False) -> Iterator[tuple[int, int, list[tuple[int, Record | str, int]]]]:
+    """(offset, length, items) in order; an item is (inner offset, record, length), or a reason for a gap.
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, list[tuple[int, Record | str, int]]]]:
-    """(offset, length, items) in order; an item is (inner offset, record, length), or a reason for a gap."""
+    With ``proven`` only records with a digest count, as in the content of a gzip member whose CRC can't be checked.
+    """
     pos = 0
     while pos < len(data):
         try:
-            items, end = _records_at(data, pos)
-            yield pos, end - pos, items
-            pos = end
-            continue
+            items, end = _records_at(data, pos, proven)
         except Damaged as e:
-            reason = str(e)
-        begin, items = pos, None
-        for candidate in _CANDIDATE.finditer(data, pos + 1):
-            at = candidate.start()
-            if data[at] == ord("W") and data[at - 1] != ord("\n"):
-                continue
-            try:
-                items, end = _records_at(data, at)
-            except Damaged:
-                continue
-            yield begin, at - begin, [(0, reason, at - begin)]
-            yield at, end - at, items
-            pos = end
-            break
-        if items is None:
-            yield begin, len(data) - begin, [(0, reason, len(data) - begin)]
-            return
+            candidates = (c.start() for c in _CANDIDATE.finditer(data, pos + 1))
+            seen = e.content if e.items else b""
+            end = next((at for at in candidates if _begins(data, at, proven, seen)), len(data))
+            items = e.items or [(0, str(e), end - pos)]
+        yield pos, end - pos, items
+        pos = end
 
 
 def read_archives(spark: SparkSession, paths: list[str] | str, *, payloads: bool = True) -> DataFrame:

@@ -68,3 +68,60 @@ def test_salvage_of_uncompressed_records(spark, tmp_path):
     data = plain[0] + plain[1].replace(b"WARC-Type", b"WARC-Tipe", 1)[:-3] + b"\n" + plain[2]
     records = [x.record_id for _, _, items in warc.salvage(data) for _, x, _ in items if not isinstance(x, str)]
     assert records == ["urn:page:0", "urn:page:2"]
+
+
+def plain(i, payload=b"some text"):
+    import zlib
+
+    return zlib.decompress(member(i, payload), 31)
+
+
+def ids(data):
+    return [x.record_id for _, _, items in warc.salvage(data) for _, x, _ in items if not isinstance(x, str)]
+
+
+def reasons(data):
+    return [(at, length, inner, x) for at, length, items in warc.salvage(data) for inner, x, _ in items if isinstance(x, str)]
+
+
+def test_uncompressed_record_right_after_a_truncated_one():
+    cut = plain(1, b"y" * 300)[:-150]
+    data = plain(0) + cut + plain(2)
+    assert ids(data) == ["urn:page:0", "urn:page:2"]
+    assert [r[:2] for r in reasons(data)] == [(len(plain(0)), len(cut))]
+
+
+def test_first_record_of_a_gzip_member_is_damaged():
+    import gzip
+
+    first = plain(0).replace(b"some text", b"some tixt")
+    data = gzip.compress(first + plain(1) + plain(2)) + member(3, b"x")
+    assert ids(data) == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    assert [r[2:] for r in reasons(data)] == [(0, "block digest differs")]
+
+
+def test_broken_member_keeps_what_is_before_the_damage():
+    import gzip
+    import random
+
+    noise = lambda i: random.Random(i).randbytes(30_000)
+    records = [plain(i, noise(i)) for i in range(4)]
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(records), level)
+        for data in (whole[: len(whole) * 5 // 8], whole[: len(whole) * 5 // 8] + member(9, b"later")):
+            assert ids(data)[:2] == ["urn:page:0", "urn:page:1"]
+            assert ids(data)[2:] == (["urn:page:9"] if data.endswith(member(9, b"later")) else [])
+            assert len(records[0]) + len(records[1]) in [r[2] for r in reasons(data)]
+    broken = bytearray(gzip.compress(b"".join(records), 6))
+    broken[-6] ^= 0xFF
+    assert ids(bytes(broken) + member(9, b"later")) == [*(f"urn:page:{i}" for i in range(4)), "urn:page:9"]
+    bare = re_record(b"".join(records[:1]))
+    assert ids(gzip.compress(bare)) == ["urn:page:0"]
+    assert ids(gzip.compress(bare + noise(5))[:-20_000]) == []
+
+
+def re_record(data):
+    """The record without digests."""
+    import re
+
+    return re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", data)
