@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from gridloom.llm import line_dedup, queries
@@ -76,3 +77,18 @@ def test_heavy_buckets(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.op2_fuzzy_lines(spark, str(tmp_path)).count() == 0
+
+
+def test_one_edit_in_lines_of_50_to_100_characters(spark, tmp_path):
+    pick = random.Random(5)
+    word = lambda n: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    pairs = []
+    for n in (50, 60, 75, 90, 100):
+        line, other = (" ".join(word(4) for _ in range(25))[:n] for _ in range(2))
+        pairs.append((line, line[: n // 2] + "#" + line[n // 2 + 1 :]))
+        at = other.index(" ", n // 2)
+        pairs.append((other, f"{other[:at]} new{other[at:]}"))
+    pairs.append((notice := "copyright 2019 the contributors of this project, all rights reserved, see the file", notice.replace("2019", "2024")))
+    rows = [(2 * i + j, line) for i, two in enumerate(pairs) for j, line in enumerate(two)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect()) == list(range(0, len(rows), 2))
