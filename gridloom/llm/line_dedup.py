@@ -2,8 +2,8 @@
 
 Lines are the parts of a text between line feeds; blank ones never count and never go. Lines that are equal
 after trimming and lower-casing form one class (named by a 64-bit hash). A class has the set of its distinct shingles of ``k``
-characters, or the whole line as one if it is shorter. One random hash h of each shingle gives all components of
-the signature: component i is the least of h xor c_i for a fixed random c_i, which every shingle of a set is equally likely to give.
+characters, or the whole line as one if it is shorter. Component i of the signature is the least of 32 bits of a hash of the shingle
+and i, so that components are independent; each 64-bit hash gives two.
 Classes that share a band are candidates, and a link counts only if the exact sets have a Jaccard
 similarity of at least ``percent`` hundredths. Of each component the first line stays, by document id (null first), row key and place.
 
@@ -14,7 +14,6 @@ same lines.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +56,18 @@ def shingle_set(line: Column | str, k: int) -> Column:
     return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
-def buckets_of(lines: DataFrame, k: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
+def _component(h: Column, i: int) -> Column:
+    """What component i is the least of: the upper or the lower half of a hash of h and i // 2."""
+    mixed = F.xxhash64(F.lit(i // 2), h)
+    return F.shiftrightunsigned(mixed, 32) if i % 2 else mixed.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def buckets_of(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """Columns class and buckets, one row for each class."""
-    masks = np.random.default_rng(seed).integers(-(1 << 63), (1 << 63) - 1, bands * rows, dtype=np.int64).tolist()
     wide = lines.select("class", F.encode("line", "UTF-16BE").alias("wide"))
     places = wide.select("class", "wide", F.explode(_places(F.col("wide"), k)).alias("at"))
     hashes = places.select("class", _shingle(F.col("wide"), F.col("at"), k).alias("h"))
-    least = hashes.groupBy("class").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(masks)))
+    least = hashes.groupBy("class").agg(*(F.min(_component(F.col("h"), i)).alias(f"m{i}") for i in range(bands * rows)))
     bucket = lambda b: F.xxhash64(F.lit(b), *(f"m{b * rows + i}" for i in range(rows)))
     return least.select("class", F.array(*map(bucket, range(bands))).alias("buckets"))
 
