@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (a single machine, as in tests)
-    a fresh temporary folder is made and set for the session.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset and the session runs in one process (as in
+    tests) a fresh temporary folder is made and set for the session; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +56,23 @@ def drop_stored(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name`` with as many underscores in front as make it unlike all taken column names in any case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int, most_bytes: int = 16_000_000) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if its rows take at most ``most_bytes`` together; ``row_bytes`` is what one takes.
+
+    The size is summed up over all rows, so what is broadcast has a proven bound however long the rows are.
+    """
+    taken = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if taken <= most_bytes else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that are worth having at once: the cores, or the shuffle partitions if they are more."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

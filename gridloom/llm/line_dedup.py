@@ -2,14 +2,22 @@
 
 Lines are the parts of a text between line feeds; blank ones never count and never go. Lines that are equal
 after trimming and lower-casing form one class (named by a 64-bit hash). A class has the set of its distinct shingles of ``k``
-characters, or the whole line as one if it is shorter. Component i of the signature is the least of 32 bits of a hash of the shingle
-and i, so that components are independent; each 64-bit hash gives two.
-Classes that share a band are candidates, and a link counts only if the exact sets have a Jaccard
-similarity of at least ``percent`` hundredths. Of each component the first line stays, by document id (null first), row key and place.
-
-Signatures are aggregated where the text is read: shingles are generated and reduced by whole-stage code before
-anything is shuffled. Null and empty texts have no lines. Rows with the same id and text count as one document, so they keep the
-same lines.
+characters, or the whole line as one if it is shorter. Classes that share a band of their signatures are candidates, and a link counts
+only if the exact sets have a Jaccard similarity of at least ``percent`` hundredths. Of each component of links the first
+line stays, by document id (null first), row key and place.
+
+Signatures are MinHash with one permutation: the hash of a shingle chooses one of ``bands`` times ``rows`` components and
+stands for itself there, and a component is the least of what falls to it. Lines with few shingles draw several times; later draws count
+only where earlier ones left a component empty, so lines of different lengths stay comparable. A line whose few distinct
+shingles repeat many times has fewer components filled and is found by the bands that are.
+
+Candidates are never listed as pairs of a bucket. Every class is first verified against the likeliest of a few hubs of its buckets,
+twice, and the links found so far are put together by union-find. What is still apart within a bucket is then joined on a bound that the
+sizes and 1024-bit parities of two sets give: sets whose parities differ in d bits differ in at least d shingles, so only
+pairs that may be similar enough leave that join, and all of them are verified.
+
+Null and empty texts have no lines. Rows with the same id and text count as one document, so they keep the
+same lines. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -17,21 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import broadcast_if_small, fresh, stored
 from gridloom.llm.components import components
 from gridloom.llm.near_dedup import row_key
 
 #: With 5 characters, lines of 49 characters and more stay at 0.8 after one character changed anywhere. With 16 bands of 5, sets with a
 #: similarity of 0.8 are candidates with a probability of 0.998, of 0.9 with more than 0.9999, unrelated lines (0.05) with 0.000005.
 SHINGLE_CHARS, PERCENT, BANDS, ROWS = 5, 80, 16, 5
-#: Buckets up to this size are compared pair by pair; larger ones first with a few hubs, then what isn't connected yet.
-LIGHT_BUCKET, HUB_ROUNDS = 32, 4
-#: Rows that may be broadcast (a hash, or a row key with its places); beyond, both sides are shuffled.
-BROADCAST_ROWS = 400_000
-
-
-def _broadcast_if_few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Draws that a line makes at least, so that few components stay empty (3 of 100 with 80 components).
+LEAST_DRAWS = 256
+#: Two classes that are alone in a bucket are dropped if more of 64 bits of their signatures differ; at 0.8 a tenth do, more than 22 with 1e-7.
+MOST_BITS_APART = 22
+#: Hubs that a bucket has in each round.
+HUBS = (2, 8)
+#: Longs of the parity of a set.
+PARITY_LONGS = 16
 
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,112 +54,163 @@ def _shingle(wide: Column, at: Column, k: int) -> Column:
     return F.xxhash64(F.substring(wide, at, F.lit(2 * k)))
 
 
-def _places(wide: Column, k: int) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(wide) - 2 * k + 1), F.lit(2))
-
-
 def shingle_set(line: Column | str, k: int) -> Column:
     """The distinct shingles of a line. The wide text is bound to a variable, else it would be made anew for each shingle."""
-    of = lambda wide: F.array_distinct(F.transform(_places(wide, k), lambda i: _shingle(wide, i, k)))
+    places = lambda wide: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(wide) - 2 * k + 1), F.lit(2))
+    of = lambda wide: F.array_distinct(F.transform(places(wide), lambda i: _shingle(wide, i, k)))
     return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
-def _component(h: Column, i: int) -> Column:
-    """What component i is the least of: the upper or the lower half of a hash of h and i // 2."""
-    mixed = F.xxhash64(F.lit(i // 2), h)
-    return F.shiftrightunsigned(mixed, 32) if i % 2 else mixed.bitwiseAND(F.lit(0xFFFFFFFF))
+def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """Columns class, bits (64 of the signature) and buckets (one for each band that isn't empty), one row for each class.
 
+    Lines move once, by class; all that follows is grouped within a class and stays where it is.
+    """
+    wide = lines.select("class", "line").dropDuplicates(["class"]).select("class", F.encode("line", "UTF-16BE").alias("wide"))
+    wide = wide.withColumn("n", F.greatest(F.lit(1), F.expr(f"cast(length(wide) div 2 as int) - {k - 1}")))
+    draws = wide.select("class", "wide", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(LEAST_DRAWS) / F.col("n")).cast("int") * F.col("n") - 1))).alias("draw"))
+    drawn = draws.select("class", "wide", (F.col("draw") % F.col("n") * 2 + 1).alias("at"), F.expr("cast(draw div n as int)").alias("turn"))
+    hashed = drawn.select("class", "turn", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * k)), "turn").alias("h"))
+    component = F.shiftright(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) * (bands * rows), 31).cast("int")
+    placed = hashed.select("class", component.alias("component"), (F.shiftleft(F.col("turn").cast("long"), 31) + F.shiftrightunsigned("h", 33)).alias("value"))
+    dealt = placed.select("class", (F.col("component") % bands).alias("band"), F.expr(f"cast(component div {bands} as int)").alias("row"), "value")
+    least = dealt.groupBy("class", "band").agg(*(F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"m{r}") for r in range(rows)))
+    filled = [F.coalesce(F.col(f"m{r}"), F.lit(-1)) for r in range(rows)]
+    # Bits that have no place in the 64 are shifted out by none being taken.
+    place = lambda r: F.col("band") * rows + r
+    bits = [F.when(place(r) < 64, F.expr(f"shiftleft(cast(coalesce(m{r}, 0) & 1 as bigint), cast(band * {rows} + {r} as int))")).otherwise(F.lit(0)) for r in range(rows)]
+    some = bits[0]
+    for b in bits[1:]:
+        some = some.bitwiseOR(b)
+    keyed = least.select("class", F.xxhash64("band", *filled).alias("bucket"), some.alias("bits"))
+    return keyed.groupBy("class").agg(F.bit_or("bits").alias("bits"), F.collect_list("bucket").alias("buckets"))
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """Columns bucket and class of all buckets with more than one class, but for two that are alone and unlike."""
+    exploded = classes.select("class", "bits", F.explode("buckets").alias("bucket"))
+    counts = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+    alike = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= MOST_BITS_APART
+    shared = stored(counts.where((F.col("size") > 2) | ((F.col("size") == 2) & alike)).select("bucket"), "line-buckets")
+    return exploded.select("bucket", "class").join(broadcast_if_small(shared, 16), "bucket")
+
+
+def described(texts: DataFrame, k: int) -> DataFrame:
+    """Columns class, n (size of the shingle set) and p0, p1, ...: bit b of the parity is set if an odd number of shingles fall to it."""
+    shingles = texts.select("class", F.explode(shingle_set("line", k)).alias("h"))
+    at = shingles.select("class", F.pmod(F.shiftright("h", 6), F.lit(PARITY_LONGS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return at.groupBy("class").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0))).alias(f"p{j}") for j in range(PARITY_LONGS)))
+
+
+def _side(members: DataFrame, end: str) -> DataFrame:
+    """The members with their columns named for one end of a pair, but for the bucket."""
+    return members.select("bucket", F.col("class").alias(end), F.col("root").alias(f"root_{end}"), F.col("n").alias(f"n_{end}"), *(F.col(f"p{j}").alias(f"p{j}_{end}") for j in range(PARITY_LONGS)))
+
+
+def _apart() -> Column:
+    """In how many bits the parities of a and b differ."""
+    out = F.lit(0)
+    for j in range(PARITY_LONGS):
+        out = out + F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b")))
+    return out
+
+
+def _possible(percent: int) -> Column:
+    """Whether a and b aren't connected yet and may be similar enough, by their sizes and parities."""
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return (F.col("root_a") != F.col("root_b")) & sizes & (_apart() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each class the pair with the hub of its buckets whose parity is nearest.
+
+    The hubs of a bucket are classes of its largest component, drawn by a hash; at first, of all its classes.
+    """
+    group = F.lit(0) if turn == 0 else F.col("root")
+    drawn = [F.max_by("class", F.xxhash64(F.lit(turn), F.lit(i), "class")) for i in range(HUBS[turn])]
+    groups = members.groupBy("bucket", group.alias("group")).agg(F.count("*").alias("size"), F.array(*drawn).alias("hubs"))
+    largest = groups.groupBy("bucket").agg(F.max(F.struct("size", "group", "hubs")).alias("of"))
+    hubs = largest.select("bucket", F.explode(F.array_distinct("of.hubs")).alias("class"))
+    hubs = _side(hubs.join(members, ["bucket", "class"]), "b")
+    pairs = _side(members, "a").join(hubs, "bucket").where(_possible(percent))
+    best = pairs.groupBy("a").agg(F.min_by("b", _apart() / (F.col("n_a") + F.col("n_b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def buckets_of(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Columns class and buckets, one row for each class."""
-    wide = lines.select("class", F.encode("line", "UTF-16BE").alias("wide"))
-    places = wide.select("class", "wide", F.explode(_places(F.col("wide"), k)).alias("at"))
-    hashes = places.select("class", _shingle(F.col("wide"), F.col("at"), k).alias("h"))
-    least = hashes.groupBy("class").agg(*(F.min(_component(F.col("h"), i)).alias(f"m{i}") for i in range(bands * rows)))
-    bucket = lambda b: F.xxhash64(F.lit(b), *(f"m{b * rows + i}" for i in range(rows)))
-    return least.select("class", F.array(*map(bucket, range(bands))).alias("buckets"))
 
+def _still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members with new roots, of those buckets that hold more than one component."""
+    labelled = members.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return stored(labelled.join(mixed, "bucket", "left_semi"), "line-members-left")
 
-def verified(pairs: DataFrame, lines: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose exact sets are similar enough; ``lines`` has class, line and n (the set's size).
 
-    Pairs whose sizes differ too much go before any text is joined.
-    """
-    size = lambda e: lines.select(F.col("class").alias(e), F.col("n").alias(f"n_{e}"))
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    left = pairs.join(size("a"), "a").join(size("b"), "b").where(close).select("a", "b")
-    side = lambda e: lines.select(F.col("class").alias(e), F.col("line").alias(f"of_{e}"))
-    two = left.join(side("a"), "a").join(side("b"), "b")
+def _pairs_left(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket that aren't connected and may be similar enough."""
+    return _side(members, "a").join(_side(members, "b"), "bucket").where((F.col("a") < F.col("b")) & _possible(percent)).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose exact sets are similar enough; ``texts`` has class and line."""
+    side = lambda e: texts.select(F.col("class").alias(e), F.col("line").alias(f"of_{e}"))
+    two = pairs.join(side("a"), "a").join(side("b"), "b")
     # Lambda variables hold each set and the size of the intersection, so that they are worked out once a pair.
     sets = F.array(F.struct(shingle_set("of_a", k).alias("a"), shingle_set("of_b", k).alias("b")))
     alike = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda both: both * 100 >= (F.size(s["a"]) + F.size(s["b"]) - both) * percent)
     return two.where(F.exists(sets, alike)).select("a", "b")
 
 
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("class"))
-    return members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-
-def _pairs(labelled: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose ends aren't connected yet."""
-    other = labelled.select("bucket", F.col("class").alias("b"), F.col("root").alias("root2"))
-    found = labelled.join(other, "bucket").where((F.col("class") < F.col("b")) & (F.col("root") != F.col("root2")))
-    return found.select(F.col("class").alias("a"), "b").distinct()
-
-
-def _hub_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """Pairs with one hub a bucket: first the class with the most candidates, then others of the largest component."""
-    order = F.struct(F.when(F.lit(turn == 0), F.col("score")).otherwise(F.lit(0)).alias("score"), F.xxhash64(F.lit(turn), "class").alias("hash"), "class")
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(order).alias("pick"))
-    rank = F.struct(*(["pick", "root"] if turn == 0 else ["n", "pick", "root"]))
-    hubs = sizes.groupBy("bucket").agg(F.max(rank).alias("hub")).select("bucket", F.col("hub.pick.class").alias("b"), F.col("hub.root").alias("root2"))
-    return labelled.join(hubs, "bucket").where(F.col("root") != F.col("root2")).select(F.col("class").alias("a"), "b").distinct()
-
-
-def linked_classes(members: DataFrame, lines: DataFrame, k: int, percent: int) -> DataFrame:
-    """Columns node and root of all classes with a link. ``members``: bucket, size and class; ``lines``: class, line and n; both stored."""
-    heavy = members.where(F.col("size") > LIGHT_BUCKET)
-    light = _pairs(_labelled(members.where(F.col("size") <= LIGHT_BUCKET), None))
-    found = stored(verified(light, lines, k, percent), "links")
-    roots = stored(components(found), "roots")
-    if not heavy.isEmpty():
-        scores = heavy.groupBy("class").agg(F.sum("size").alias("score"))
-        heavy = stored(heavy.join(scores, "class"), "heavy-members")
-        for turn in range(HUB_ROUNDS + 1):
-            labelled = _labelled(heavy, roots)
-            pairs = _hub_pairs(labelled, turn) if turn < HUB_ROUNDS else _pairs(labelled)
-            found = found.unionByName(stored(verified(pairs, lines, k, percent), "links"))
-            roots = stored(components(found), "roots")
+def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Columns node and root of all classes with a link. ``members``: bucket and class; ``texts``: class and line; both stored."""
+    sets = stored(described(texts, k), "line-sets")
+    left = stored(members.join(sets, "class").withColumn("root", F.col("class")), "line-members")
+    found, roots = None, None
+    for turn in range(len(HUBS) + 1):
+        if turn:
+            left = _still_apart(left, roots)
+        pairs = _hub_pairs(left, turn, percent) if turn < len(HUBS) else _pairs_left(left, percent)
+        new = stored(verified(pairs, texts, k, percent), "line-links")
+        if roots is None or not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            roots = stored(components(found), "line-roots")
     return roots
 
 
-def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE_CHARS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Columns row_key and places (array<int>): the lines that go, for each document that loses any."""
+def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE_CHARS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The lines that go: columns row_key, place, and of_id and of_place of the line that stays for them, once for each document."""
     lines = split_lines(docs, key, text)
-    classes = stored(buckets_of(lines, k, bands, rows), "line-classes")
-    exploded = classes.select("class", F.explode("buckets").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(exploded.join(shared, "bucket"), "line-members")
-    wanted = _broadcast_if_few(members.select("class").distinct())
-    texts = lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    texts = stored(texts.withColumn("n", F.size(shingle_set("line", k))), "line-texts")
+    classes = stored(signed_classes(lines, k, bands, rows), "line-classes")
+    members = stored(shared_buckets(classes), "line-candidates")
+    wanted = broadcast_if_small(stored(members.select("class").distinct(), "line-wanted"), 16)
+    texts = stored(lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "line-texts")
     roots = linked_classes(members, texts, k, percent)
     places = lines.select("id", "row_key", "place", "class")
-    labelled = places.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
+    labelled = places.join(broadcast_if_small(roots, 24).withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
     labelled = stored(labelled.select("id", "row_key", "place", "group"), "line-places")
     first = labelled.groupBy("group").agg(F.min(F.struct("id", "row_key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = labelled.join(first, "group").where(~F.struct("id", "row_key", "place").eqNullSafe(F.col("first")))
-    return gone.groupBy("row_key").agg(F.collect_set("place").alias("places"))
+    return gone.select("row_key", "place", F.col("first.id").alias("of_id"), F.col("first.place").alias("of_place")).distinct()
+
+
+def with_kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kept: str = "kept", gone: str = "gone", **options) -> DataFrame:
+    """``docs`` with two columns more, whose names must be free.
+
+    ``kept`` is the array of lines that stay and ``gone`` an array of struct<place, of_id, of_place> of the others, by place. Both are
+    null where no line goes (a null text included).
+    """
+    found = repeated_lines(docs, key=key, text=text, **options)
+    by_row = found.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("place", "of_id", "of_place"))).alias(gone))
+    by_row = stored(by_row, "repeated-lines")
+    at = fresh("row_key", docs.columns, [kept, gone])
+    by_row = broadcast_if_small(by_row, F.lit(64) + 24 * F.size(gone)).withColumnRenamed("row_key", at)
+    joined = docs.withColumn(at, row_key(key, text)).join(by_row, at, "left")
+    places = F.transform(gone, lambda x: x["place"])
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i))
+    return joined.withColumn(kept, F.when(F.col(gone).isNotNull(), left)).drop(at)
 
 
 def without_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the lines that stay. A document that had lines and keeps none goes."""
-    gone = stored(dropped_lines(docs, key=key, text=text, **options), "dropped-lines")
-    gone = _broadcast_if_few(gone.select(F.col("row_key").alias("_row_key"), F.col("places").alias("_places")))
-    joined = docs.withColumn("_row_key", row_key(key, text)).join(gone, "_row_key", "left")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_places"), i))
-    joined = joined.withColumn("_kept", F.when(F.col("_places").isNotNull(), kept))
-    joined = joined.where(F.col("_kept").isNull() | F.exists("_kept", lambda x: F.trim(x) != ""))
-    return joined.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))).drop("_row_key", "_places", "_kept")
+    kept, gone = fresh("kept", docs.columns), fresh("gone", docs.columns)
+    joined = with_kept_lines(docs, key=key, text=text, kept=kept, gone=gone, **options)
+    joined = joined.where(F.col(kept).isNull() | F.exists(kept, lambda x: F.trim(x) != ""))
+    return joined.withColumn(text, F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(docs.columns)

@@ -28,10 +28,17 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that keep a line: the lines that stay, how many there were, and a digest of the new text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    done = line_dedup.without_repeated_lines(docs)
-    return done.select("doc_id", "n_lines", F.size(F.split("text", "\n")).cast("long").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+    """Every document: how many lines it had and keeps, a digest of the new text, and each line that goes with the line that stays for it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.with_kept_lines(docs)
+    lines = F.split("text", "\n")
+    return done.select(
+        "doc_id",
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.coalesce("kept", lines)).cast("long").alias("n_kept"),
+        F.sha2(F.coalesce(F.array_join("kept", "\n"), "text"), 256).alias("text_sha256"),
+        F.coalesce("gone", F.array().cast("array<struct<place:int,of_id:bigint,of_place:int>>")).alias("repeats"),
+    )
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

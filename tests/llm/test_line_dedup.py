@@ -12,7 +12,7 @@ def shingles(line, k=line_dedup.SHINGLE_CHARS):
 
 
 def brute(rows):
-    """Expected (doc_id, n_lines, n_kept, digest) of documents that keep a line."""
+    """Expected (doc_id, n_lines, n_kept, digest, repeats) of every document."""
     places = defaultdict(list)
     for doc_id, text in rows:
         for i, line in enumerate((text or "").split("\n")):
@@ -41,15 +41,23 @@ def brute(rows):
     out = []
     for doc_id, text in rows:
         lines = None if text is None else text.split("\n")
-        stay = None if lines is None else [x for i, x in enumerate(lines) if not x.strip(" ") or first[find(x.strip(" ").lower())] == (doc_id is not None, doc_id or 0, text, i)]
-        if lines is None or stay == lines or any(x.strip(" ") for x in stay):
-            out.append((doc_id, None if lines is None else len(lines), None if lines is None else len(stay), None if lines is None else hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+        if lines is None:
+            out.append((doc_id, None, None, None, ()))
+            continue
+        stay, gone = [], []
+        for i, x in enumerate(lines):
+            one = first[find(x.strip(" ").lower())] if x.strip(" ") else None
+            if one is None or one == (doc_id is not None, doc_id or 0, text, i):
+                stay.append(x)
+            else:
+                gone.append((i, one[1] if one[0] else None, one[3]))
+        out.append((doc_id, len(lines), len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest(), tuple(gone)))
     return Counter(out)
 
 
 def check(spark, folder):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    got = Counter((r.doc_id, None if r.n_lines == -1 else r.n_lines, None if r.n_kept == -1 else r.n_kept, r.text_sha256) for r in queries.op2_fuzzy_lines(spark, folder).collect())
+    got = Counter((r.doc_id, None if r.n_lines == -1 else r.n_lines, None if r.n_kept == -1 else r.n_kept, r.text_sha256, tuple(map(tuple, r.repeats))) for r in queries.op2_fuzzy_lines(spark, folder).collect())
     assert got == brute(rows)
 
 
@@ -91,4 +99,4 @@ def test_one_edit_in_lines_of_50_to_100_characters(spark, tmp_path):
     pairs.append((notice := "copyright 2019 the contributors of this project, all rights reserved, see the file", notice.replace("2019", "2024")))
     rows = [(2 * i + j, line) for i, two in enumerate(pairs) for j, line in enumerate(two)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(r.doc_id for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect()) == list(range(0, len(rows), 2))
+    assert sorted(r.doc_id for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect() if r.n_kept) == list(range(0, len(rows), 2))
