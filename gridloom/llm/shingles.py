@@ -7,6 +7,7 @@ one shingle, a text without words has none.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+#: A second modulus, a prime, and a base of it: what collides modulo 2**64 (texts with a recursive pattern do for any base) doesn't there.
+_PRIME, _BASE_2 = (1 << 31) - 1, 1_234_567_891
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,18 +33,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """Powers 0 to ``size`` - 1 of ``base`` modulo the prime, doubled up."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+    return out[:size]
+
+
 @lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A value for each byte, and the powers of an odd base and of its inverse modulo 2**64."""
+def _powers() -> tuple[np.ndarray, ...]:
+    """A value for each byte, and the powers of a base and of its inverse modulo 2**64 and modulo the prime."""
     size = PART_BYTES + (1 << 14)
     with np.errstate(over="ignore"):
         up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, b, dtype=np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)), up, down
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)), up, down, _prime_powers(_BASE_2, size + 1), _prime_powers(pow(_BASE_2, -1, _PRIME), size + 1)
 
 
 def _hash_part(data: bytes) -> np.ndarray:
     """A hash for each word of ``data``, whose length the power tables cover."""
-    values, up, down = _powers()
+    values, up, down, up_2, down_2 = _powers()
     a = np.frombuffer(data, dtype=np.uint8)
     word = ~_SPACE[a]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
@@ -54,7 +64,11 @@ def _hash_part(data: bytes) -> np.ndarray:
     total = np.empty(len(a) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(values[a] * up[: len(a)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    first = (total[end] - total[begin]) * down[begin]
+    # Bytes times residues of 31 bits: the sum of all of a part stays below 2**60.
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up_2[: len(a)], out=total[1:])
+    second = (total[end] - total[begin]) % np.uint64(_PRIME) * down_2[begin] % np.uint64(_PRIME)
+    return mix(mix(first + (end - begin).astype(np.uint64)) + second * np.uint64(_BASE))
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -68,11 +82,8 @@ def _parts(text: bytes) -> Iterator[bytes]:
 
 
 def _hash_long_word(word: bytes) -> np.ndarray:
-    """A word that is longer than the tables: a hash of its parts' hashes."""
-    out = 0
-    for i in range(0, len(word), PART_BYTES):
-        out = (out * _BASE + int(_hash_part(word[i : i + PART_BYTES])[0]) + 1) & _MASK
-    return mix(np.array([out], dtype=np.uint64))
+    """A word that is longer than the tables."""
+    return np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype="<u8").copy()
 
 
 def word_hashes(text: bytes) -> np.ndarray:

@@ -106,3 +106,12 @@ def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+def test_words_of_a_recursive_pattern_stay_apart(spark, tmp_path):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, "z" * 3_000_000), (5, "z" * 3_000_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, str(tmp_path))
