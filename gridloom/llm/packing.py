@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths reaches the driver: at most ``capacity`` counts, whatever the input.
 On it the plan is made. Lengths above ``small`` are sorted and cut into groups of equal cardinality, each
-length is rounded up to the largest of its group, and the few sizes that are left are combined into
-configurations that fill a sequence as full as a bounded knapsack can. Then the actual documents take the
-places of the rounded ones, and what they leave free is given to the small lengths by best fit. The plan
+length is rounded up to the largest of its group, and column generation finds which configurations of the few sizes that are left meet
+all demand with the fewest sequences. Then actual documents take the places of the rounded ones; the last place of a sequence goes to the
+longest that fits, which takes up what rounding left free. As that changes what is left, the fuller half of the configurations is filled at a time and
+the rest is grouped anew. What still is free is given to the small lengths by best fit. The plan
 consists of runs of equal sequences, so it is as small as the histogram. Spark ranks the pieces of
 each length and every piece looks its place up.
 
@@ -25,7 +26,8 @@ from gridloom.llm.common import blocks, slices
 from gridloom.llm.tokenization import byte_level_encoder
 
 CAPACITY = 1024
-GROUPS = 1024
+#: Groups that lengths are rounded in; lengths up to a sixteenth of the capacity are small.
+GROUPS = 48
 
 
 def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,26 +55,10 @@ def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, en
     return rows.mapInPandas(cut, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
 
 
-class _Runs:
-    """The lengths of a multiset in descending order as runs, taken from the front."""
-
-    def __init__(self, counts: list[tuple[int, int]]) -> None:
-        self.runs = [[length, n] for length, n in counts if n]
-        self.at = 0
-
-    def take(self, most: int) -> tuple[int, int]:
-        length, n = self.runs[self.at]
-        n = min(n, most)
-        self.runs[self.at][1] -= n
-        self.at += self.runs[self.at][1] == 0
-        return length, n
-
-    def left(self) -> int:
-        return sum(n for _, n in self.runs[self.at :])
-
-
 def equal_groups(counts: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """Cut (length, count) runs in descending order into at most ``groups`` groups of equal cardinality."""
+    """Cut (length, count) runs in descending order into at most ``groups`` groups of equal cardinality; with no more lengths than groups, one a length."""
+    if len(counts) <= groups:
+        return [[x] for x in counts]
     total = sum(n for _, n in counts)
     size = max(1, -(-total // groups))
     out, room = [[]], size
@@ -87,37 +73,80 @@ def equal_groups(counts: list[tuple[int, int]], groups: int) -> list[list[tuple[
     return out if counts else []
 
 
-def fullest_configuration(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size fill ``capacity`` best, the largest in demand first (bounded knapsack).
-
-    Starting with the largest size still wanted keeps the hard ones from being left over.
+def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: np.ndarray) -> tuple[np.ndarray, float]:
+    """How many of each size are worth most within ``capacity``, at most ``most`` of each (knapsack over all sums)."""
+    best = np.zeros(capacity + 1)
+    taken = []
+    for size, w, n in zip(sizes.tolist(), worth.tolist(), most.tolist(), strict=True):
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        if w > 1e-9:
+            base = best
+            for k in range(1, min(n, capacity // size) + 1):
+                better = base[: capacity + 1 - k * size] + k * w > best[k * size :] + 1e-12
+                if not better.any():
+                    break
+                best = best.copy()
+                at = np.flatnonzero(better) + k * size
+                best[at], counts[at] = base[at - k * size] + k * w, k
+        taken.append(counts)
+    out, room = np.zeros(len(sizes), dtype=np.int64), int(best.argmax())
+    value = float(best[room])
+    for s in range(len(sizes) - 1, -1, -1):
+        out[s] = taken[s][room]
+        room -= int(out[s] * sizes[s])
+    return out, value
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, rounds: int = 200) -> list[tuple[np.ndarray, int]]:
+    """Configurations of sizes and how often each is used, so that all demand is met with few sequences.
+
+    The linear programme over all configurations is solved by column generation: a simplex basis of one configuration a
+    size, to which the most valuable one at the current prices of the sizes is brought in until none helps. Its whole
+    parts are taken, and what demand is left is solved anew; a demand too small for whole parts takes the configuration of
+    the largest size still wanted that is worth most.
     """
-    first = int(np.flatnonzero(demand)[0])
-    room = capacity - int(sizes[first])
-    wanted = demand.copy()
-    wanted[first] -= 1
-    #: reach[r]: index of the size that first reached the sum r, or -1; used[r]: how many of it.
-    reach = np.full(room + 1, -1, dtype=np.int64)
-    before = np.full(room + 1, -1, dtype=np.int64)
-    reached = np.zeros(room + 1, dtype=bool)
-    reached[0] = True
-    for s in np.flatnonzero(wanted):
-        size = int(sizes[s])
-        if size > room:
-            continue
-        for _ in range(min(int(wanted[s]), room // size)):
-            new = np.flatnonzero(reached[: room + 1 - size] & ~reached[size:]) + size
-            if not len(new):
+    demand, out = demand.astype(np.int64).copy(), []
+    while demand.any():
+        used = np.flatnonzero(demand)
+        some, want = sizes[used], demand[used]
+        basis = np.diag(np.minimum(capacity // some, want)).astype(float)
+        inverse = np.linalg.inv(basis)
+        for turn in range(rounds):
+            prices = inverse.sum(axis=0)
+            column, value = _best_column(some, prices, capacity, want)
+            if value <= 1 + 1e-3:
                 break
-            reached[new], reach[new], before[new] = True, s, new - size
-        if reached[room]:
-            break
-    out = np.zeros(len(sizes), dtype=np.int64)
-    out[first] = 1
-    at = int(np.flatnonzero(reached)[-1])
-    while at:
-        out[reach[at]] += 1
-        at = int(before[at])
+            step, level = inverse @ column, inverse @ want
+            ratio = np.full(len(some), np.inf)
+            np.divide(level, step, out=ratio, where=step > 1e-9)
+            out_row = int(ratio.argmin())
+            basis[:, out_row] = column
+            pivot = inverse[out_row] / step[out_row]
+            inverse = inverse - np.outer(step, pivot)
+            inverse[out_row] = pivot
+            if turn % 50 == 49:  # rounding errors don't pile up
+                inverse = np.linalg.inv(basis)
+        times = np.floor(np.maximum(inverse @ want, 0) + 1e-6).astype(np.int64)
+        order = np.argsort(-(some @ basis))
+        taken = False
+        for i in order[times[order] > 0]:
+            column = np.rint(basis[:, i]).astype(np.int64)
+            n = int(min(times[i], (demand[used][column > 0] // column[column > 0]).min()))
+            if n:
+                whole = np.zeros(len(sizes), dtype=np.int64)
+                whole[used] = column
+                demand -= n * whole
+                out.append((whole, n))
+                taken = True
+        if not taken:
+            first = used[int(some.argmax())]
+            rest = demand.copy()
+            rest[first] -= 1
+            column, _ = _best_column(sizes, sizes * (rest > 0) / capacity, capacity - int(sizes[first]), rest)
+            column[first] += 1
+            n = int((demand[column > 0] // column[column > 0]).min())
+            demand -= n * column
+            out.append((column, n))
     return out
 
 
@@ -127,11 +156,9 @@ def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = G
     The rank r of a run belongs in sequence ``first sequence + r - first rank``.
     """
     small = capacity // 16 if small is None else small
-    large = [(length, histogram[length]) for length in sorted(histogram, reverse=True) if length > small]
-    grouped = equal_groups(large, groups)
-    sizes = np.array([g[0][0] for g in grouped], dtype=np.int64)
-    runs = [_Runs(g) for g in grouped]
-    demand = np.array([r.left() for r in runs], dtype=np.int64)
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        left[length] = n if length > small else 0
     ranks = dict.fromkeys(histogram, 0)
     rows: list[tuple[int, int, int, int, int]] = []
     free: dict[int, list[list[int]]] = {}
@@ -141,25 +168,45 @@ def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = G
         rows.append((length, ranks[length], n, sequence, offset))
         ranks[length] += n
 
-    while demand.any():
-        chosen = fullest_configuration(sizes, demand, capacity)
-        used = np.flatnonzero(chosen)
-        times = int((demand[used] // chosen[used]).min())
-        demand[used] -= times * chosen[used]
-        #: Sequences of this configuration whose actual lengths are equal so far: [first sequence, number, filled].
-        alike = [[sequences, times, 0]]
-        sequences += times
-        for s in (s for s in used for _ in range(chosen[s])):
-            split = []
-            for first, n, filled in alike:
-                while n:
-                    length, k = runs[s].take(n)
-                    place(length, k, first, filled)
-                    split.append([first, k, filled + length])
-                    first, n = first + k, n - k
-            alike = split
+    def substitute(alike: list[list[int]], limit: int | None) -> tuple[list[list[int]], list[list[int]]]:
+        """Give each sequence the longest piece left within ``limit``, or within its room; those that got one and those that didn't."""
+        given, full = [], []
         for first, n, filled in alike:
-            free.setdefault(capacity - filled, []).append([first, n])
+            while n:
+                fits = np.flatnonzero(left[: (capacity - filled if limit is None else limit) + 1])
+                if not len(fits):
+                    full.append([first, n, filled])
+                    break
+                length = int(fits[-1])
+                k = int(min(n, left[length]))
+                left[length] -= k
+                place(length, k, first, filled)
+                given.append([first, k, filled + length])
+                first, n = first + k, n - k
+        return given, full
+
+    while left.any():
+        grouped = equal_groups([(int(x), int(left[x])) for x in np.flatnonzero(left)[::-1]], groups)
+        sizes = np.array([g[0][0] for g in grouped], dtype=np.int64)
+        demand = np.array([sum(n for _, n in g) for g in grouped], dtype=np.int64)
+        chosen = sorted(configurations(sizes, demand, capacity), key=lambda c: -int(c[0] @ sizes))
+        # The fuller half of the sequences is made, then the rest is grouped anew, for shorter pieces than planned are left.
+        planned, made = sum(times for _, times in chosen), 0
+        for column, times in chosen:
+            times = min(times, max(1, (planned + 1) // 2 - made)) if planned > 16 else times
+            alike = [[sequences, times, 0]]
+            slots = [int(x) for x in np.repeat(sizes, column)]
+            for size in slots[:-1]:
+                alike = [x for some in substitute(alike, size) for x in some]
+            while alike:  # the last place goes to the longest piece that fits, and so does any room after it
+                alike, full = substitute(alike, None)
+                for first, n, filled in full:
+                    if filled:
+                        free.setdefault(capacity - filled, []).append([first, n])
+            sequences += times
+            made += times
+            if not left.any() or planned > 16 and made >= planned // 2:
+                break
     for length in sorted((x for x in histogram if x <= small), reverse=True):
         n = histogram[length]
         while n:

@@ -72,3 +72,38 @@ def test_encoder_equals_the_library():
     encoder, library = byte_level_encoder(PATH), load_tokenizer(PATH)
     for text in ["", "don't  stop\n\n now", "Ünïcode é", "½ ² 日本語", "<|endoftext|>x", "a" * 3000, "\x1c \x1d"]:
         assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def best_fit_decreasing(histogram, capacity=1024):
+    free, sequences = Counter(), 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fits = [f for f in free if f >= length and free[f]]
+            room = min(fits, default=capacity)
+            sequences += not fits
+            if fits:
+                free[room] -= 1
+            free[room - length] += 1
+    return sequences
+
+
+def test_sequences_against_best_fit_decreasing():
+    rng = np.random.default_rng(1)
+    n = 20_000
+    for lengths, most in (
+        (rng.integers(300, 600, n), 0.99),
+        (rng.integers(65, 400, n), 1.0),
+        (rng.choice([200, 333, 400, 510, 700], n), 1.0),
+        (np.clip(rng.lognormal(5.5, 0.9, n).astype(int), 1, 1024), 1.01),
+        (rng.integers(1, 1025, n), 1.02),
+    ):
+        histogram = Counter(lengths.tolist())
+        places = packing.plan(histogram)
+        used = {s for _, _, k, first, _ in places.tolist() for s in range(first, first + k)}
+        assert len(used) <= best_fit_decreasing(histogram) * most + 1
+
+
+def test_few_sizes_stay_within_groups():
+    counts = [(length, 7) for length in range(1000, 100, -1)]
+    groups = packing.equal_groups(counts, packing.GROUPS)
+    assert len(groups) == packing.GROUPS and sum(k for g in groups for _, k in g) == 7 * 900
