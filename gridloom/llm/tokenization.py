@@ -21,7 +21,8 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: 1C-1F, Latin letters, and the common typographic marks.
 _STABLE = re.compile("[\t\n\r -~¡-¬®-ɏ‐-―‘-„•…€]*")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE_ENTRIES = 200_000
+#: Entries of a cache; one of spans takes about 250 bytes.
+CACHE_ENTRIES, SPAN_ENTRIES = 150_000, 60_000
 
 
 def load_tokenizer(path: str):
@@ -97,17 +98,42 @@ class ByteLevelEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+class _Spans(dict):
+    """Ids, begins and ends of the tokens of a field (three rows), worked out when first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, field: str) -> np.ndarray:
+        if len(self) >= SPAN_ENTRIES:
+            self.clear()
+        done = self.tokenizer.encode(field, add_special_tokens=False)
+        found = np.array([done.ids, *zip(*done.offsets, strict=True)] if done.ids else np.zeros((3, 0)), dtype=np.int32)
+        if len(field) <= 64:
+            self[field] = found
+        return found
+
+
 class FieldEncoder:
     """Ids of texts for files that drop white space: fields between white space don't influence each other."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.ids = _Ids(self.tokenizer)
+        self.ids, self.spans = _Ids(self.tokenizer), _Spans(self.tokenizer)
+        added = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], dtype=object)
 
+    def by_fields(self, text: str) -> bool:
+        """Whether the fields of a text are certain to be those that the library finds."""
+        return bool(_STABLE.fullmatch(text)) and not (self.added and self.added.search(text))
+
     def encode(self, text: str) -> bytes:
         if _STABLE.fullmatch(text):
-            text = text.lower()  # as the file's normalizer does; words are then found again in either case
+            # As the file's normalizer does, so that words are found again in either case; added tokens are matched before it.
+            low = text.lower()
+            text = text if self.added and self.added.search(low) else low
         fields = re.split("[ \t\n\r]+", text) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.ids.__getitem__, fields))
 

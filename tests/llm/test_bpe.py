@@ -54,3 +54,28 @@ def test_tree_equals_the_library_for_many_cuts():
         text = "".join(rng.choice(list("abehint'  .,12é日\n"), rng.integers(1, 400)))
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert bpe.encode_by_tree(text, PATH, leaf_chars=int(rng.integers(5, 60))).tolist() == want
+
+
+def test_tokens_in_other_cases_are_text(spark, tmp_path):
+    rows = [(1, "<|ENDOFTEXT|>"), (2, "<|ENDOFTEXT|> Hi"), (3, "<|endoftext|> Hi <|EndOfText|>"), (4, "A<|STARTOFTEXT|>b"), (5, "x <|ENDOFTEXT|> y " * 2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, str(tmp_path))
+
+
+def test_random_texts_with_tokens_in_any_case():
+    tokenizer, encoder = load_tokenizer(PATH), bpe.field_encoder(PATH)
+    rng = np.random.default_rng(4)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", " ", "\n", "Word", "it's", "É", "İ", "日", "12", ".", "\x1d"]
+    for _ in range(800):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == want, text
+        assert bpe.encode_by_tree(text, PATH, leaf_chars=int(rng.integers(3, 12))).tolist() == want, text
+
+
+def test_most_texts_are_joined(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = ["the", "Quick", "été", "naïve", "don't", "3.14", "...", "supercalifragilistic", "日本", "x" * 300]
+    rows = [(i, " ".join(rng.choice(words, 1500)) + ("y" * 9000 if i % 3 == 0 else "")) for i in range(12)] + [(99, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, str(tmp_path))
