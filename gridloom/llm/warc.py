@@ -29,6 +29,8 @@ from gridloom.llm.common import new_path
 ARCHIVE_BYTES = 16_000_000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: A header line may go on in the next one after a blank; lengths are plain ASCII digits.
+_FOLDED, _LENGTH = re.compile(r"\r\n[ \t]+"), re.compile("[0-9]{1,18}")
 _CHUNK = 16_384
 _END = b"\r\n\r\n"
 
@@ -42,6 +44,15 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _matches(labelled: str, data: bytes) -> bool | None:
+    """Whether a digest such as ``sha1:...`` in base32 or hex is that of ``data``; None if its kind isn't known."""
+    kind, _, value = labelled.partition(":")
+    if kind.lower() not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(kind.lower(), data).digest()
+    return value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=") or value.lower() == found.hex()
+
+
 def with_first_page(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """Columns page_id, url, payload (binary) and refers_to: the smallest page id with the same payload.
 
@@ -142,28 +153,30 @@ def parse_record(data: bytes, pos: int, proven: bool = False) -> tuple[Record, i
     if head < 0:
         raise Damaged("header without end")
     fields = {}
-    for line in data[version.end() : head].decode("utf-8", "replace").split("\r\n"):
+    header = _FOLDED.sub(" ", data[version.end() : head].decode("utf-8", "replace"))
+    for line in header.split("\r\n"):
         key, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line without a colon")
         fields[key.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit():
+    if not _LENGTH.fullmatch(fields.get("content-length", "")):
         raise Damaged("no content length")
     begin = head + len(_END)
     end = begin + int(fields["content-length"])
     if data[end : end + len(_END)] != _END:
         raise Damaged("content length and end of record differ")
     block = data[begin:end]
-    if (want := fields.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != sha1_base32(block):
+    block_matches, payload_matches = _matches(fields.get("warc-block-digest", ""), block), None
+    if block_matches is False:
         raise Damaged("block digest differs")
     kind, digest = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:")
     payload = block.partition(_END)[2] if "application/http" in fields.get("content-type", "") else block
     if kind == "response":
-        found = sha1_base32(payload)
-        if digest and digest != found:
+        payload_matches = _matches(fields.get("warc-payload-digest", ""), payload)
+        if payload_matches is False:
             raise Damaged("payload digest differs")
-        digest = found
-    if proven and not want.startswith("sha1:") and not (kind == "response" and fields.get("warc-payload-digest")):
+        digest = sha1_base32(payload)
+    if proven and not block_matches and not payload_matches:
         raise Damaged("no digest to check")
     strip = lambda x: x.strip("<>") if x is not None else None
     return Record(kind, strip(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), strip(fields.get("warc-refers-to")), digest, len(payload), payload), end + len(_END)
