@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import slices, stored
+from gridloom.llm.common import fresh, slices, stored, text_batches
 from gridloom.llm.components import components, spanning_forest
 from gridloom.llm.shingles import shingle_sets
 from gridloom.llm.superminhash import band_keys, signatures
@@ -42,6 +42,7 @@ def row_key(key: str, text: str) -> Column:
 
 def signed_rows(docs: DataFrame, *, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
     """Columns key, row_key, set_id (binary, null for an empty set), n_shingles and buckets (a 64-bit key for each band)."""
+    text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,12 +172,15 @@ def linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``key``, row_key, n_shingles, component_id (smallest id reachable) and kept (``key`` is that id).
+    """One row per input row: ``key``, row_key, n_shingles, component_id (smallest id reachable), kept (``key`` is that id) and first.
+
+    ``first`` is true for one (id, text) of each component, the one with the smallest id and row key; null ids come last.
 
     ``docs`` is read twice: for the signatures, and for the full sets of classes that have candidates.
     """
     signed = stored(signed_rows(docs, key=key, text=text, words=words, bands=bands, rows=rows), "signed")
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("low"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    place = F.struct(F.col("key").isNull().alias("without"), "key", "row_key")  # null ids come last
+    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min(place).alias("low"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     classes = stored(classes, "classes")
     exploded = classes.select("set_id", "n", F.explode("buckets").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -190,12 +194,19 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             lowest = low.groupBy("root").agg(F.min("low").alias("component_low"))
             low = low.join(lowest, "root").select("set_id", F.col("component_low").alias("low"))
     out = signed.select("key", "row_key", "set_id", "n_shingles").join(low, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("low"))
-    return out.select(F.col("key").alias(key), "row_key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
+    alone = F.col("set_id").isNull()
+    component = F.when(alone, F.col("key")).otherwise(F.col("low.key"))
+    return out.select(
+        F.col("key").alias(key), "row_key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"), (alone | (F.col("row_key") == F.col("low.row_key"))).alias("first")
+    )
 
 
 def without_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id, once if its row is repeated."""
-    kept = near_duplicates(docs, key=key, text=text, **options).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(key, text))
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    """``docs`` with one document of each group: the one with the smallest id, once if its row is repeated.
+
+    Of documents that share the smallest id or have no id one stays as well. Columns may have any names.
+    """
+    found = near_duplicates(docs, key=key, text=text, **options).where("first")
+    at = fresh("row_key", docs.columns)
+    keyed = docs.withColumn(at, row_key(key, text))
+    return keyed.join(found.select(F.col("row_key").alias(at)).distinct(), at, "left_semi").dropDuplicates([at]).drop(at)

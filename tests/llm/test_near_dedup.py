@@ -115,3 +115,14 @@ def test_words_of_a_recursive_pattern_stay_apart(spark, tmp_path):
     rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, "z" * 3_000_000), (5, "z" * 3_000_001)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     check(spark, str(tmp_path))
+
+
+def test_one_of_a_group_stays_without_ids_and_with_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, long), (None, long.replace("w150", "x")), (7, long.replace("w", "v")), (7, long.replace("w", "v") + " end"), (None, long.replace("w", "v") + " last"), (3, "alone"), (3, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, _row_key string, row_key string")
+    left = near_dedup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = [(r.doc_id, r.text, r._row_key, r.row_key) for r in left.collect()]
+    assert len(got) == 5 and all(r[2:] == ("a", "b") for r in got)
+    assert sum(r[0] == 7 for r in got) == 1 and sum(r[0] is None and bool(r[1]) for r in got) == 1

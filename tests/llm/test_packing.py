@@ -89,7 +89,7 @@ def best_fit_decreasing(histogram, capacity=1024):
 
 def test_sequences_against_best_fit_decreasing():
     rng = np.random.default_rng(1)
-    n = 20_000
+    n = 5000
     for lengths, most in (
         (rng.integers(300, 600, n), 0.99),
         (rng.integers(65, 400, n), 1.0),
