@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import parallelism, slices
+from gridloom.llm.common import parallelism, slices, text_batches
 from gridloom.llm.tokenization import FieldEncoder, field_encoder
 
 #: Longer texts are cut; with 4096 characters that is a fifth of the documents of web text, which hold three fifths of it.
@@ -151,6 +151,7 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     Texts of at most ``leaf_chars`` (at most 32 767) characters are one leaf, encoded where they are read, without a shuffle.
     Only longer ones are cut and dealt out; their pieces meet again by row, never more than one row's text.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]
 

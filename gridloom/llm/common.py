@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -56,6 +58,13 @@ def drop_stored(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again, and have the driver let go of shuffle files of plans that are gone."""
+    for t in tables:
+        drop_stored(t)
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """``name`` with as many underscores in front as make it unlike all taken column names in any case."""
     used = {c.lower() for columns in taken for c in columns}
@@ -73,6 +82,13 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, most_bytes: int =
     return F.broadcast(df) if taken <= most_bytes else df
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers: let Arrow batches of the session have at most ``TEXT_ROWS`` rows, which bounds the workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that are worth having at once: the cores, or the shuffle partitions if they are more."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import text_batches
+
 MAX_N, PROFILE_GRAMS, SAMPLE_ROWS = 3, 400, 2000
 UNDETERMINED = "und"
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -108,6 +110,7 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
 
     What reaches the driver is a count and ``grams`` n-grams for each language.
     """
+    text_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -161,4 +164,5 @@ def language(text: Column | str, profiles: list[Profile], *, max_n: int = MAX_N,
 
 def with_language(docs: DataFrame, profiles: list[Profile], *, text: str = "text", into: str = "language", **options) -> DataFrame:
     """``docs`` with a column ``into`` of lang_pred and score; a column of that name is replaced."""
+    text_batches(docs.sparkSession)
     return docs.withColumn(into, language(F.col(text), profiles, **options))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks, slices
+from gridloom.llm.common import blocks, slices, text_batches
 from gridloom.llm.tokenization import byte_level_encoder
 
 CAPACITY = 1024
@@ -36,6 +36,7 @@ def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, en
     The first piece takes the remainder, the others are full. Columns: ``key``, piece, start, length and
     ids (little-endian unsigned 32-bit integers). No shuffle.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]
     end = np.array([end_id], dtype="<u4").tobytes()
