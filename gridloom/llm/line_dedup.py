@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import broadcast_if_small, fresh, stored
+from gridloom.llm.common import broadcast_if_small, drop_stored, fresh, release, stored
 from gridloom.llm.components import components
 from gridloom.llm.near_dedup import row_key
 
@@ -34,7 +34,8 @@ from gridloom.llm.near_dedup import row_key
 SHINGLE_CHARS, PERCENT, BANDS, ROWS = 5, 80, 16, 5
 #: Draws that a line makes at least, so that few components stay empty (3 of 100 with 80 components).
 LEAST_DRAWS = 256
-#: Two classes that are alone in a bucket are dropped if more of 64 bits of their signatures differ; at 0.8 a tenth do, more than 22 with 1e-7.
+#: Two classes are candidates only if at most so many of 64 bits of their signatures differ. At 0.8 a tenth do, more than 22 with a
+#: probability of 1e-7; of unrelated classes about half.
 MOST_BITS_APART = 22
 #: Hubs that a bucket has in each round.
 HUBS = (2, 8)
@@ -69,7 +70,8 @@ def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame
     wide = lines.select("class", "line").dropDuplicates(["class"]).select("class", F.encode("line", "UTF-16BE").alias("wide"))
     wide = wide.withColumn("n", F.greatest(F.lit(1), F.expr(f"cast(length(wide) div 2 as int) - {k - 1}")))
     draws = wide.select("class", "wide", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(LEAST_DRAWS) / F.col("n")).cast("int") * F.col("n") - 1))).alias("draw"))
-    drawn = draws.select("class", "wide", (F.col("draw") % F.col("n") * 2 + 1).alias("at"), F.expr("cast(draw div n as int)").alias("turn"))
+    # The first draws are told apart without a division.
+    drawn = draws.select("class", "wide", F.expr("(if(draw < n, draw, draw % n)) * 2 + 1").alias("at"), F.expr("if(draw < n, 0, cast(draw div n as int))").alias("turn"))
     hashed = drawn.select("class", "turn", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * k)), "turn").alias("h"))
     component = F.shiftright(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) * (bands * rows), 31).cast("int")
     placed = hashed.select("class", component.alias("component"), (F.shiftleft(F.col("turn").cast("long"), 31) + F.shiftrightunsigned("h", 33)).alias("value"))
@@ -86,13 +88,17 @@ def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame
     return keyed.groupBy("class").agg(F.bit_or("bits").alias("bits"), F.collect_list("bucket").alias("buckets"))
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """Columns bucket and class of all buckets with more than one class, but for two that are alone and unlike."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """Columns bucket and class: the classes of each bucket that have another in it which may be like them, by the bits of their signatures.
+
+    The join looks for one such class only, so no pairs come out of it.
+    """
     exploded = classes.select("class", "bits", F.explode("buckets").alias("bucket"))
-    counts = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("bits").alias("low"), F.max("bits").alias("high"))
-    alike = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= MOST_BITS_APART
-    shared = stored(counts.where((F.col("size") > 2) | ((F.col("size") == 2) & alike)).select("bucket"), "line-buckets")
-    return exploded.select("bucket", "class").join(broadcast_if_small(shared, 16), "bucket")
+    shared = stored(exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "line-buckets")
+    # A stored table, for else the semi join would be pushed below the join with the shared buckets.
+    members = stored(exploded.join(broadcast_if_small(shared, 16), "bucket").select("bucket", "class", "bits"), "line-shared").alias("a")
+    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.class") != F.col("b.class")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= MOST_BITS_APART)
+    return members.join(members.alias("b"), other, "left_semi").select("bucket", "class")
 
 
 def described(texts: DataFrame, k: int) -> DataFrame:
@@ -121,7 +127,7 @@ def _possible(percent: int) -> Column:
     return (F.col("root_a") != F.col("root_b")) & sizes & (_apart() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
-def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each class the pair with the hub of its buckets whose parity is nearest.
 
     The hubs of a bucket are classes of its largest component, drawn by a hash; at first, of all its classes.
@@ -130,8 +136,9 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     drawn = [F.max_by("class", F.xxhash64(F.lit(turn), F.lit(i), "class")) for i in range(HUBS[turn])]
     groups = members.groupBy("bucket", group.alias("group")).agg(F.count("*").alias("size"), F.array(*drawn).alias("hubs"))
     largest = groups.groupBy("bucket").agg(F.max(F.struct("size", "group", "hubs")).alias("of"))
-    hubs = largest.select("bucket", F.explode(F.array_distinct("of.hubs")).alias("class"))
-    hubs = _side(hubs.join(members, ["bucket", "class"]), "b")
+    root = F.col("class") if turn == 0 else F.col("group")
+    hubs = largest.select("bucket", "of.group", F.explode(F.array_distinct("of.hubs")).alias("class")).withColumn("root", root)
+    hubs = _side(hubs.join(sets, "class"), "b")
     pairs = _side(members, "a").join(hubs, "bucket").where(_possible(percent))
     best = pairs.groupBy("a").agg(F.min_by("b", _apart() / (F.col("n_a") + F.col("n_b"))).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -139,9 +146,9 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members with new roots, of those buckets that hold more than one component."""
-    labelled = members.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    return stored(labelled.join(mixed, "bucket", "left_semi"), "line-members-left")
+    labelled = members.drop("root").join(broadcast_if_small(roots, 24).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "line-mixed")
+    return stored(labelled.join(broadcast_if_small(mixed, 16), "bucket", "left_semi"), "line-members-left")
 
 
 def _pairs_left(members: DataFrame, percent: int) -> DataFrame:
@@ -166,12 +173,15 @@ def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -
     found, roots = None, None
     for turn in range(len(HUBS) + 1):
         if turn:
-            left = _still_apart(left, roots)
-        pairs = _hub_pairs(left, turn, percent) if turn < len(HUBS) else _pairs_left(left, percent)
+            before, left = left, _still_apart(left, roots)
+            drop_stored(before)
+        pairs = _hub_pairs(left, sets, turn, percent) if turn < len(HUBS) else _pairs_left(left, percent)
         new = stored(verified(pairs, texts, k, percent), "line-links")
         if roots is None or not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             roots = stored(components(found), "line-roots")
+        release(members.sparkSession)
+    release(members.sparkSession, left, sets)
     return roots
 
 
@@ -179,7 +189,9 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """The lines that go: columns row_key, place, and of_id and of_place of the line that stays for them, once for each document."""
     lines = split_lines(docs, key, text)
     classes = stored(signed_classes(lines, k, bands, rows), "line-classes")
-    members = stored(shared_buckets(classes), "line-candidates")
+    release(docs.sparkSession)
+    members = stored(candidates(classes), "line-candidates")
+    release(docs.sparkSession, classes)
     wanted = broadcast_if_small(stored(members.select("class").distinct(), "line-wanted"), 16)
     texts = stored(lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "line-texts")
     roots = linked_classes(members, texts, k, percent)
