@@ -18,7 +18,8 @@ from gridloom.functions import nan
 from gridloom.functions import time as times
 from gridloom.geometry import Geometry0D, Undefined
 from gridloom.items import Item, ItemsError, unique_names
-from gridloom.operators import aggregate, combine, interpolate, select
+from gridloom.geometry.base import OutsideDomainError
+from gridloom.operators import aggregate, combine, interpolate, mesh, select
 
 Number = int | float
 
@@ -104,51 +105,96 @@ class Frame:
 
     # selection
 
+    def _n_cells(self, dim: str) -> int:
+        axes = getattr(self.geometry, "axes", {})
+        if (axis := axes.get(dim.removesuffix("_idx"))) is not None:
+            return axis.n
+        return (self.df.agg(F.max(dim)).first()[0] or 0) + 1
+
     def isel(self, time: int | slice | Sequence[int] | None = None, **cells: int | Sequence[int] | slice) -> Frame:
-        """By number. An integer drops a spatial axis; dimensions are named as columns."""
+        """By number; negative numbers count from the end. An integer drops a spatial axis; dimensions are named as columns.
+
+        Cells of a slice or a list are numbered anew, and the grid is cut with them (it is undefined for cells that aren't
+        equally spaced). Elements of a mesh keep their ids.
+        """
         df, dims, geometry = self.df, self.dims, self.geometry
         if time is not None:
             df = select.steps_at(df, time)
         for d, at in cells.items():
             if d not in dims:
                 raise ValueError(f"no dimension {d!r}")
-            if isinstance(at, slice):
-                low, high = at.start or 0, at.stop
-                keep = F.col(d) >= low
-                df = df.where(keep if high is None else keep & (F.col(d) < high))
-            else:
-                df = df.where(F.col(d) == at if isinstance(at, int) else F.col(d).isin(list(at)))
+            wanted, name = select.places(at, self._n_cells(d), d), d.removesuffix("_idx")
             if isinstance(at, int):
-                df, dims = df.drop(d), tuple(x for x in dims if x != d)
-                geometry = geometry.reduce([d, d.removesuffix("_idx")]) if hasattr(geometry, "reduce") else geometry
+                df, dims = df.where(F.col(d) == wanted[0]).drop(d), tuple(x for x in dims if x != d)
+                geometry = geometry.reduce([d, name]) if hasattr(geometry, "reduce") else geometry
+            elif hasattr(geometry, "as_tables"):
+                df = select.cells_at(df, d, wanted, anew=False)
+                mesh = geometry.as_tables(df.sparkSession)
+                geometry = mesh.keep(select.cells_at(mesh.elements.select("element"), "element", wanted, anew=False))
+            else:
+                df = select.cells_at(df, d, wanted)
+                geometry = self._cut(geometry, name, wanted)
         return self._with(df, dims=dims, geometry=geometry)
 
-    def sel(self, time: str | datetime | slice | None = None, area: Sequence[float] | None = None, **at: Number | slice) -> Frame:
-        """By label: times (partial ones stand for their period, both ends of slices count), a box, or coordinates of a grid."""
+    def _cut(self, geometry: object, name: str, wanted: Sequence[int]) -> object:
+        if name not in getattr(geometry, "axes", {}):
+            return geometry
+        gaps = {b - a for a, b in zip(wanted, wanted[1:], strict=False)}
+        if not len(wanted) or len(gaps) > 1 or any(g <= 0 for g in gaps):
+            return Undefined(self.space_dims)
+        return geometry.cut(**{name: wanted})
+
+    def sel(self, time: str | datetime | slice | None = None, area: Sequence | None = None, **at: Number | slice) -> Frame:
+        """By label: times (partial ones stand for their period, both ends of slices count), a box, or coordinates.
+
+        On a grid the cells that are left are numbered anew and the grid is cut with them. On a mesh ``area`` may also be a polygon of (x, y)
+        corners and ``x`` and ``y`` choose the element that holds the point; elements keep their ids.
+        """
+        if area is not None and at:
+            raise ValueError("give an area or coordinates, not both")
         df, dims, geometry = self.df, self.dims, self.geometry
         if isinstance(time, slice):
             df = select.time_slice(df, time.start, time.stop)
         elif time is not None:
             df = select.at_time(df, time)
+        if (area is not None or at) and hasattr(geometry, "as_tables"):
+            return self._with(df)._sel_on_mesh(area, at)
         axes = getattr(geometry, "axes", {})
         if area is not None:
             left, bottom, right, top = area
-            at = {**at, "x": slice(left, right), "y": slice(bottom, top)}
+            at = {"x": slice(left, right), "y": slice(bottom, top)}
+        dropped = []
         for d, value in at.items():
+            if d not in axes:
+                raise ValueError(f"no coordinate {d!r}")
             axis, name = axes[d], f"{d}_idx"
             if isinstance(value, slice):
                 if area is not None:
-                    centre = F.lit(axis.x0) + F.col(name) * axis.dx
-                    df = df.where(centre.between(value.start, value.stop))
+                    inside = [i for i, c in enumerate(axis.centres) if value.start <= c <= value.stop]
+                    cells = range(inside[0], inside[-1] + 1) if inside else range(0)
                 else:
                     cells = axis.between(value.start, value.stop)
-                    df = df.where(F.col(name).between(cells.start, cells.stop - 1))
+                df, geometry = select.cells_at(df, name, cells), self._cut(geometry, d, cells)
             else:
-                cell = geometry.find_index(**{d: value})[d]
+                cell = self.geometry.find_index(**{d: value})[d]
                 df, dims = df.where(F.col(name) == cell).drop(name), tuple(x for x in dims if x != name)
-        dropped = [d for d in at if not isinstance(at[d], slice)]
+                dropped.append(d)
         return self._with(df, dims=dims, geometry=geometry.reduce(dropped) if dropped else geometry)
 
+    def _sel_on_mesh(self, area: Sequence | None, at: dict[str, Number]) -> Frame:
+        spark = self.df.sparkSession
+        table = self.geometry.as_tables(spark)
+        if area is not None:
+            ids = mesh.elements_in(table.nodes, table.elements, area)
+            return self._with(self.df.join(ids, "element", "left_semi"), geometry=table.keep(ids))
+        if set(at) != {"x", "y"}:
+            raise ValueError("a point in a mesh has x and y")
+        point = spark.range(1).select(F.col("id").alias("point"), *(F.lit(float(v)).alias(c) for c, v in at.items()))
+        element = mesh.find_elements(point, table.nodes, table.elements).first()["element"]
+        if element is None:
+            raise OutsideDomainError(at["x"], at["y"])
+        return self._with(self.df.where(F.col("element") == element).drop("element"), dims=tuple(d for d in self.dims if d != "element"), geometry=Geometry0D())
+
     def where(self, mask: Column, value: float = nan.NAN) -> Frame:
         """Values become ``value`` where the mask holds."""
         return self._with(select.where(self.df, self.names, mask, value))

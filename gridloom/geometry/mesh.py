@@ -62,6 +62,9 @@ class Mesh:
     def element_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, [int(n) for n in e]) for i, e in enumerate(self.elements)], ELEMENT_SCHEMA)
 
+    def as_tables(self, spark: SparkSession) -> TableMesh:
+        return TableMesh(self.node_table(spark), self.element_table(spark), self.projection, self.dims)
+
     @property
     def box(self) -> BoundingBox:
         (left, bottom), (right, top) = self.nodes[:, :2].min(axis=0), self.nodes[:, :2].max(axis=0)
@@ -85,6 +88,28 @@ class Mesh:
         return Geometry0D() if "element" in dims or "space" in dims else self
 
 
+@dataclass(frozen=True, eq=False)
+class TableMesh:
+    """A mesh of any size as its two tables: nodes (node, x, y, z, code) and elements (element, nodes). Elements keep their ids in selections."""
+
+    nodes: DataFrame
+    elements: DataFrame
+    projection: str = "LONG/LAT"
+    dims: tuple[str, ...] = field(default=("element",))
+
+    def as_tables(self, spark: SparkSession) -> TableMesh:
+        return self
+
+    def keep(self, ids: DataFrame) -> TableMesh:
+        """The mesh of the elements in ``ids`` (a table with the column element), with the nodes that they use."""
+        elements = self.elements.join(ids, "element", "left_semi")
+        used = elements.select(F.explode("nodes").alias("node"))
+        return TableMesh(self.nodes.join(used, "node", "left_semi"), elements, self.projection, self.dims)
+
+    def reduce(self, dims: Sequence[str]) -> TableMesh | Geometry0D:
+        return Geometry0D() if "element" in dims or "space" in dims else self
+
+
 def corner_table(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """One row for each corner: element, corner (from 0), n_corners, node, x, y, z."""
     corners = elements.select("element", F.size("nodes").alias("n_corners"), F.posexplode("nodes").alias("corner", "node"))

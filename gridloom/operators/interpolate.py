@@ -136,8 +136,9 @@ def _extend(df: DataFrame, keys: Sequence[str], items: Sequence[str], time: str)
 def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "point", element: str = "element", x: str = "x", y: str = "y", box: Sequence[float] | None = None, n_elements: int | None = None) -> DataFrame:
     """The ``k`` nearest elements of every point: point, element, distance and rank (from 1); ties go to the smaller element.
 
-    Elements lie in bins of about ``2 k``. A point looks through the ring of bins around it; if its k-th neighbour may
-    lie beyond, it looks again through a ring 16 times as wide. Extent and number are worked out unless given.
+    Elements lie in bins of about ``2 k``. A point looks through the ring of bins around the one that is nearest to it; if its k-th
+    neighbour may lie beyond, it looks again through a ring twice as wide, so few bins are ever looked through. Only points that
+    aren't done are asked again. Extent and number are worked out unless given.
     """
     if k < 1:
         raise ValueError("at least one neighbour")
@@ -152,24 +153,35 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
     place = lambda c, low, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / size))).cast("int")
     held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), place(x, left, sx).alias("_i"), place(y, bottom, sy).alias("_j"))
     todo = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"), place(x, left, sx).alias("_pi"), place(y, bottom, sy).alias("_pj"))
-    rings, r = [], 1
-    while r < n:
-        rings.append(r)
-        r *= 16
-    out = []
-    for r in [*rings, n]:
-        whole = r >= n
+    # How far a point outside the box is from it along either axis; whatever lies in another bin is at least as far.
+    outside = lambda c, low, high: F.greatest(F.lit(0.0), F.lit(low) - F.col(c), F.col(c) - F.lit(high))
+    todo = todo.withColumns({"_ox": outside("_x", left, right), "_oy": outside("_y", bottom, top)})
+
+    def beyond(c: str, at: str, low: float, size: float, off: str, r: int) -> Column:
+        """The least distance to elements outside a ring of ``r`` bins along one axis; infinite where the ring reaches the box's ends."""
+        left_edge = F.when(F.col(at) - r > 0, F.col(c) - (F.lit(low) + (F.col(at) - r) * size))
+        right_edge = F.when(F.col(at) + r + 1 < n, F.lit(low) + (F.col(at) + r + 1) * size - F.col(c))
+        side = F.least(F.coalesce(left_edge, F.lit(math.inf)), F.coalesce(right_edge, F.lit(math.inf)))
+        return F.sqrt(side * side + F.col(off) * F.col(off))
+
+    out, r = [], 1
+    while True:
         around = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - r), F.least(F.lit(n - 1), F.col(c) + r)))  # noqa: E731, B023
         asked = todo.withColumn("_i", around("_pi")).withColumn("_j", around("_pj"))
         d = planar(F.col("_x"), F.col("_y"), F.col("_ex"), F.col("_ey"))
         ranked = asked.join(held, ["_i", "_j"]).select("_p", "_e", d.alias("distance"))
         ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
-        if whole:
+        if r >= n - 1:
             out.append(ranked)
             break
-        sure = ranked.groupBy("_p").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == min(k, n_elements)) & (F.col("far") <= r * min(sx, sy))).select("_p")
+        far = ranked.groupBy("_p").agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
+        bound = F.least(beyond("_x", "_pi", left, sx, "_oy", r), beyond("_y", "_pj", bottom, sy, "_ox", r))
+        sure = todo.join(far, "_p").where((F.col("_found") == min(k, n_elements)) & (F.col("_far") < bound)).select("_p")
         out.append(ranked.join(sure, "_p", "left_semi"))
-        todo = todo.join(sure, "_p", "left_anti")
+        todo = todo.join(sure, "_p", "left_anti").persist()
+        if todo.isEmpty():
+            break
+        r *= 2
     every = reduce(lambda a, b: a.unionByName(b), out)
     return every.select(F.col("_p").alias(point), F.col("_e").alias(element), "distance", "rank")
 
@@ -212,17 +224,27 @@ def extract_track(df: DataFrame, track: DataFrame, elements: DataFrame, items: S
 
     if method not in ("nearest", "inverse_distance"):
         raise ValueError(f"unknown method {method!r}")
-    rows = track.withColumn("_us", micros(time)).withColumn("_id", F.struct("_us", "x", "y"))
-    if wrap:
-        rows = rows.withColumn("x", wrap_longitude(F.col("x")))
-    asked = rows.select(F.col("_id").alias("point"), "x", "y", "_us").distinct()
-    weights = idw_weights(nearest(asked, elements, 1 if method == "nearest" else 5), p=p).select("point", "element", "weight")
+    rows = track.withColumn("_us", micros(time))
+    rows = rows.withColumns({"_x": wrap_longitude(F.col("x")) if wrap else F.col("x"), "_y": F.col("y")})
+    # Neighbours are searched for once a place, and the two steps around each time are found before any value is joined.
+    places = rows.select(F.struct("_x", "_y").alias("point"), F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
+    weights = idw_weights(nearest(places, elements, 1 if method == "nearest" else 5), p=p).select("point", "element", "weight")
     step = round(step_seconds * 1e6)
-    values = df.select(micros(time).alias("_t"), "element", *items).withColumn("_b", F.floor(F.col("_t") / step))
-    near = asked.select("point", "_us").join(weights, "point").withColumn("_b", F.explode(F.array(*(F.floor(F.col("_us") / step) + d for d in (-1, 0, 1)))))
-    hits = near.join(values, ["element", "_b"]).where(F.abs(F.col("_t") - F.col("_us")) <= step)
-    frames = hits.groupBy("point", "_us", "_t").agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
+    kind = "struct<us: bigint>"
+    known = df.select(micros(time).alias("_us")).distinct().select("_us", F.struct(F.col("_us").alias("us")).cast(kind).alias("at"), F.lit(False).alias("_asked"))
+    asked = rows.select("_us").distinct().select("_us", F.lit(None).cast(kind).alias("at"), F.lit(True).alias("_asked"))
+    steps = bracket(known.unionByName(asked), [], "_us", {"at": F.col("at")}, [F.col("_asked")], CHUNK_SECONDS * 1e6).where("_asked")
+    a, b = F.col("at_before.us"), F.col("at_after.us")
+    exact = F.when(a == F.col("_us"), F.array(a)).when(b == F.col("_us"), F.array(b))
+    between = F.when((b - F.col("_us") <= step) & (F.col("_us") - a <= step), F.array(a, b))
+    wanted = steps.select("_us", F.explode(F.coalesce(exact, between)).alias("_t"))
+    at_place = rows.select("_us", F.struct("_x", "_y").alias("point")).distinct()
+    # One value for each place and step that any row needs, however many rows need it.
+    needed = at_place.join(wanted, "_us")
+    cells = needed.select("point", "_t").distinct().join(weights, "point")
+    values = df.select(micros(time).alias("_t"), "element", *items)
+    frames = cells.join(values, ["_t", "element"]).groupBy("point", "_t").agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
     value = F.struct(F.col("_t").alias("us"), *items)
-    ends = frames.groupBy("point", "_us").agg(F.max(F.when(F.col("_t") <= F.col("_us"), value)).alias("before"), F.min(F.when(F.col("_t") >= F.col("_us"), value)).alias("after"))
-    done = ends.select("point", *(between_points(F.col("before"), F.col("after"), F.col("_us"), i, "linear").alias(i) for i in items))
-    return rows.join(done, rows["_id"] == done["point"], "left").select(*(rows[c] for c in track.columns), *(nan.or_nan(done[i]).alias(i) for i in items))
+    ends = needed.join(frames, ["point", "_t"]).groupBy("point", "_us").agg(F.min(value).alias("before"), F.max(value).alias("after"))
+    done = ends.select(F.col("point._x").alias("_x"), F.col("point._y").alias("_y"), "_us", *(between_points(F.col("before"), F.col("after"), F.col("_us"), i, "linear").alias(f"_v{k}") for k, i in enumerate(items)))
+    return rows.join(done, ["_x", "_y", "_us"], "left").select(*track.columns, *(nan.or_nan(F.col(f"_v{k}")).alias(i) for k, i in enumerate(items)))

@@ -120,6 +120,16 @@ def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, *, p
     return points.select(point).join(hits, point, "left")
 
 
+def elements_in(nodes: DataFrame, elements: DataFrame, area: Sequence) -> DataFrame:
+    """The elements (a column element) whose centre lies in a box (left, bottom, right, top) or in a polygon of (x, y) corners."""
+    from gridloom.operators.select import in_box, inside_polygon
+
+    centres = centroids(nodes, elements)
+    if len(area) == 4 and all(isinstance(v, (int, float)) for v in area):
+        return in_box(centres, area).select("element")
+    return centres.where(inside_polygon(F.col("x"), F.col("y"), area)).select("element")
+
+
 def contains(points: DataFrame, nodes: DataFrame, elements: DataFrame, *, point: str = "point") -> DataFrame:
     return find_elements(points, nodes, elements, point=point).select(point, F.col("element").isNotNull().alias("contains"))
 

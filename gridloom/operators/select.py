@@ -53,6 +53,31 @@ def steps_at(df: DataFrame, steps: int | slice | Sequence[int], time: str = "tim
     return df.join(numbered.where(keep).select(time), time, "left_semi")
 
 
+def places(at: int | slice | Sequence[int], n: int, name: str = "axis") -> list[int] | range:
+    """The numbers that an index stands for on an axis of ``n`` cells; negative ones count from the end, IndexError beyond it."""
+    if isinstance(at, slice):
+        return range(n)[at]
+    wanted = [at] if isinstance(at, int) else [int(i) for i in at]
+    for i in wanted:
+        if not -n <= i < n:
+            raise IndexError(f"{name} has {n} cells, {i} is outside")
+    return [i % n for i in wanted]
+
+
+def cells_at(df: DataFrame, column: str, wanted: list[int] | range, *, anew: bool = True) -> DataFrame:
+    """Rows of some cells. With ``anew`` the cells are numbered from 0 in the order in which they are wanted."""
+    if isinstance(wanted, range):
+        if not len(wanted):
+            return df.limit(0)
+        low, high = min(wanted[0], wanted[-1]), max(wanted[0], wanted[-1])
+        at = F.col(column) - wanted.start
+        kept = df.where(F.col(column).between(low, high) & (at % abs(wanted.step) == 0))
+        return kept.withColumn(column, F.floor(at / wanted.step).cast("int")) if anew else kept
+    table = df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(wanted)], "_cell int, _place int")
+    kept = df.join(F.broadcast(table), df[column] == table["_cell"])  # as long as the list that the caller wrote
+    return (kept.withColumn(column, F.col("_place")) if anew else kept).drop("_cell", "_place")
+
+
 def last_step(df: DataFrame, time: str = "time") -> DataFrame:
     return df.join(df.agg(F.max(time).alias(time)), time, "left_semi")
 

@@ -83,7 +83,43 @@ def sel_area(spark, sf):
 def sel_area_grid(spark, sf):
     grid = Grid2D(Axis(100.0, 10.0, 7), Axis(3.0, 5.0, 10))
     f = Frame.of(ds.grid2(spark, sf), ("time", "y_idx", "x_idx"), geometry=grid)
-    return f.sel(area=(115, 10, 145, 40)).df.select(T(), "y_idx", "x_idx", out("price", 4).alias("price"))
+    found = f.sel(area=(115, 10, 145, 40))
+    first = {d: grid.axes[d].nearest(found.geometry.axes[d].x0) for d in ("x", "y")}  # numbers in the whole grid are wanted
+    return found.df.select(T(), (F.col("y_idx") + first["y"]).alias("y_idx"), (F.col("x_idx") + first["x"]).alias("x_idx"), out("price", 4).alias("price"))
+
+
+@query(f"SELECT epoch_us(time) AS time, y_idx, {sql_out('price', 4)} AS price FROM {ds.GRID2} WHERE x_idx = 6")
+def isel_cells_negative(spark, sf):
+    f = Frame.of(ds.grid2(spark, sf), ("time", "y_idx", "x_idx"), geometry=Grid2D(Axis(100.0, 10.0, 7), Axis(3.0, 5.0, 10)))
+    return f.isel(x_idx=-1).df.select(T(), "y_idx", out("price", 4).alias("price"))
+
+
+@query(f"SELECT epoch_us(time) AS time, y_idx - 2 AS y_idx, x_idx // 2 AS x_idx, {sql_out('price', 4)} AS price FROM {ds.GRID2} WHERE x_idx % 2 = 0 AND y_idx BETWEEN 2 AND 8")
+def isel_cells_step(spark, sf):
+    f = Frame.of(ds.grid2(spark, sf), ("time", "y_idx", "x_idx"), geometry=Grid2D(Axis(100.0, 10.0, 7), Axis(3.0, 5.0, 10)))
+    return f.isel(x_idx=slice(None, None, 2), y_idx=slice(2, -1)).df.select(T(), "y_idx", "x_idx", out("price", 4).alias("price"))
+
+
+def _mesh_frame(spark: SparkSession, sf: str) -> Frame:
+    """One value for each element of the mesh, at one time."""
+    from gridloom.geometry.mesh import TableMesh
+
+    nodes, elements = ds.mesh_nodes(spark, sf), ds.mesh_elements(spark, sf)
+    values = elements.select(F.expr("timestamp_ntz'2024-01-01'").alias("time"), "element", (F.col("element") * 2.0).alias("value"))
+    return Frame.of(values, ("time", "element"), geometry=TableMesh(nodes, elements))
+
+
+_CENTRED = f"(SELECT e.element, avg(m.x) AS x, avg(m.y) AS y FROM (SELECT element, unnest(nodes) AS node FROM {ds.ELEMENTS}) e JOIN {ds.NODES} m USING (node) GROUP BY e.element)"
+
+
+@query(f"SELECT element, {sql_out('element * 2.0')} AS value FROM {_CENTRED} WHERE x BETWEEN 3.0 AND 9.5 AND y BETWEEN 1.0 AND 4.2")
+def sel_mesh_area(spark, sf):
+    return _mesh_frame(spark, sf).sel(area=(3.0, 1.0, 9.5, 4.2)).df.select("element", out("value").alias("value"))
+
+
+@query(f"SELECT element, {sql_out('element * 2.0')} AS value FROM {_CENTRED} WHERE x > 2.05 AND y > 0.53 AND y < 4.03 AND x + 2 * y < 14.07")
+def sel_mesh_polygon(spark, sf):
+    return _mesh_frame(spark, sf).sel(area=[(2.05, 0.53), (13.01, 0.53), (6.01, 4.03), (2.05, 4.03)]).df.select("element", out("value").alias("value"))
 
 
 @query(f"SELECT epoch_us(time) AS time, {sql_out('price', 4)} AS price FROM {ds.GRID2} WHERE x_idx = 3 AND y_idx = 4")

@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,48 @@ def test_metadata():
             wrong()
     with pytest.raises(InvalidValueType):
         value_type("x")
+
+
+def small_grid(spark):
+    rows = spark.range(12).selectExpr("timestamp_ntz'2000-01-01' as time", "cast(id div 6 as int) as y_idx", "cast(id % 6 as int) as x_idx", "cast(id as double) as v")
+    return Frame.of(rows, ("time", "y_idx", "x_idx"), geometry=Grid2D(Axis(10.0, 2.0, 6), Axis(0.0, 1.0, 2)))
+
+
+def test_cells_by_number(spark):
+    f = small_grid(spark)
+    got = lambda x: sorted((r.y_idx, r.x_idx, r.v) for r in x.df.collect())
+    assert sorted(r.v for r in f.isel(x_idx=-1).df.collect()) == [5, 11]
+    assert got(f.isel(x_idx=[-1])) == [(0, 0, 5), (1, 0, 11)]
+    assert got(f.isel(x_idx=slice(None, -4), y_idx=[1])) == [(0, 0, 6), (0, 1, 7)]
+    step = f.isel(x_idx=slice(0, 6, 2))
+    assert got(step) == [(0, 0, 0), (0, 1, 2), (0, 2, 4), (1, 0, 6), (1, 1, 8), (1, 2, 10)]
+    assert step.geometry.x == Axis(10.0, 4.0, 3)
+    assert got(f.isel(x_idx=slice(None, None, -1), y_idx=[0]))[0] == (0, 0, 5)
+    assert got(f.isel(x_idx=[0, 5, 1], y_idx=[0])) == [(0, 0, 0), (0, 1, 5), (0, 2, 1)]
+    with pytest.raises(IndexError):
+        f.isel(x_idx=6)
+    assert f.isel(x_idx=slice(4, 4)).df.count() == 0
+
+
+def test_cells_by_label_cut_the_grid(spark):
+    f = small_grid(spark).sel(area=(12, 0.5, 17, 2))
+    assert sorted((r.y_idx, r.x_idx, r.v) for r in f.df.collect()) == [(0, 0, 7), (0, 1, 8), (0, 2, 9)]
+    assert f.geometry.x == Axis(12.0, 2.0, 3)
+    with pytest.raises(ValueError):
+        small_grid(spark).sel(area=(0, 0, 1, 1), x=1.0)
+
+
+def test_selection_on_a_mesh(spark):
+    nodes = np.array([[x, y, 0.0] for y in range(3) for x in range(4)])
+    mesh = Mesh(nodes, [[i + 4 * j, i + 1 + 4 * j, i + 5 + 4 * j, i + 4 + 4 * j] for j in range(2) for i in range(3)])
+    rows = spark.range(6).selectExpr("timestamp_ntz'2000-01-01' as time", "cast(id as int) as element", "cast(id as double) as v")
+    f = Frame.of(rows, ("time", "element"), geometry=mesh)
+    some = f.sel(area=(1, 0, 3, 1))
+    assert sorted(r.element for r in some.df.collect()) == [1, 2] and some.geometry.elements.count() == 2 and some.geometry.nodes.count() == 6
+    assert sorted(r.element for r in f.sel(area=[(0, 0), (3, 0), (0, 2)]).df.collect()) == [0, 1, 3]
+    point = f.sel(x=2.5, y=1.5)
+    assert [r.v for r in point.df.collect()] == [5] and point.dims == ("time",)
+    assert [r.v for r in f.isel(element=-1).df.collect()] == [5]
+    assert sorted(r.element for r in f.isel(element=slice(1, None, 2)).df.collect()) == [1, 3, 5]
+    with pytest.raises(OutsideDomainError):
+        f.sel(x=9.0, y=9.0)
