@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, packing, pq, token_output, top_k, warc
+from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, oracles, packing, pq, token_output, top_k, warc
 from gridloom.llm.common import stored
 
 
@@ -103,4 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the others are tested against brute force."""
+    return {
+        "op1_warc_salvage": oracles.OP1,
+        "op3_chat_formatting": oracles.OP3,
+        "op4_superminhash_near_dedup": oracles.OP4,
+        "op7_term_at_a_time_top_k": oracles.OP7,
+        "op9_product_quantisation": oracles.OP9,
+    }
