@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from gridloom.llm import line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
@@ -11,8 +13,8 @@ def shingles(line, k=line_dedup.SHINGLE_CHARS):
     return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
 
 
-def brute(rows):
-    """Expected (doc_id, n_lines, n_kept, digest, repeats) of every document."""
+def brute(rows, staying=False):
+    """Expected (doc_id, n_lines, n_kept, digest, repeats) of every document, or of those that stay in the pipeline."""
     places = defaultdict(list)
     for doc_id, text in rows:
         for i, line in enumerate((text or "").split("\n")):
@@ -27,14 +29,15 @@ def brute(rows):
         return x
 
     holders = defaultdict(list)
-    for x, s in sets.items():
-        for y in s:
-            holders[y].append(x)
-    for some in holders.values():
-        for a in some:
-            for b in some:
-                if a < b and find(a) != find(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    root[find(a)] = find(b)
+    known = list(sets)
+    size = np.array([len(sets[x]) for x in known])
+    for i, x in enumerate(known):
+        for y in sets[x]:
+            holders[y].append(i)
+    for i, x in enumerate(known):
+        both = np.bincount(np.concatenate([holders[y] for y in sets[x]]), minlength=len(known))
+        for j in np.flatnonzero(100 * both >= 80 * (size[i] + size - both)):
+            root[find(x)] = find(known[j])
     first = {}
     for x, found in places.items():
         first[find(x)] = min([first[find(x)], *found] if find(x) in first else found, key=lambda p: (p[0], p[1], p[3]))
@@ -51,6 +54,8 @@ def brute(rows):
                 stay.append(x)
             else:
                 gone.append((i, one[1] if one[0] else None, one[3]))
+        if staying and gone and not any(x.strip(" ") for x in stay):
+            continue
         out.append((doc_id, len(lines), len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest(), tuple(gone)))
     return Counter(out)
 
