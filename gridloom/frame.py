@@ -10,8 +10,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import nan
@@ -99,10 +100,36 @@ class Frame:
         kept = tuple(i for i in self.items if i.name != item.name)
         return self._with(self.df.withColumn(item.name, nan.num(value)), items=(*kept, item))
 
+    def insert(self, at: int, item: Item | str, value: Column) -> Frame:
+        """A new item in place ``at`` of the others."""
+        item = Item(item) if isinstance(item, str) else item
+        if item.name in self.names:
+            raise ValueError(f"there is an item {item.name!r} already")
+        items = list(self.items)
+        items.insert(at, item)
+        df = self.df.withColumn(item.name, nan.num(value).alias(item.name, metadata=item.metadata()))
+        return self._with(df.select(*self.dims, *(i.name for i in items)), items=tuple(items))
+
     def drop(self, wanted: str | Sequence[str]) -> Frame:
         gone = select.match_items(self.names, wanted)
         return self[[n for n in self.names if n not in gone]]
 
+    # axes
+
+    def flipud(self) -> Frame:
+        """Values upside down along the first axis in space; the geometry stays."""
+        if not self.space_dims:
+            raise ValueError("there is no axis in space")
+        d = self.space_dims[0]
+        return self._with(self.df.withColumn(d, F.lit(self._n_cells(d) - 1).cast(self.df.schema[d].dataType) - F.col(d)))
+
+    def squeeze(self) -> Frame:
+        """Without the axes that have one step or cell only."""
+        gone = [d for d in self.dims if (self.n_steps() if d == "time" else self._n_cells(d)) == 1]
+        space = [d for d in gone if d != "time"]
+        geometry = self.geometry.reduce([*space, *(d.removesuffix("_idx") for d in space)]) if space and hasattr(self.geometry, "reduce") else self.geometry
+        return self._with(self.df.drop(*gone), dims=tuple(d for d in self.dims if d not in gone), geometry=geometry)
+
     # selection
 
     def _n_cells(self, dim: str) -> int:
@@ -413,3 +440,28 @@ class Frame:
     def to_pandas(self) -> pd.DataFrame:
         """All rows on the driver; for results that are known to be small."""
         return self.df.orderBy(*self.dims).toPandas()
+
+    def to_numpy(self) -> dict[str, np.ndarray]:
+        """A dense array of each item by the dimensions in their order, NaN where there is no row; for results that are known to be small."""
+        rows = self.to_pandas()
+        if not self.dims:
+            return {n: rows[n].to_numpy() for n in self.names}
+        codes = [pd.factorize(rows[d], sort=True) for d in self.dims]
+        out = {}
+        for n in self.names:
+            out[n] = np.full([len(u) for _, u in codes], np.nan)
+            out[n][tuple(c for c, _ in codes)] = rows[n]
+        return out
+
+    @classmethod
+    def from_numpy(cls, spark: SparkSession, arrays: dict[str, np.ndarray], dims: Sequence[str], times: Sequence[datetime] | None = None, geometry: object = None) -> Frame:
+        """A frame of arrays of one shape, one for each item; ``times`` are the steps of the dimension time."""
+        shapes = {np.shape(a) for a in arrays.values()}
+        if len(shapes) != 1 or len(shape := shapes.pop()) != len(dims):
+            raise ValueError("all arrays need one length for each dimension")
+        cells = dict(zip(dims, (i.ravel() for i in np.indices(shape, dtype=np.int32)), strict=True))
+        if "time" in cells:
+            cells["time"] = pd.to_datetime(list(times or [])).to_numpy()[cells["time"]]
+        rows = pd.DataFrame(cells | {n: np.asarray(a, dtype=float).ravel() for n, a in arrays.items()})
+        types = ", ".join(f"`{d}` {'timestamp_ntz' if d == 'time' else 'int'}" for d in dims)
+        return cls.of(spark.createDataFrame(rows, types + "".join(f", `{n}` double" for n in arrays)), dims, list(arrays), geometry)

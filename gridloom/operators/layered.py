@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import nan
+from gridloom.geometry.mesh import centroids
+from gridloom.operators import interpolate, mesh
 
 
 def columns_of(elements: DataFrame) -> DataFrame:
@@ -24,17 +26,16 @@ def columns_of(elements: DataFrame) -> DataFrame:
     return starts.withColumn("column", column.cast("int")).withColumn("layer", (F.row_number().over(W.partitionBy("column").orderBy("element")) - 1).cast("int")).select("element", "column", "layer")
 
 
-def at_layer(df: DataFrame, layers: DataFrame, layer: str | int) -> DataFrame:
-    """Rows of one layer: "bottom", "top", or a number from the bottom; negative ones count from the top."""
-    if layer == "bottom":
-        wanted = layers.where("layer = 0")
-    elif layer == "top" or (isinstance(layer, int) and layer < 0):
-        down = 1 if layer == "top" else -layer
-        ranked = layers.withColumn("_down", F.row_number().over(W.partitionBy("column").orderBy(F.desc("layer"))))
-        wanted = ranked.where(F.col("_down") == down)
-    else:
-        wanted = layers.where(F.col("layer") == layer)
-    return df.join(wanted.select("element", "column"), "element")
+def at_layer(df: DataFrame, layers: DataFrame, layer: str | int | Sequence[str | int]) -> DataFrame:
+    """Rows of one layer or of several: "bottom", "top", or numbers from the bottom; negative ones count from the top."""
+    numbers = [{"bottom": 0, "top": -1}.get(x, x) for x in ([layer] if isinstance(layer, (str, int)) else layer)]
+    if bad := [x for x in numbers if not isinstance(x, int)]:
+        raise ValueError(f"no layer {bad[0]!r}")
+    wanted = F.col("layer").isin([x for x in numbers if x >= 0])
+    if down := [-x for x in numbers if x < 0]:
+        layers = layers.withColumn("_down", F.row_number().over(W.partitionBy("column").orderBy(F.desc("layer"))))
+        wanted = wanted | F.col("_down").isin(down)
+    return df.join(layers.where(wanted).select("element", "column"), "element")
 
 
 def end_values(df: DataFrame, keys: Sequence[str], items: Sequence[str], *, top: bool = True, layer: str = "layer") -> DataFrame:
@@ -82,3 +83,26 @@ def to_2d(elements: DataFrame, layers: DataFrame) -> DataFrame:
     bottom = layers.where("layer = 0").select("element", "column")
     half = (F.size("nodes") / 2).cast("int")
     return elements.join(bottom, "element").select(F.col("column").alias("element"), F.slice("nodes", F.lit(1), half).alias("nodes"))
+
+
+def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, layers: DataFrame, *, point: str = "point") -> DataFrame:
+    """point, column and element: the element of the column at (x, y) whose centre is nearest to z; nulls outside the mesh."""
+    column = mesh.find_elements(points, nodes, to_2d(elements, layers), point=point).withColumnRenamed("element", "column")
+    centre = element_z(elements, nodes.select("node", "z"), keys=[]).select("element", F.col("z").alias("_zc"))
+    asked = points.select(point, F.col("z").alias("_z")).join(column, point)
+    placed = asked.join(layers.select("element", "column").join(centre, "element"), "column", "left")
+    return placed.groupBy(point, "column").agg(F.min_by("element", F.struct(F.abs(F.col("_z") - F.col("_zc")), "element")).alias("element"))
+
+
+def surface_elevation(elements: DataFrame, nodes: DataFrame, layers: DataFrame, node_z: DataFrame, *, k: int = 4, keys: Sequence[str] = ("time",)) -> DataFrame:
+    """``keys``, element and elevation: z of the ``k`` nearest nodes of the surface at the centres of the top elements, by inverse distance.
+
+    ``node_z`` has ``keys``, node and z. Neighbours are looked for once, not once a step.
+    """
+    half = (F.size("nodes") / 2).cast("int")
+    faces = at_layer(elements, layers, "top").select("element", F.slice("nodes", half + 1, half).alias("nodes"))
+    centres = centroids(nodes, faces).select(F.col("element").alias("point"), "x", "y")
+    surface = nodes.join(faces.select(F.explode("nodes").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("element"), "x", "y")
+    weights = interpolate.idw_weights(interpolate.nearest(centres, surface, k))
+    values = node_z.select(*keys, F.col("node").alias("element"), F.col("z").alias("elevation"))
+    return interpolate.apply_weights(values, weights, ["elevation"], keys=list(keys)).withColumnRenamed("point", "element")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
 from gridloom.functions.time import between, moment
-from gridloom.items import Item
+from gridloom.items import Item, ItemsError
 from gridloom.operators.select import match_items
 
 #: How the partition column is made of the time.
@@ -33,7 +34,18 @@ def write(frame: Frame, path: str, *, period: str = "month", mode: str = "errori
 
 
 def append(frame: Frame, path: str, *, period: str = "month") -> None:
-    write(frame, path, period=period, mode="append")
+    """Add steps to a dataset that has the same items and dimensions; anything else is refused before a row is written.
+
+    An item of undefined quantity is taken for the dataset's item of its name.
+    """
+    there = {f.name: f for f in frame.df.sparkSession.read.parquet(path).schema.fields if f.name != "_period"}
+    if set(there) != {*frame.dims, *frame.names}:
+        raise ItemsError(next(iter(set(there) ^ {*frame.dims, *frame.names})), list(there))
+    items = tuple(Item(i.name, **there[i.name].metadata) if i.quantity == "Undefined" else i for i in frame.items)
+    for i in items:
+        if there[i.name].metadata != i.metadata():
+            raise ValueError(f"item {i.name!r} isn't the one of the dataset")
+    write(replace(frame, items=items), path, period=period, mode="append")
 
 
 def read(spark: SparkSession, path: str, *, dims: Sequence[str] = ("time",), items: str | Sequence[str] | None = None, start: str | datetime | None = None, stop: str | datetime | None = None, geometry: object = None) -> Frame:

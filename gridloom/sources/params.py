@@ -122,6 +122,17 @@ def at_path(table: DataFrame, path: str) -> DataFrame:
     return table.where(inside | as_key)
 
 
+def without(table: DataFrame, path: str) -> DataFrame:
+    """The table after a section or key at a path such as "a/b" has been deleted; :func:`at_path` has what went."""
+    return table.join(at_path(table, path).select("doc", "line"), ["doc", "line"], "left_anti")
+
+
+def holds(table: DataFrame, path: str) -> DataFrame:
+    """doc and whether the document has a section or key at a path."""
+    found = at_path(table, path).select("doc", F.lit(True).alias("_found")).distinct()
+    return table.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("_found", F.lit(False)).alias("holds"))
+
+
 def search(table: DataFrame, text: str | None = None, *, key: str | None = None, section: str | None = None, param: str | float | bool | None = None, case: bool = False) -> DataFrame:
     """Keys of which the name, a section, or a text value holds the pattern; numbers and booleans have to be equal. Any match counts."""
     fold = (lambda c: c) if case else F.lower

@@ -331,3 +331,37 @@ def test_selection_on_a_mesh(spark):
     assert sorted(r.element for r in f.isel(element=slice(1, None, 2)).df.collect()) == [1, 3, 5]
     with pytest.raises(OutsideDomainError):
         f.sel(x=9.0, y=9.0)
+
+
+def test_arrays_there_and_back(spark):
+    a = np.arange(12.0).reshape(2, 3, 2)
+    a[1, 2, 0] = np.nan
+    f = Frame.from_numpy(spark, {"a": a, "b": 2 * a}, ("time", "y_idx", "x_idx"), times=["2024-01-01", "2024-01-02"])
+    assert f.names == ["a", "b"] and f.n_steps() == 2
+    back = f.to_numpy()
+    np.testing.assert_array_equal(back["a"], a)
+    np.testing.assert_array_equal(f.flipud().to_numpy()["b"], 2 * a[:, ::-1])
+    assert f.isel(time=[0], x_idx=[1]).squeeze().dims == ("y_idx",)
+    with pytest.raises(ValueError):
+        Frame.from_numpy(spark, {"a": a, "b": a[0]}, ("time", "y_idx", "x_idx"))
+
+
+def test_insert_puts_an_item_in_its_place(spark):
+    f = Frame.of(spark.sql("SELECT timestamp_ntz'2024-01-01' AS time, 1.0 AS a, 2.0 AS b"))
+    assert f.insert(1, "c", F.col("a") + F.col("b")).names == ["a", "c", "b"]
+    with pytest.raises(ValueError):
+        f.insert(0, "b", F.col("a"))
+
+
+def test_append_refuses_other_items(spark, tmp_path):
+    from gridloom.sources import layout
+
+    path = str(tmp_path / "data")
+    rows = spark.sql("SELECT timestamp_ntz'2024-01-01' AS time, 1.0 AS a")
+    layout.write(Frame.of(rows, items=[Item("a", "Surface_Elevation", "meter")]), path)
+    with pytest.raises(ItemsError):
+        layout.append(Frame.of(rows.withColumnRenamed("a", "b")), path)
+    with pytest.raises(ValueError):
+        layout.append(Frame.of(rows, items=[Item("a", "Surface_Elevation", "feet")]), path)
+    layout.append(Frame.of(rows, items=[Item("a", "Surface_Elevation", "meter")]), path)
+    assert layout.read(spark, path).df.count() == 2
