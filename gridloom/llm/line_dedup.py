@@ -8,9 +8,8 @@ line stays, by document id (null first), row key and place.
 
 Signatures are MinHash with one permutation: the hash of a shingle chooses one of ``bands`` times ``rows`` components and
 stands for itself there, and a component is the least of what falls to it. Lines with few shingles draw several times; later draws count
-only where earlier ones left a component empty, so lines of different lengths stay comparable. Of lines with many shingles only
-hashes under a threshold count, which falls with the number of shingles: two sets of like size have nearly the same threshold, and components that
-are empty in both agree. A line whose few distinct shingles repeat many times has fewer components filled and is found by the bands that are.
+only where earlier ones left a component empty, so lines of different lengths stay comparable. A line whose few distinct
+shingles repeat many times has fewer components filled and is found by the bands that are.
 
 Candidates are never listed as pairs of a bucket. Every class is first verified against the likeliest of a few hubs of its buckets,
 twice, and the links found so far are put together by union-find. What is still apart within a bucket is then joined on a bound that the
@@ -33,8 +32,8 @@ from gridloom.llm.near_dedup import row_key
 #: With 5 characters, lines of 49 characters and more stay at 0.8 after one character changed anywhere. With 16 bands of 5, sets with a
 #: similarity of 0.8 are candidates with a probability of 0.998, of 0.9 with more than 0.9999, unrelated lines (0.05) with 0.000005.
 SHINGLE_CHARS, PERCENT, BANDS, ROWS = 5, 80, 16, 5
-#: Draws that a line makes at least, and about how many of a longer line count: two a component, so that an eighth of them stay empty.
-DRAWS = 160
+#: Draws that a line makes at least, so that few components stay empty (3 of 100 with 80 components).
+DRAWS = 256
 #: Two classes are candidates only if at most so many of 64 bits of their signatures differ. At 0.8 a tenth do, more than 18 with a
 #: probability of 1e-5; of unrelated classes nearly half.
 MOST_BITS_APART = 18
@@ -72,11 +71,10 @@ def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame
     wide = wide.withColumn("n", F.greatest(F.lit(1), F.expr(f"cast(length(wide) div 2 as int) - {k - 1}")))
     # The number of draws is a multiple of n, at least DRAWS.
     last = F.expr(f"if(n >= {DRAWS}, n, cast(ceil({DRAWS} / n) as int) * n) - 1")
-    most = F.expr(f"if(n <= {DRAWS}, {1 << 31}L, cast({1 << 31}L * {DRAWS} div n as bigint))")
-    draws = wide.withColumn("most", most).select("class", "wide", "n", "most", F.explode(F.sequence(F.lit(0), last)).alias("draw"))
+    draws = wide.select("class", "wide", "n", F.explode(F.sequence(F.lit(0), last)).alias("draw"))
     # The first draws are told apart without a division.
-    drawn = draws.select("class", "wide", "most", F.expr("(if(draw < n, draw, draw % n)) * 2 + 1").alias("at"), F.expr("if(draw < n, 0, cast(draw div n as int))").alias("turn"))
-    hashed = drawn.select("class", "most", "turn", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * k)), "turn").alias("h")).where(F.shiftrightunsigned("h", 33) < F.col("most"))
+    drawn = draws.select("class", "wide", F.expr("(if(draw < n, draw, draw % n)) * 2 + 1").alias("at"), F.expr("if(draw < n, 0, cast(draw div n as int))").alias("turn"))
+    hashed = drawn.select("class", "turn", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * k)), "turn").alias("h"))
     component = F.shiftright(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) * (bands * rows), 31).cast("int")
     placed = hashed.select("class", component.alias("component"), (F.shiftleft(F.col("turn").cast("long"), 31) + F.shiftrightunsigned("h", 33)).alias("value"))
     dealt = placed.select("class", (F.col("component") % bands).alias("band"), F.expr(f"cast(component div {bands} as int)").alias("row"), "value")

@@ -105,3 +105,9 @@ def test_one_edit_in_lines_of_50_to_100_characters(spark, tmp_path):
     rows = [(2 * i + j, line) for i, two in enumerate(pairs) for j, line in enumerate(two)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r.doc_id for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect() if r.n_kept) == list(range(0, len(rows), 2))
+
+
+def test_long_lines_of_few_shingles(spark, tmp_path):
+    rows = [(i, unit * (100 + 37 * i)) for i, unit in enumerate(["-", "-", "=-", "=-", "abc def ", "abc def ", "-"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, str(tmp_path))
