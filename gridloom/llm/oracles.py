@@ -55,3 +55,38 @@ reach(vec_id, other) AS (SELECT a, b FROM links UNION SELECT reach.vec_id, links
 low AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low.low, e.vec_id)) AS component_id, e.vec_id <= coalesce(low.low, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)"""
+
+# The table of the checksum comes from its rule: eight steps of division by the polynomial for each byte.
+OP12 = r"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_concat([b], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+n AS (SELECT w, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT w, 1 AS s, 0 AS t FROM e UNION ALL SELECT w, 0, 1 FROM b) GROUP BY w),
+h AS (SELECT w, s, t, hex(encode(w)) AS hex FROM n),
+y AS (SELECT w, s, t, list_transform(range(0, length(hex) // 2), lambda i: (16 * (position(substr(hex, 2 * i + 1, 1) IN '0123456789ABCDEF') - 1) + position(substr(hex, 2 * i + 2, 1) IN '0123456789ABCDEF') - 1)::BIGINT) AS bytes FROM h),
+f AS (SELECT w, s, t, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM y, t),
+g AS (SELECT bucket, floor(1000 * ln(((sum(t)::DOUBLE + 1) * ((SELECT sum(s) FROM n)::DOUBLE + 10000)) / ((sum(s)::DOUBLE + 1) * ((SELECT sum(t) FROM n)::DOUBLE + 10000))))::BIGINT AS gain FROM f GROUP BY bucket),
+a AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM e JOIN f USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((list_reduce(list_concat([0::BIGINT], list_transform(range(1, 9), lambda i: (position(substr(sha256('2024:' || doc_id), i, 1) IN '0123456789abcdef') - 1)::BIGINT)), lambda c, x: c * 16 + x) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN a USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM e GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM e SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS all_n FROM kept GROUP BY lang),
+size AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT + any_value(v) AS whole FROM groups JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // whole AS p FROM size s JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 1) // (all_n + v) AS q FROM kept JOIN v USING (lang)),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM every
+UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 200"""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, language_id, line_dedup, near_dedup, oracles, packing, pq, token_output, top_k, warc
+from gridloom.llm import bpe, chat, divergence, language_id, licenses, line_dedup, near_dedup, oracles, packing, pq, resampling, token_output, top_k, warc
 from gridloom.llm.common import stored
+from gridloom.llm.words import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,8 +99,21 @@ def op10_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.segments(spark, path)
 
 
+def op11_fuzzy_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with small_batches(spark):  # a batch of whole texts is bounded
+        return stored(licenses.scan(_table(spark, sf_dir, "documents")), "licenses")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_fuzzy_lines, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation, op10_packed_output)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_fuzzy_lines, op3_chat_formatting, op4_superminhash_near_dedup, op5_rank_order_language, op6_bpe_tree, op7_term_at_a_time_top_k, op8_best_fit_packing, op9_product_quantisation, op10_packed_output, op11_fuzzy_licenses, op12_importance_resampling, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -110,4 +124,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_superminhash_near_dedup": oracles.OP4,
         "op7_term_at_a_time_top_k": oracles.OP7,
         "op9_product_quantisation": oracles.OP9,
+        "op12_importance_resampling": oracles.OP12,
+        "op13_source_divergence": oracles.OP13,
     }
