@@ -20,6 +20,8 @@ from gridloom.functions import time as times
 from gridloom.geometry import Geometry0D, Undefined
 from gridloom.items import Item, ItemsError, unique_names
 from gridloom.geometry.base import OutsideDomainError
+from gridloom.geometry.layered import LayeredMesh
+from gridloom.geometry.spectrum import PointSpectrum
 from gridloom.operators import aggregate, combine, interpolate, mesh, select
 
 Number = int | float
@@ -171,11 +173,13 @@ class Frame:
             return Undefined(self.space_dims)
         return geometry.cut(**{name: wanted})
 
-    def sel(self, time: str | datetime | slice | None = None, area: Sequence | None = None, **at: Number | slice) -> Frame:
+    def sel(self, time: str | datetime | slice | None = None, area: Sequence | None = None, layers: str | int | Sequence[str | int] | None = None, **at: Number | slice) -> Frame:
         """By label: times (partial ones stand for their period, both ends of slices count), a box, or coordinates.
 
         On a grid the cells that are left are numbered anew and the grid is cut with them. On a mesh ``area`` may also be a polygon of (x, y)
-        corners and ``x`` and ``y`` choose the element that holds the point; elements keep their ids.
+        corners and ``x`` and ``y`` choose the element that holds the point; elements keep their ids. On a layered mesh ``x`` and ``y`` choose a column, with
+        ``z`` the element between whose faces it lies; ``layers`` ("bottom", "top", numbers) may be combined with either. On spectra ``area`` and ``x`` with
+        ``y`` choose elements, ``element`` or ``node`` choose by id.
         """
         if area is not None and at:
             raise ValueError("give an area or coordinates, not both")
@@ -184,6 +188,12 @@ class Frame:
             df = select.time_slice(df, time.start, time.stop)
         elif time is not None:
             df = select.at_time(df, time)
+        if isinstance(geometry, LayeredMesh):
+            return self._with(df)._sel_on_layers(area, layers, at)
+        if layers is not None:
+            raise ValueError("the geometry has no layers")
+        if (area is not None or at) and isinstance(geometry, PointSpectrum):
+            return self._with(df)._sel_on_spectrum(area, at)
         if (area is not None or at) and hasattr(geometry, "as_tables"):
             return self._with(df)._sel_on_mesh(area, at)
         axes = getattr(geometry, "axes", {})
@@ -222,6 +232,28 @@ class Frame:
             raise OutsideDomainError(at["x"], at["y"])
         return self._with(self.df.where(F.col("element") == element).drop("element"), dims=tuple(d for d in self.dims if d != "element"), geometry=Geometry0D())
 
+    def _sel_on_layers(self, area: Sequence | None, layers: str | int | Sequence[str | int] | None, at: dict[str, Number]) -> Frame:
+        if area is None and layers is None and not at:
+            return self
+        if at and set(at) not in ({"x", "y"}, {"x", "y", "z"}):
+            raise ValueError("a point in a layered mesh has x and y, or x, y and z")
+        found = None if layers is None else self.geometry.layer_elements(layers)
+        if area is not None or at:
+            there = self.geometry.area_elements(area) if area is not None else self.geometry.point_elements(self.df.sparkSession, **at)
+            found = there if found is None else there.join(found, "element", "left_semi")
+        return self._at_elements(found, self.geometry.keep(found))
+
+    def _at_elements(self, ids: DataFrame, geometry: object) -> Frame:
+        """Rows of some elements; a geometry that is one point drops the axis."""
+        df, name = self.df.join(ids, ids.columns[0], "left_semi"), ids.columns[0]
+        if name in geometry.dims:
+            return self._with(df, geometry=geometry)
+        return self._with(df.drop(name), dims=tuple(d for d in self.dims if d != name), geometry=geometry)
+
+    def _sel_on_spectrum(self, area: Sequence | None, at: dict) -> Frame:
+        ids, geometry = self.geometry.select(self.df.sparkSession, area=area, **at)
+        return self._at_elements(ids, geometry)
+
     def where(self, mask: Column, value: float = nan.NAN) -> Frame:
         """Values become ``value`` where the mask holds."""
         return self._with(select.where(self.df, self.names, mask, value))

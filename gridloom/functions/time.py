@@ -6,7 +6,6 @@ import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -87,22 +86,28 @@ def regular(spark: SparkSession, start: datetime, stop: datetime, step: str | fl
 
 
 def steps(df: DataFrame, time: str = "time", name: str = "step") -> DataFrame:
-    """The distinct times with their number from 0: a small table, one row for each step."""
-    return df.select(time).distinct().withColumn(name, (F.row_number().over(W.orderBy(time)) - 1).cast("long"))
+    """The distinct times with their number from 0, counted by range partitions: one row for each step."""
+    from gridloom.operators.ordering import numbered
+
+    return numbered(df.select(time).distinct(), [time], name)
 
 
 def is_equidistant(df: DataFrame, time: str = "time") -> DataFrame:
     """One row: is_equidistant, n_steps and timestep (seconds between the first two steps; null with fewer)."""
-    numbered = steps(df, time)
-    gaps = numbered.withColumn("_gap", F.timestamp_diff("MICROSECOND", F.lag(time).over(W.orderBy(time)), F.col(time)))
+    from gridloom.operators.ordering import with_previous
+
+    paired = with_previous(df.select(F.col(time).alias("t")).distinct(), ["t"], ["t"])
+    gaps = paired.select("t", F.timestamp_diff("MICROSECOND", F.col("_previous.t"), F.col("t")).alias("gap"))
     return gaps.agg(
-        ((F.count("*") < 3) | (F.count_distinct("_gap") == 1)).alias("is_equidistant"),
+        ((F.count("*") < 3) | (F.min("gap") == F.max("gap"))).alias("is_equidistant"),
         F.count("*").cast("long").alias("n_steps"),
-        (F.max(F.when(F.col("step") == 1, F.col("_gap"))) / 1e6).alias("timestep"),
+        (F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col("t"))) / 1e6).alias("timestep"),
     )
 
 
 def is_monotonic(df: DataFrame, order: str, time: str = "time") -> DataFrame:
     """One row: whether times never fall along ``order``."""
-    falls = df.withColumn("_gap", F.timestamp_diff("MICROSECOND", F.lag(time).over(W.orderBy(order)), F.col(time)))
-    return falls.agg(F.coalesce(F.min("_gap") >= 0, F.lit(True)).alias("is_monotonic"))
+    from gridloom.operators.ordering import with_previous
+
+    paired = with_previous(df.select(F.col(order).alias("o"), F.col(time).alias("t")), ["o"], ["t"])
+    return paired.agg(F.coalesce(F.min(F.timestamp_diff("MICROSECOND", F.col("_previous.t"), F.col("t"))) >= 0, F.lit(True)).alias("is_monotonic"))

@@ -9,21 +9,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import nan
+from gridloom.functions.distance import distance
 from gridloom.geometry.mesh import centroids
-from gridloom.operators import interpolate, mesh
+from gridloom.operators import interpolate, mesh, ordering
 
 
 def columns_of(elements: DataFrame) -> DataFrame:
     """Columns and layers from the connectivity: an element belongs on top of the one before it if its lower face is that one's upper face.
 
-    ``nodes`` holds the lower face's nodes first, then the upper face's.
+    ``nodes`` holds the lower face's nodes first, then the upper face's; a face of two nodes (of a vertical slice) is walked the other way by the
+    element above. Columns are numbered by range partitions with carried counts, so no task sees all elements.
     """
     half = (F.size("nodes") / 2).cast("int")
     faces = elements.select("element", F.slice("nodes", F.lit(1), half).alias("below"), F.slice("nodes", half + 1, half).alias("above"))
-    order = W.orderBy("element")  # connectivity is a dimension table
-    starts = faces.withColumn("_new", F.coalesce((F.lag("above").over(order) != F.col("below")).cast("int"), F.lit(1)))
-    column = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1
-    return starts.withColumn("column", column.cast("int")).withColumn("layer", (F.row_number().over(W.partitionBy("column").orderBy("element")) - 1).cast("int")).select("element", "column", "layer")
+    last = F.col("_previous.above")
+    joined = F.when(F.size("below") == 2, F.reverse(last)).otherwise(last)
+    starts = ordering.with_previous(faces, ["element"], ["above"]).select("element", F.coalesce((joined != F.col("below")).cast("int"), F.lit(1)).alias("new"))
+    column = ordering.running_sums(starts, ["element"], {"column": F.col("new")}).select("element", (F.col("column") - 1).cast("int").alias("column"))
+    return column.withColumn("layer", (F.row_number().over(W.partitionBy("column").orderBy("element")) - 1).cast("int"))
+
+
+def aligned(layers: DataFrame, n_layers: int) -> DataFrame:
+    """Layers numbered from the top: a column with fewer layers than ``n_layers`` lacks the lowest numbers, as where layers of fixed depth end at the bottom."""
+    return layers.withColumn("layer", (F.col("layer") + n_layers - F.count("*").over(W.partitionBy("column"))).cast("int"))
 
 
 def at_layer(df: DataFrame, layers: DataFrame, layer: str | int | Sequence[str | int]) -> DataFrame:
@@ -78,20 +86,87 @@ def interp_z(df: DataFrame, keys: Sequence[str], z: str, item: str, levels: Sequ
     return grouped.select(*keys, F.col("level").alias(z), value.alias(item))
 
 
-def to_2d(elements: DataFrame, layers: DataFrame) -> DataFrame:
-    """The flat mesh under a layered one: the lower faces of the bottom elements, numbered by column."""
-    bottom = layers.where("layer = 0").select("element", "column")
+def lowest_faces(elements: DataFrame, layers: DataFrame) -> DataFrame:
+    """The lower faces of the lowest element of each column, numbered by column."""
+    bottom = layers.groupBy("column").agg(F.min_by("element", "layer").alias("element"))
     half = (F.size("nodes") / 2).cast("int")
     return elements.join(bottom, "element").select(F.col("column").alias("element"), F.slice("nodes", F.lit(1), half).alias("nodes"))
 
 
-def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, layers: DataFrame, *, point: str = "point") -> DataFrame:
-    """point, column and element: the element of the column at (x, y) whose centre is nearest to z; nulls outside the mesh."""
+def to_2d(elements: DataFrame, layers: DataFrame) -> DataFrame:
+    """The flat mesh under a layered one: the lower faces of the bottom elements, numbered by column."""
+    return lowest_faces(elements, layers)
+
+
+def in_columns(asked: DataFrame, layers: DataFrame, faces: DataFrame, *, point: str = "point", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, point, column and element: the element of the column (null if z is outside it) between whose faces z lies.
+
+    ``asked`` has point, column and z, ``faces`` has element, z_bottom and z_top for each of ``keys``. A z on a face belongs to the element below
+    it, on the lowest face to the lowest element. Rows of one column meet, never all rows of all columns.
+    """
+    stacked = layers.select("element", "column").join(faces.select(*keys, "element", "z_bottom", "z_top"), "element")
+    lowest = F.min("z_bottom").over(W.partitionBy(*keys, "column"))
+    stacked = stacked.withColumn("_floor", lowest)
+    inside = (F.col("_z") <= F.col("z_top")) & ((F.col("_z") > F.col("z_bottom")) | ((F.col("_z") == F.col("z_bottom")) & (F.col("z_bottom") == F.col("_floor"))))
+    rows = asked.select(point, "column", F.col("z").alias("_z"))
+    met = rows.join(stacked, "column", "left").groupBy(*keys, point, "column").agg(F.min(F.when(inside, F.col("element"))).alias("element"))
+    return met
+
+
+def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, layers: DataFrame, *, point: str = "point", node_z: DataFrame | None = None, keys: Sequence[str] = ("time",)) -> DataFrame:
+    """point, column and element: the element of the column at (x, y) between whose faces z lies; nulls outside the mesh or the column.
+
+    With ``node_z`` (``keys``, node, z) the faces move and there is a row for each of ``keys``.
+    """
     column = mesh.find_elements(points, nodes, to_2d(elements, layers), point=point).withColumnRenamed("element", "column")
-    centre = element_z(elements, nodes.select("node", "z"), keys=[]).select("element", F.col("z").alias("_zc"))
-    asked = points.select(point, F.col("z").alias("_z")).join(column, point)
-    placed = asked.join(layers.select("element", "column").join(centre, "element"), "column", "left")
-    return placed.groupBy(point, "column").agg(F.min_by("element", F.struct(F.abs(F.col("_z") - F.col("_zc")), "element")).alias("element"))
+    asked = points.select(point, "z").join(column, point)
+    moving = list(keys) if node_z is not None else []
+    faces = element_z(elements, nodes.select("node", "z") if node_z is None else node_z, keys=moving)
+    found = in_columns(asked.where("column is not null"), layers, faces, point=point, keys=moving)
+    if not moving:
+        return points.select(point).join(found, point, "left")
+    times = node_z.select(*moving).distinct()
+    outside = asked.where("column is null").select(point, "column", F.lit(None).cast(elements.schema["element"].dataType).alias("element"))
+    return found.unionByName(outside.join(times).select(*found.columns))
+
+
+def nearest_column(points: DataFrame, nodes: DataFrame, elements: DataFrame, layers: DataFrame, *, point: str = "point") -> DataFrame:
+    """point and column: the column of a vertical slice whose top element is nearest to (x, y)."""
+    tops = centroids(nodes, at_layer(elements, layers, "top").select("element", "nodes"))
+    near = interpolate.nearest(points, tops, 1, point=point)
+    return near.select(point, "element").join(layers.select("element", "column"), "element").select(point, "column")
+
+
+def face_z(elements: DataFrame, layers: DataFrame, node_z: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
+    """``keys``, column, and three arrays from the bottom up: ze (centres), zf (faces, one more) and zee (centres with both end faces).
+
+    A column has few layers, so its arrays are short; columns and ``keys`` are spread over tasks.
+    """
+    z = element_z(elements, node_z, keys=list(keys)).join(layers.select("element", "column", "layer"), "element")
+    row = z.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.struct("layer", "z", "z_bottom", "z_top"))).alias("_of"))
+    of = lambda name: F.transform("_of", lambda s: s[name])
+    top = F.array(F.element_at("_of", -1)["z_top"])
+    low = F.array(F.element_at("_of", 1)["z_bottom"])
+    return row.select(*keys, "column", of("z").alias("ze"), F.concat(of("z_bottom"), top).alias("zf"), F.concat(low, of("z"), top).alias("zee"))
+
+
+def distance_along(nodes: DataFrame, elements: DataFrame, *, is_geo: bool = False) -> DataFrame:
+    """element and distance: the way along the centres of a vertical slice's elements in their order, from its first node.
+
+    Steps are summed up within range partitions, with the sums of earlier ranges carried over.
+    """
+    first = nodes.agg(F.min_by(F.struct("x", "y"), "node").alias("p")).select(F.col("p.x").alias("_x0"), F.col("p.y").alias("_y0"))
+    centres = centroids(nodes, elements).select("element", "x", "y").join(F.broadcast(first))  # one row
+    before = F.coalesce(F.col("_previous"), F.struct(F.col("_x0").alias("x"), F.col("_y0").alias("y")))
+    step = distance(before["x"], before["y"], F.col("x"), F.col("y"), is_geo=is_geo)
+    stepped = ordering.with_previous(centres, ["element"], ["x", "y"]).select("element", "x", "y", step.alias("_step"))
+    return ordering.running_sums(stepped, ["element"], {"distance": F.col("_step")}).select("element", "x", "y", "distance")
+
+
+def nearest_distance_along(points: DataFrame, along: DataFrame, *, point: str = "point") -> DataFrame:
+    """point and distance: that of the element of :func:`distance_along` whose centre is nearest."""
+    near = interpolate.nearest(points, along, 1, point=point).select(point, "element")
+    return near.join(along.select("element", "distance"), "element").select(point, "distance")
 
 
 def surface_elevation(elements: DataFrame, nodes: DataFrame, layers: DataFrame, node_z: DataFrame, *, k: int = 4, keys: Sequence[str] = ("time",)) -> DataFrame:

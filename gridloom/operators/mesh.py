@@ -13,6 +13,7 @@ from gridloom.functions import nan
 from gridloom.functions.distance import EARTH_RADIUS_AREA, planar
 from gridloom.geometry.mesh import centroids, corner_table
 from gridloom.operators.interpolate import idw_weights, nearest
+from gridloom.operators.ordering import numbered
 
 
 def element_corners(nodes: DataFrame, elements: DataFrame) -> DataFrame:
@@ -187,10 +188,10 @@ def to_wkt(nodes: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def renumber(nodes: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and elements numbered densely from 0, in their order; only nodes in use are kept."""
+    """Nodes and elements numbered densely from 0, in their order; only nodes in use are kept. Numbers are counted by range partitions."""
     used = elements.select(F.explode("nodes").alias("node")).distinct()
-    new_node = used.withColumn("new", (F.row_number().over(W.orderBy("node")) - 1).cast("int"))
-    new_element = elements.select("element").withColumn("new", (F.row_number().over(W.orderBy("element")) - 1).cast("int"))
+    number = lambda df, c: numbered(df, [c], "new").withColumn("new", F.col("new").cast("int"))
+    new_node, new_element = number(used, "node"), number(elements.select("element"), "element")
     corners = elements.select("element", F.posexplode("nodes").alias("at", "node")).join(new_node, "node").join(new_element.withColumnRenamed("new", "e"), "element")
     lists = corners.groupBy("e").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda s: s["new"]).alias("nodes"))
     return nodes.join(new_node, "node").drop("node").withColumnRenamed("new", "node"), lists.withColumnRenamed("e", "element")

@@ -35,20 +35,16 @@ def match_items(known: Sequence[str], wanted: str | int | Sequence[str | int] |
 
 
 def steps_at(df: DataFrame, steps: int | slice | Sequence[int], time: str = "time", *, n_steps: int | None = None) -> DataFrame:
-    """Rows of time steps by number: an integer, a half-open slice, or a list; negative numbers count from the end.
+    """Rows of time steps by number: an integer, a slice, or a list; negative numbers count from the end, IndexError beyond it.
 
-    Steps are the distinct times in order. Their table is small, so it is joined to the rows as a filter.
+    Steps are the distinct times in order. Rows are a set, so a slice with a negative step takes the same steps as the one that is walked the other way.
     """
     numbered = times.steps(df, time)
-    if isinstance(steps, slice):
-        n = n_steps if n_steps is not None else numbered.count()
-        first, stop, step = steps.indices(n)
-        keep = (F.col("step") >= min(first, stop)) & (F.col("step") < max(first, stop)) & ((F.col("step") - first) % abs(step) == 0)
+    wanted = places(steps, n_steps if n_steps is not None else numbered.count(), "time")
+    if isinstance(wanted, range):
+        low, high = (min(wanted), max(wanted)) if len(wanted) else (0, -1)
+        keep = F.col("step").between(low, high) & ((F.col("step") - low) % abs(wanted.step) == 0)
     else:
-        wanted = [steps] if isinstance(steps, int) else list(steps)
-        if any(w < 0 for w in wanted):
-            n = n_steps if n_steps is not None else numbered.count()
-            wanted = [w + n if w < 0 else w for w in wanted]
         keep = F.col("step").isin(wanted)
     return df.join(numbered.where(keep).select(time), time, "left_semi")
 
@@ -60,7 +56,7 @@ def places(at: int | slice | Sequence[int], n: int, name: str = "axis") -> list[
     wanted = [at] if isinstance(at, int) else [int(i) for i in at]
     for i in wanted:
         if not -n <= i < n:
-            raise IndexError(f"{name} has {n} cells, {i} is outside")
+            raise IndexError(f"{name} has {n} places, {i} is outside")
     return [i % n for i in wanted]
 
 

@@ -125,17 +125,6 @@ def flat_mesh(spark, sf):
     return layered.to_2d(elements, layers).select("element", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
 
 
-@query(f"""WITH p AS (SELECT s_suppkey AS point, s_suppkey % 5 + 1 AS c, s_suppkey * 0.7 % 7 AS z, s_suppkey % 4 = 0 AS outside FROM supplier)
-SELECT p.point, CASE WHEN outside THEN NULL ELSE any_value(l.col) END AS "column", CASE WHEN outside THEN NULL ELSE arg_min(l.element, abs(p.z - l.z)) END AS element
-FROM p JOIN {_LAYERS} l USING (c) GROUP BY p.point, outside""")
-def find_layered_element(spark, sf):
-    nodes, elements, layers = _prisms(spark, sf)
-    key = F.col("s_suppkey")
-    x = F.when(key % 4 == 0, F.lit(-5.0)).otherwise(key % 5 + 1 + 0.35)
-    points = ds.table(spark, sf, "supplier").select(key.alias("point"), x.cast("double").alias("x"), F.lit(0.3).cast("double").alias("y"), (key * 0.7 % 7).cast("double").alias("z"))
-    return layered.find_elements(points, nodes, elements, layers).select("point", "column", "element")
-
-
 @query(f"""WITH t AS (SELECT element, c, l FROM {_LAYERS} QUALIFY row_number() OVER (PARTITION BY c ORDER BY layer DESC) = 1),
 n AS (SELECT c * 100 + (l + 1) * 3 + k AS node, {_X} AS x, {_Y} AS y, (l + 1) * 1.5 + k * 0.25 + c % 7 * 0.1 AS z FROM t, {_CORNER}),
 m AS (SELECT element, avg({_X}) AS x, avg({_Y}) AS y FROM t, {_CORNER} GROUP BY element),
