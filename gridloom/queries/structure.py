@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from gridloom.queries import datasets as ds
 from gridloom.queries.catalogue import _CORNERS, _NEXT, _PROBES, T, _documents, query
 from gridloom.queries.datasets import out, sql_out
 from gridloom.sources import layout, params
+from gridloom.sources.shared import new_path
 
 # items and axes
 
@@ -53,7 +52,7 @@ def apply_function(spark, sf):
 @query(f"SELECT epoch_us(time) AS time, {sql_out('n')} AS n FROM {ds.DAILY} WHERE time >= '1995-03-01' AND time < '1996-08-01'")
 def layout_round_trip(spark, sf):
     """Two parts are written one after the other, and some months and one item of them read again."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/layout-{uuid.uuid4().hex}"
+    path = new_path(spark, "layout")
     f = Frame.of(ds.daily(spark, sf))
     layout.write(f.sel(time=slice(None, "1995")), path)
     layout.append(f.sel(time=slice("1996", None)), path)
