@@ -28,8 +28,8 @@ from gridloom.llm.words import Tally, ngrams, small_batches, strings, words
 from gridloom.operators.ordering import numbered
 
 BUCKETS, SMOOTH, THOUSAND = 10_000, 1, 1000
-#: Features of at most this many bytes and at least one part in this many of all occurrences go to every task: at most 4 MB.
-HEAVY, HEAVY_BYTES = 20_000, 200
+#: Features of at most this many bytes and at least one part in this many of all occurrences go to every task: at most 10 MB.
+HEAVY, HEAVY_BYTES = 50_000, 200
 
 
 def _counted(low: int, high: int):
@@ -102,10 +102,11 @@ def weights(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: st
         heavy = {r["feature"].encode("utf-8", "surrogatepass"): r["gain"] for r in valued.where(is_heavy).select("feature", "gain").collect()}
         rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("of"), F.col(text).cast("binary").alias("text"))
         held = stored(rows.mapInArrow(_weighed(heavy, low, high), f"key {kind}, of long, n_words long, n_features long, weight long, light array<struct<feature:string,n:long>>"), "weighed")
-    light = held.select("key", "of", "n_words", F.explode("light").alias("f")).select("key", "of", "n_words", "f.*").join(valued.where(~is_heavy), "feature")
+    light = held.select("key", "of", F.explode("light").alias("f")).select("key", "of", "f.*").join(valued.where(~is_heavy), "feature")
     numbers = held.select("key", "of", "n_words", "n_features", "weight", F.lit(1).alias("copies"))
-    both = numbers.unionByName(light.select("key", "of", "n_words", F.lit(0).alias("n_features"), (F.col("n") * F.col("gain")).alias("weight"), F.lit(0).alias("copies")))
-    whole = both.groupBy("key", "of", "n_words").agg(F.sum("n_features").alias("n"), F.sum("weight").alias("weight"), F.sum("copies").alias("copies"))
+    none = F.lit(0).cast("long")
+    both = numbers.unionByName(light.select("key", "of", none.alias("n_words"), none.alias("n_features"), (F.col("n") * F.col("gain")).alias("weight"), F.lit(0).alias("copies")))
+    whole = both.groupBy("key", "of").agg(F.max("n_words").alias("n_words"), F.sum("n_features").alias("n"), F.sum("weight").alias("weight"), F.sum("copies").alias("copies"))
     # Rows with the same id and text were summed up together: each has its share.
     each = whole.select("key", "n_words", F.expr("n div copies").alias("n_features"), F.expr("weight div copies").alias("weight"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
     out = stored(each, "weights")
