@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import nan
@@ -14,6 +13,7 @@ from gridloom.functions.distance import EARTH_RADIUS_AREA, planar
 from gridloom.geometry.mesh import centroids, corner_table
 from gridloom.operators.interpolate import idw_weights, nearest
 from gridloom.operators.ordering import numbered
+from gridloom.sources.shared import drop_stored, stored
 
 
 def element_corners(nodes: DataFrame, elements: DataFrame) -> DataFrame:
@@ -49,47 +49,84 @@ def boundary_faces(elements: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("element").alias("element")).where("n = 1").drop("n")
 
 
-def boundary_polygons(nodes: DataFrame, elements: DataFrame) -> list[tuple[bool, list[int]]]:
-    """Rings of nodes with whether they are outer ones: the faces are found by Spark, the rings are walked here.
+def directed_boundary(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Faces that belong to one element, from a to b with the element on the left whichever way its corners are listed; columns a, b, xa, ya, xb, yb."""
+    shaped = element_corners(nodes, elements)
+    corners = F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    turned = elements.join(shaped.select("element", (_cross_sum(corners) < 0).alias("_back")), "element").withColumn("nodes", F.when(F.col("_back"), F.reverse("nodes")).otherwise(F.col("nodes")))
+    n = F.size("nodes")
+    each = turned.select(F.explode(F.transform("nodes", lambda v, i: F.struct(v.alias("a"), F.get("nodes", (i + 1) % n).alias("b")))).alias("e")).select("e.a", "e.b")
+    lone = each.groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_h")).agg(F.count("*").alias("_n"), F.first("a").alias("a"), F.first("b").alias("b")).where("_n = 1").select("a", "b")
+    at = lambda e: nodes.select(F.col("node").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}"))
+    return lone.join(at("a"), "a").join(at("b"), "b").select("a", "b", "xa", "ya", "xb", "yb")
+
 
-    A mesh's outline is a small fraction of it; the number of faces is checked.
+def boundary_rings(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """The boundary as closed rings: ring, place (from 0), node, x and y. A ring is named by its first face, the least one of it.
+
+    Every face has one next face; where several leave a node, the one that turns furthest to the left, along the same elements, so that rings touch there but don't cross. The name of
+    a ring is found by pointer doubling, as is the way from each face to the end of its ring: some log2 of the longest ring's faces joins of tables of
+    faces, each written to the shared folder.
+    """
+    edge = directed_boundary(nodes, elements).withColumn("edge", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")))
+    edge = stored(edge, "faces")
+    onward = edge.select(F.col("a").alias("b"), F.col("edge").alias("next"), (F.col("xb") - F.col("xa")).alias("ux"), (F.col("yb") - F.col("ya")).alias("uy"))
+    # The angle of the next face seen from the way back, clockwise.
+    back = F.atan2(F.col("ya") - F.col("yb"), F.col("xa") - F.col("xb"))
+    turn = F.pmod(F.atan2("uy", "ux") - back, F.lit(2 * math.pi))
+    turn = F.when(turn <= 1e-12, 2 * math.pi).otherwise(turn)
+    jump = edge.join(onward, "b").groupBy("edge").agg(F.max_by("next", F.struct(turn, "next")).alias("next"))
+    jump = stored(jump.select("edge", "next", F.least("edge", "next").alias("ring")), "jumps")
+    first_jump = jump
+    while True:
+        far = jump.select(F.col("edge").alias("next"), F.col("next").alias("further"), F.col("ring").alias("other"))
+        new = stored(jump.join(far, "next").select("edge", F.col("further").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("_moved")), "jumps")
+        moved = not new.where("_moved").isEmpty()
+        if jump is not first_jump:
+            drop_stored(jump)
+        jump = new.drop("_moved")
+        if not moved:
+            break
+    rings = stored(jump.select("edge", "ring"), "rings")
+    # How many faces follow each one before its ring's first face comes again.
+    left = first_jump.select("edge", "next").join(rings, "edge").select("edge", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") == F.col("ring"), 0).otherwise(1).cast("long").alias("left"))
+    left = stored(left, "left")
+    while not left.where("next is not null").isEmpty():
+        far = left.select(F.col("edge").alias("next"), F.col("next").alias("further"), F.col("left").alias("more"))
+        doubled = left.where("next is not null").join(far, "next").select("edge", F.col("further").alias("next"), (F.col("left") + F.col("more")).alias("left"))
+        new = stored(doubled.unionByName(left.where("next is null")), "left")
+        drop_stored(left)
+        left = new
+    sizes = rings.groupBy("ring").agg(F.count("*").alias("_size"))
+    return edge.join(rings, "edge").join(left.select("edge", "left"), "edge").join(sizes, "ring").select("ring", (F.col("_size") - 1 - F.col("left")).alias("place"), F.col("a").alias("node"), F.col("xa").alias("x"), F.col("ya").alias("y"))
+
+
+def boundary_polygons(rings: DataFrame) -> DataFrame:
+    """A row for each of :func:`boundary_rings`: ring, n_nodes, area, is_outer and parent (of a hole, the smallest outer ring around it).
+
+    A boundary has its elements on the left, so outer rings go round counter-clockwise and holes clockwise: the sign of the area tells them apart. Outer
+    rings around a hole are counted by the faces that a ray to the left of one of its nodes meets; rays and faces meet in bins of y.
     """
-    faces = boundary_faces(elements).limit(2_000_001).collect()
-    if len(faces) > 2_000_000:
-        raise ValueError("the boundary is too long to be walked")
-    ends: dict[int, list[int]] = {}
-    for r in faces:
-        ends.setdefault(r["a"], []).append(r["b"])
-        ends.setdefault(r["b"], []).append(r["a"])
-    used = {n for r in faces for n in (r["a"], r["b"])}
-    at = {r["node"]: (r["x"], r["y"]) for r in nodes.join(F.broadcast(nodes.sparkSession.createDataFrame([(int(n),) for n in used], "node int")), "node", "left_semi").collect()} if used else {}
-    rings = []
-    left = {frozenset((r["a"], r["b"])) for r in faces}
-    while left:
-        a, b = sorted(min(left, key=sorted))
-        ring = [a]
-        left.discard(frozenset((a, b)))
-        while b != a:
-            ring.append(b)
-            onward = next((n for n in ends[b] if frozenset((b, n)) in left), None)
-            if onward is None:
-                break
-            left.discard(frozenset((b, onward)))
-            b = onward
-        rings.append(ring)
-    area = lambda ring: abs(sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in zip(ring, [*ring[1:], ring[0]], strict=True)))
-    rings.sort(key=area, reverse=True)
-    inside = lambda ring, other: _ray(at[ring[0]], [at[n] for n in other])
-    return [(sum(inside(r, o) for o in rings if o is not r) % 2 == 0, r) for r in rings]
-
-
-def _ray(point: tuple[float, float], polygon: Sequence[tuple[float, float]]) -> bool:
-    x, y = point
-    odd = False
-    for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
-        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-            odd = not odd
-    return odd
+    paired = rings.withColumn("_following", F.col("place") + 1)
+    sizes = rings.groupBy("ring").agg(F.count("*").alias("n"))
+    after = rings.select("ring", F.col("place").alias("_following"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    faces = paired.join(sizes, "ring").withColumn("_following", F.col("_following") % F.col("n")).join(after, ["ring", "_following"])
+    faces = stored(faces.select("ring", "place", "node", "x", "y", "x2", "y2"), "ring-faces")
+    shape = stored(faces.groupBy("ring").agg(F.count("*").alias("n_nodes"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area"), F.min_by(F.struct("x", "y"), F.struct("x", "y")).alias("_p")), "ring-shapes")
+    e = faces.agg(F.min("y"), F.max("y"), F.count("*")).first()
+    if not e[2]:
+        return shape.select("ring", "n_nodes", "area", (F.col("area") > 0).alias("is_outer"), F.col("ring").alias("parent"))
+    n = max(1, int(math.sqrt(e[2])))
+    size = max((e[1] - e[0]) / n, 1e-300)
+    bin_of = lambda y: F.least(F.lit(n - 1), F.floor((y - e[0]) / size)).cast("int")
+    holes = shape.where("area < 0").select(F.col("ring").alias("hole"), F.col("_p.x").alias("px"), F.col("_p.y").alias("py"), bin_of(F.col("_p.y")).alias("_bin"))
+    outer = shape.where("area >= 0").select("ring", F.col("area").alias("around"))
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    crossed = faces.where("y != y2").join(outer, "ring").withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    met = holes.join(crossed, "_bin").where(((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("x") + (F.col("py") - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")) < F.col("px")))
+    inside = met.groupBy("hole", "ring", "around").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    parents = inside.groupBy("hole").agg(F.min_by("ring", F.struct("around", "ring")).alias("parent")).withColumnRenamed("hole", "ring")
+    return shape.join(parents, "ring", "left").select("ring", "n_nodes", F.abs("area").alias("area"), (F.col("area") >= 0).alias("is_outer"), "parent")
 
 
 def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, *, point: str = "point", bins: int | None = None) -> DataFrame:
@@ -104,7 +141,7 @@ def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, *, p
     e = boxed.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*")).first()
     if not e[4]:
         return points.select(point, F.lit(None).cast("int").alias("element"))
-    n = bins or max(1, int(np.sqrt(e[4])))
+    n = bins or max(1, int(math.sqrt(e[4])))
     sx, sy = max((e[2] - e[0]) / n, 1e-300), max((e[3] - e[1]) / n, 1e-300)
     place = lambda c, start, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - start) / size))).cast("int")
     spread = lambda a, b, start, size: F.explode(F.sequence(place(a, start, size), place(b, start, size)))

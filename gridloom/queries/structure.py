@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
 from gridloom.geometry.grid import Axis, Grid2D
-from gridloom.operators import layered, mesh
+from gridloom.operators import aggregate, layered, mesh
 from gridloom.queries import datasets as ds
 from gridloom.queries.catalogue import _CORNERS, _NEXT, _PROBES, T, _documents, query
 from gridloom.queries.datasets import out, sql_out
@@ -212,3 +212,60 @@ def parameter_is_unique(spark, sf):
 def parameter_text_round_trip(spark, sf):
     again = params.parse_documents(params.to_text(_documents(spark, sf)))
     return again.where("key = 'x'").select("doc", F.array_join("path", "/").alias("path"), params.value("int").alias("x"))
+
+
+# boundaries of a mesh with lakes: quadrilaterals of the parts without a block of cells every six rows, whose middle cell is an island
+
+_LAKE = "(node % 20 BETWEEN 4 AND 9 AND node // 20 % 6 BETWEEN 2 AND 4 AND NOT (node % 20 = 6 AND node // 20 % 6 = 3))"
+_QUADS = f"(SELECT node AS element, [node, node + 1, node + 21, node + 20] AS nodes FROM (SELECT p_partkey::INT AS node FROM part WHERE p_partkey % 20 < 19 AND p_partkey + 21 IN (SELECT p_partkey FROM part)) WHERE NOT {_LAKE})"
+_RINGS = f"""WITH RECURSIVE d AS (SELECT unnest(nodes) AS a, unnest(list_concat(nodes[2:], nodes[1:1])) AS b FROM {_QUADS}),
+f AS (SELECT a, b FROM d ANTI JOIN (SELECT b AS a, a AS b FROM d) USING (a, b)),
+walk(origin, spot) AS (SELECT a, b FROM f UNION SELECT origin, f.b FROM walk JOIN f ON f.a = walk.spot),
+ring AS (SELECT origin AS node, min(spot) AS ring FROM walk GROUP BY origin),
+face AS (SELECT ring, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM f JOIN ring r ON r.node = f.a JOIN {ds.NODES} a ON a.node = f.a JOIN {ds.NODES} b ON b.node = f.b),
+poly AS (SELECT ring, count(*) AS n_nodes, sum(xa * yb - xb * ya) / 2 AS area FROM face GROUP BY ring)"""
+
+
+def _lakes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("node")
+    row = F.floor(n / 20) % 6
+    lake = (n % 20).between(4, 9) & row.between(2, 4) & ~((n % 20 == 6) & (row == 3))
+    parts = ds.table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("node"))
+    whole = parts.where(n % 20 < 19).join(parts.select((n - 21).alias("node")), "node", "left_semi").where(~lake)
+    return ds.mesh_nodes(spark, sf), whole.select(n.alias("element"), F.array(n, n + 1, n + 21, n + 20).alias("nodes"))
+
+
+@query(f"""{_RINGS} SELECT p.ring::INT AS ring, p.n_nodes, {sql_out('abs(p.area)')} AS area, p.area > 0 AS is_outer,
+  CASE WHEN p.area < 0 THEN (SELECT min(ring) FROM ring)::INT END AS parent FROM poly p""")
+def boundary_polygons(spark, sf):
+    """Lakes are holes of the one large outline, islands are outlines of their own."""
+    rings = mesh.boundary_rings(*_lakes(spark, sf))
+    first = lambda c: F.shiftright(c, 32).cast("int")
+    return mesh.boundary_polygons(rings).select(first("ring").alias("ring"), "n_nodes", out("area").alias("area"), "is_outer", first("parent").alias("parent"))
+
+
+@query(f"""{_RINGS} SELECT r.ring::INT AS ring, r.node::INT AS node, (SELECT f.b FROM f WHERE f.a = r.node)::INT AS following FROM ring r""")
+def boundary_rings(spark, sf):
+    """Each node of a ring with the one that follows it, by their places in the ring."""
+    rings = mesh.boundary_rings(*_lakes(spark, sf))
+    lists = rings.groupBy("ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("of"))
+    pairs = F.transform("of", lambda v, i: F.struct(v.alias("node"), F.get("of", (i + 1) % F.size("of")).alias("following")))
+    return lists.select(F.shiftright("ring", 32).cast("int").alias("ring"), F.explode(pairs).alias("p")).select("ring", "p.node", "p.following")
+
+
+# exact quantiles of groups that no task holds
+
+_PRICES = "quantile_cont(l_extendedprice, {})"
+
+
+@query(f"SELECT l_returnflag, {', '.join(sql_out(_PRICES.format(q), 4) + f' AS q{int(q * 100)}' for q in (0.0, 0.1, 0.5, 0.99, 1.0))} FROM lineitem GROUP BY l_returnflag")
+def quantile_of_large_groups(spark, sf):
+    found = aggregate.quantile(ds.table(spark, sf, "lineitem"), ["l_returnflag"], ["l_extendedprice"], [0.0, 0.1, 0.5, 0.99, 1.0], most_in_task=1000)
+    return found.select("l_returnflag", *(out(F.col(f"`Quantile {q}, l_extendedprice`"), 4).alias(f"q{int(q * 100)}") for q in (0.0, 0.1, 0.5, 0.99, 1.0)))
+
+
+@query(f"""SELECT 'l_quantity' AS item, count(*)::DOUBLE AS n, {sql_out('quantile_cont(l_quantity, 0.25)', 4)} AS p25, {sql_out('median(l_quantity)', 4)} AS p50, {sql_out('max(l_quantity)')} AS high FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(*), {sql_out('quantile_cont(l_extendedprice, 0.25)', 4)}, {sql_out('median(l_extendedprice)', 4)}, {sql_out('max(l_extendedprice)')} FROM lineitem""")
+def describe_large_table(spark, sf):
+    d = aggregate.describe(ds.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], [0.25, 0.5], most_in_task=1000)
+    return d.select("item", F.col("count").alias("n"), out(F.col("`25%`"), 4).alias("p25"), out(F.col("`50%`"), 4).alias("p50"), out("max").alias("high"))

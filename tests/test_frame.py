@@ -240,8 +240,9 @@ def test_mesh_lookup(spark):
     points = spark.createDataFrame([(0, 0.5, 0.1), (1, 0.1, 0.5), (2, -0.5, -0.1), (3, 0.5, 1.4)], "point int, x double, y double")
     assert sorted(map(tuple, mesh.find_elements(points, nodes, elements).collect())) == [(0, 0), (1, 1), (2, None), (3, 2)]
     assert {tuple(r) for r in mesh.boundary_faces(elements).select("a", "b").collect()} == {(0, 1), (1, 2), (2, 4), (3, 4), (0, 3)}
-    rings = mesh.boundary_polygons(nodes, elements)
-    assert len(rings) == 1 and rings[0][0] and sorted(rings[0][1]) == [0, 1, 2, 3, 4]
+    rings = mesh.boundary_rings(nodes, elements)
+    assert [r["node"] for r in sorted(rings.collect(), key=lambda r: r["place"])] == [0, 1, 2, 4, 3]
+    assert [(r["n_nodes"], r["area"], r["is_outer"], r["parent"]) for r in mesh.boundary_polygons(rings).collect()] == [(5, 1.25, True, None)]
     areas = {r["element"]: r["area"] for r in mesh.element_area(nodes, elements).collect()}
     assert areas == {0: 0.5, 1: 0.5, 2: 0.25}
     w = mesh.regrid_weights(points, nodes, elements, k=2)

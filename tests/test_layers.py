@@ -176,3 +176,35 @@ def test_appends_that_are_refused(spark):
     assert layout.read(spark, path, dims=("time", "x_idx")).df.count() == 24
     with pytest.raises(ValueError, match="tiled"):
         layout.read(spark, path, dims=("time", "x_idx"), area=(0, 0, 1, 1))
+
+
+def test_rings_that_touch_and_mixed_orientation(spark):
+    """Two squares that touch at a corner, one listed clockwise; a square hole in a third, larger one."""
+    from gridloom.operators import mesh
+
+    nodes = [(i * 10 + j, float(j), float(i), 0.0) for i in range(5) for j in range(9)]
+    cell = lambda i, j: [i * 10 + j, i * 10 + j + 1, i * 10 + j + 11, i * 10 + j + 10]
+    block = [cell(i, j) for i in range(1, 4) for j in range(5, 8) if (i, j) != (2, 6)]
+    elements = list(enumerate([cell(0, 0), cell(1, 1)[::-1], *block]))
+    rings = mesh.boundary_rings(spark.createDataFrame(nodes, "node int, x double, y double, z double"), spark.createDataFrame(elements, "element int, nodes array<int>"))
+    got = sorted((r["n_nodes"], r["area"], r["is_outer"], r["parent"] is not None) for r in mesh.boundary_polygons(rings).collect())
+    assert got == [(4, 1.0, False, True), (4, 1.0, True, False), (4, 1.0, True, False), (12, 9.0, True, False)]
+    none = mesh.boundary_rings(spark.createDataFrame([], "node int, x double, y double, z double"), spark.createDataFrame([], "element int, nodes array<int>"))
+    assert none.collect() == [] and mesh.boundary_polygons(none).collect() == []
+
+
+def test_quantiles_by_ranges_equal_those_in_a_task(spark):
+    from gridloom.operators import aggregate
+
+    nan = float("nan")
+    rows = [(k, float((i * 7919) % 1009), nan if k == 1 and i % 50 == 0 else float(i % 3)) for k, n in ((0, 3000), (1, 400), (2, 1)) for i in range(n)]
+    rows += [(None, 5.0, nan), (None, 7.0, None)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    for skip in (False, True):
+        for keys in (["k"], []):
+            pick = lambda most: sorted((str(tuple(r)) for r in aggregate.quantile(df, keys, ["a", "b"], [0.0, 0.3, 0.5, 1.0], skip_nan=skip, most_in_task=most).collect()))  # noqa: B023, E731
+            assert pick(100) == pick(None)
+    plain, ranged = (aggregate.describe(df, ["a", "b"], most_in_task=most).orderBy("item").collect() for most in (None, 10))
+    assert plain == ranged
+    wide = aggregate.ranked(df, ["k"], ["a"], [0.5], parts=16)
+    assert {r["k"]: r["_q0_0"] for r in wide.collect()}[0] == sorted(a for k, a, _ in rows if k == 0)[1499] / 2 + sorted(a for k, a, _ in rows if k == 0)[1500] / 2
