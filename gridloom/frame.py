@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import nan
 from gridloom.functions import time as times
-from gridloom.geometry import Geometry0D, Undefined
+from gridloom.geometry import Geometry0D, Grid1D, Grid2D, Point2D, Undefined
 from gridloom.items import Item, ItemsError, unique_names
 from gridloom.geometry.base import OutsideDomainError
 from gridloom.geometry.layered import LayeredMesh
+from gridloom.geometry.mesh import centroids
 from gridloom.geometry.spectrum import PointSpectrum
 from gridloom.operators import aggregate, combine, interpolate, mesh, select
 
@@ -454,14 +455,60 @@ class Frame:
     def interp_na(self, *, extrapolate: bool = False) -> Frame:
         return self._with(interpolate.interp_na(self.df, list(self.space_dims), self.names, extrapolate=extrapolate))
 
-    def interp(self, points: DataFrame) -> Frame:
-        """Bilinear values of a grid frame (columns x_idx and y_idx) at points (point, x, y)."""
-        df = interpolate.interp_grid(self.df, points, self.geometry, self.names)
-        return self._with(df, dims=("time", "point"), geometry=Undefined(("point",)))
-
-    def interp_like(self, weights: DataFrame) -> Frame:
-        """Values of a mesh frame by a weights table (point, element, weight), worked out once for all items."""
-        return self._with(interpolate.apply_weights(self.df, weights, self.names), dims=("time", "point"), geometry=Undefined(("point",)))
+    def interp(self, points: DataFrame | None = None, *, x: Number | None = None, y: Number | None = None, n_nearest: int = 5, **weights: object) -> Frame:
+        """Values at points (point and coordinates), or at one point: linear on a line, bilinear on a grid, by inverse distances on a mesh."""
+        one = points is None
+        if one:
+            at = {"x": x, "y": y} if isinstance(self.geometry, Grid2D) or hasattr(self.geometry, "as_tables") else {self.geometry.dims[0] if self.geometry.dims else "x": x}
+            if any(v is None for v in at.values()):
+                raise ValueError("give " + " and ".join(at))
+            points = self.df.sparkSession.range(1).select(F.col("id").alias("point"), *(F.lit(float(v)).alias(c) for c, v in at.items()))
+        df, keys = self._at_points(points, n_nearest, weights)
+        if one:
+            return self._with(df.drop("point"), dims=tuple(keys), geometry=Point2D(float(x), float(y)) if y is not None else Geometry0D())
+        return self._with(df, dims=(*keys, "point"), geometry=Undefined(("point",)))
+
+    def _at_points(self, points: DataFrame, n_nearest: int, weights: dict) -> tuple[DataFrame, list[str]]:
+        g, keys = self.geometry, [d for d in self.dims if d == "time"]
+        if isinstance(g, Grid2D):
+            return interpolate.interp_grid(self.df, points, g, self.names, keys=keys), keys
+        if isinstance(g, Grid1D):
+            return interpolate.interp_line(self.df, points, g, self.names, keys=keys), keys
+        if hasattr(g, "as_tables") and not isinstance(g, LayeredMesh):
+            table = g.as_tables(self.df.sparkSession)
+            table_of = mesh.regrid_weights(points, table.nodes, table.elements, k=n_nearest, **weights)
+            return interpolate.apply_weights(self.df, table_of, self.names, keys=keys), keys
+        raise ValueError("values are interpolated on lines, grids of x and y, and flat meshes")
+
+    def interp_like(self, other: Frame | DataFrame | object, *, n_nearest: int = 5, method: str = "linear", **weights: object) -> Frame:
+        """Onto the cells of another frame or geometry (a line, grid or mesh) and, of a frame, its times too; onto a table of times, or by a table of
+        weights (point, element, weight) that was worked out before.
+
+        Weights are made of the two geometries by a join in bins, used for all items and steps, and the brackets in time are found on their result in the same plan.
+        """
+        spark = self.df.sparkSession
+        if isinstance(other, DataFrame):
+            if "weight" in other.columns:
+                return self._with(interpolate.apply_weights(self.df, other, self.names), dims=("time", "point"), geometry=Undefined(("point",)))
+            return self.interp_time(other, method=method)
+        g = other.geometry if isinstance(other, Frame) else other
+        if isinstance(g, (Grid1D, Grid2D)):
+            points = g.cells(spark).withColumnRenamed("cell", "point")
+        elif hasattr(g, "as_tables") and not isinstance(g, LayeredMesh):
+            table = g.as_tables(spark)
+            points = centroids(table.nodes, table.elements).select(F.col("element").alias("point"), "x", "y")
+        else:
+            raise ValueError("the other geometry is a line, a grid of x and y, or a flat mesh")
+        df, keys = self._at_points(points, n_nearest, weights)
+        if isinstance(g, Grid2D):
+            dims, cells = ("y_idx", "x_idx"), {"y_idx": F.floor(F.col("point") / g.x.n).cast("int"), "x_idx": (F.col("point") % g.x.n).cast("int")}
+        elif isinstance(g, Grid1D):
+            dims = (f"{g.name}_idx",)
+            cells = {dims[0]: F.col("point").cast("int")}
+        else:
+            dims, cells = ("element",), {"element": F.col("point")}
+        done = self._with(df.withColumns(cells).select(*keys, *dims, *self.names), dims=(*keys, *dims), geometry=g)
+        return done.interp_time(other, method=method) if isinstance(other, Frame) and "time" in keys and "time" in other.dims else done
 
     def extract_track(self, track: DataFrame, elements: DataFrame, *, method: str = "nearest", step_seconds: float | None = None) -> DataFrame:
         step = step_seconds or self.timestep()

@@ -159,6 +159,16 @@ class Grid1D(_Grid):
     def axes(self) -> dict[str, Axis]:
         return {self.name: self.x}
 
+    def linear(self, x: Column) -> Column:
+        """array<struct<<name>_idx, weight>> of the two centres around a place; NaN weights outside the outermost centres."""
+        if self.x.n < 2:
+            raise ValueError("a line of one cell can't be interpolated")
+        f = (x - self.x.x0) / self.x.dx
+        at = F.greatest(F.lit(0), F.least(F.floor(f), F.lit(self.x.n - 2))).cast("int")
+        share = F.when((f >= 0) & (f <= self.x.n - 1), f - at).otherwise(F.lit(float("nan")))
+        end = lambda i, w: F.struct((at + i).alias(f"{self.name}_idx"), w.alias("weight"))
+        return F.array(end(0, 1 - share), end(1, share))
+
 
 @dataclass(frozen=True)
 class Grid2D(_Grid):
@@ -197,6 +207,18 @@ class Grid2D(_Grid):
     def box(self) -> BoundingBox:
         return BoundingBox(self.x.left, self.y.left, self.x.right, self.y.right)
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """node, x and y of the corners of all cells, row by row."""
+        w = self.x.n + 1
+        at = F.col("id")
+        return spark.range(w * (self.y.n + 1)).select(at.alias("node"), (F.lit(self.x.left) + at % w * self.x.dx).alias("x"), (F.lit(self.y.left) + F.floor(at / w) * self.y.dx).alias("y"))
+
+    @classmethod
+    def of_nodes(cls, x: Sequence[float], y: Sequence[float]) -> Grid2D:
+        """The grid whose cells lie between equidistant lines: centres are halfway between them."""
+        mid = lambda v: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
+        return cls(Axis.parse(mid(x), dx=float(x[1] - x[0])), Axis.parse(mid(y), dx=float(y[1] - y[0])))
+
     def at_origin(self) -> Grid2D:
         """The same cells with the start of the axes moved into the origin."""
         return replace(self, x=replace(self.x, x0=0.0), y=replace(self.y, x0=0.0), origin=(self.origin[0] + self.x.x0, self.origin[1] + self.y.x0))

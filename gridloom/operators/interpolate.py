@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import nan
 from gridloom.functions.distance import planar
 from gridloom.functions.time import micros
+from gridloom.sources.shared import stored
 
 #: Seconds that a chunk of time covers.
 CHUNK_SECONDS = 30 * 86_400
@@ -133,11 +134,16 @@ def _extend(df: DataFrame, keys: Sequence[str], items: Sequence[str], time: str)
 # neighbours in space
 
 
+#: How much wider bins get for points whose neighbours may lie beyond theirs.
+COARSER = 4
+
+
 def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "point", element: str = "element", x: str = "x", y: str = "y", box: Sequence[float] | None = None, n_elements: int | None = None) -> DataFrame:
     """The ``k`` nearest elements of every point: point, element, distance and rank (from 1); ties go to the smaller element.
 
-    Elements lie in bins of about ``2 k``. A point looks through the ring of bins around it; if its k-th neighbour may
-    lie beyond, it looks again through a ring 16 times as wide. Extent and number are worked out unless given.
+    Elements lie in bins of about ``2 k``. A point, moved into the elements' box if it lies outside, looks through its bin and the eight around it. Where its k-th
+    neighbour may lie beyond them (by the distance to their sides, and to the box) it looks again through bins 4 times as wide; only these points are written down
+    and go on. Extent and number are worked out unless given.
     """
     if k < 1:
         raise ValueError("at least one neighbour")
@@ -148,28 +154,37 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
             return points.select(point).limit(0).crossJoin(elements.select(element).limit(0)).select(point, element, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     left, bottom, right, top = map(float, box)
     n = max(1, int(math.sqrt(n_elements / (2 * k))))
-    sx, sy = max((right - left) / n, 1e-300), max((top - bottom) / n, 1e-300)
-    place = lambda c, low, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / size))).cast("int")
-    held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), place(x, left, sx).alias("_i"), place(y, bottom, sy).alias("_j"))
-    todo = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"), place(x, left, sx).alias("_pi"), place(y, bottom, sy).alias("_pj"))
-    rings, r = [], 1
-    while r < n:
-        rings.append(r)
-        r *= 16
+    todo = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
     out = []
-    for r in [*rings, n]:
-        whole = r >= n
-        around = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - r), F.least(F.lit(n - 1), F.col(c) + r)))  # noqa: E731, B023
-        asked = todo.withColumn("_i", around("_pi")).withColumn("_j", around("_pj"))
+    while True:
+        sx, sy = max((right - left) / n, 1e-300), max((top - bottom) / n, 1e-300)
+        place = lambda c, low, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / size))).cast("int")  # noqa: B023, E731
+        held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), place(x, left, sx).alias("_i"), place(y, bottom, sy).alias("_j"))
+        placed = todo.withColumns({"_pi": place("_x", left, sx), "_pj": place("_y", bottom, sy)})
+        around = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - 1), F.least(F.lit(n - 1), F.col(c) + 1)))  # noqa: B023, E731
+        asked = placed.withColumn("_i", around("_pi")).withColumn("_j", around("_pj"))
         d = planar(F.col("_x"), F.col("_y"), F.col("_ex"), F.col("_ey"))
-        ranked = asked.join(held, ["_i", "_j"]).select("_p", "_e", d.alias("distance"))
-        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
-        if whole:
-            out.append(ranked)
+        met = asked.join(held, ["_i", "_j"]).select("_p", "_x", "_y", "_pi", "_pj", "_e", d.alias("distance"))
+        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
+        sides = []
+        for c, at, low, high, size, other, o_low, o_high in (("_x", "_pi", left, right, sx, "_y", bottom, top), ("_y", "_pj", bottom, top, sy, "_x", left, right)):
+            beside = F.greatest(F.lit(0.0), F.lit(o_low) - F.col(other), F.col(other) - F.lit(o_high))
+            below = F.when(F.col(at) > 1, F.col(c) - (low + (F.col(at) - 1) * size))
+            above = F.when(F.col(at) < n - 2, (low + (F.col(at) + 2) * size) - F.col(c))
+            sides += [F.sqrt(beside * beside + s * s) for s in (below, above)]
+        # Elements beyond a side that has bins beyond it are at least so far; null if there is no such side.
+        bound = F.least(*sides)
+        if n == 1:
+            out.append(ranked.select("_p", "_e", "distance", "rank"))
+            break
+        whole = F.count("*").over(W.partitionBy("_p")) == min(k, n_elements)
+        sure = whole & F.coalesce(F.max("distance").over(W.partitionBy("_p")) <= bound, F.lit(True))
+        level = stored(ranked.withColumn("_sure", sure).select("_p", "_e", "distance", "rank", "_sure"), "nearest")
+        out.append(level.where("_sure").drop("_sure"))
+        todo = stored(todo.join(level.where("_sure and rank = 1").select("_p"), "_p", "left_anti"), "points-left")
+        if todo.isEmpty():
             break
-        sure = ranked.groupBy("_p").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == min(k, n_elements)) & (F.col("far") <= r * min(sx, sy))).select("_p")
-        out.append(ranked.join(sure, "_p", "left_semi"))
-        todo = todo.join(sure, "_p", "left_anti")
+        n = max(1, n // COARSER)
     every = reduce(lambda a, b: a.unionByName(b), out)
     return every.select(F.col("_p").alias(point), F.col("_e").alias(element), "distance", "rank")
 
@@ -202,6 +217,13 @@ def interp_grid(df: DataFrame, points: DataFrame, grid, items: Sequence[str], *,
     return joined.groupBy(*keys, point).agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
 
 
+def interp_line(df: DataFrame, points: DataFrame, grid, items: Sequence[str], *, keys: Sequence[str] = ("time",), point: str = "point") -> DataFrame:
+    """Values at points between the two nearest centres of a line; NaN outside the outermost ones. ``points`` has point and the line's coordinate."""
+    ends = points.select(point, F.explode(grid.linear(F.col(grid.name))).alias("c")).select(point, "c.*")
+    joined = df.join(ends, f"{grid.name}_idx")
+    return joined.groupBy(*keys, point).agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
+
+
 def extract_track(df: DataFrame, track: DataFrame, elements: DataFrame, items: Sequence[str], *, method: str = "nearest", step_seconds: float, time: str = "time", p: float = 2, wrap: bool = False) -> DataFrame:
     """Values along a moving point: ``track`` has time, x and y; ``df`` time, element and items; times ``step_seconds`` apart or less.
 
@@ -215,11 +237,15 @@ def extract_track(df: DataFrame, track: DataFrame, elements: DataFrame, items: S
     rows = track.withColumn("_us", micros(time)).withColumn("_id", F.struct("_us", "x", "y"))
     if wrap:
         rows = rows.withColumn("x", wrap_longitude(F.col("x")))
-    asked = rows.select(F.col("_id").alias("point"), "x", "y", "_us").distinct()
-    weights = idw_weights(nearest(asked, elements, 1 if method == "nearest" else 5), p=p).select("point", "element", "weight")
+    asked = rows.select(F.col("_id").alias("point"), F.struct("x", "y").alias("_at"), "x", "y", "_us").distinct()
+    # Neighbours are looked for once a place, however often the track is there.
+    places = asked.select(F.col("_at").alias("point"), "x", "y").distinct()
+    weights = idw_weights(nearest(places, elements, 1 if method == "nearest" else 5), p=p).select(F.col("point").alias("_at"), "element", "weight")
     step = round(step_seconds * 1e6)
-    values = df.select(micros(time).alias("_t"), "element", *items).withColumn("_b", F.floor(F.col("_t") / step))
-    near = asked.select("point", "_us").join(weights, "point").withColumn("_b", F.explode(F.array(*(F.floor(F.col("_us") / step) + d for d in (-1, 0, 1)))))
+    values = df.select(micros(time).alias("_t"), "element", *items).withColumn("_b", F.floor(F.col("_t") / (2 * step)))
+    # Steps within one of a time lie in one or two stretches of two steps.
+    stretches = F.array_distinct(F.array(*(F.floor((F.col("_us") + d * step) / (2 * step)) for d in (-1, 1))))
+    near = asked.select("point", "_at", "_us").join(weights, "_at").withColumn("_b", F.explode(stretches))
     hits = near.join(values, ["element", "_b"]).where(F.abs(F.col("_t") - F.col("_us")) <= step)
     frames = hits.groupBy("point", "_us", "_t").agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
     value = F.struct(F.col("_t").alias("us"), *items)
