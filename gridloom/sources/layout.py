@@ -126,6 +126,16 @@ def write(frame: Frame, path: str, *, period: str = "month", mode: str = "errori
     spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/_about")
 
 
+def change_datatype(spark: SparkSession, path: str, datatype: int) -> None:
+    """Give a dataset another tag, by which a model tells kinds of data apart. No row is written again."""
+    about = (_about(spark, path) or {}) | {"datatype": int(datatype)}
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_about")
+
+
+def datatype(spark: SparkSession, path: str) -> int | None:
+    return (_about(spark, path) or {}).get("datatype")
+
+
 def _step(df: DataFrame) -> float | None:
     """Seconds between steps that are equally spaced, else None."""
     found = times.is_equidistant(df).first()

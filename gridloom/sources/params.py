@@ -183,6 +183,108 @@ def numbered_sections(table: DataFrame, prefix: str, keys: list[str]) -> DataFra
     return rows.groupBy("doc", parent.alias("parent"), "number").agg(*map(first, keys))
 
 
+_KINDS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "bool"}
+
+
+def _typed_value(df: DataFrame, column: str) -> Column:
+    """array<struct<kind, text>> of a column's value, or of all values of an array column."""
+    kind = dict(df.dtypes)[column]
+    of = lambda k: _KINDS.get(k, "string")
+    one = lambda v, k: F.struct(F.lit(of(k)).alias("kind"), v.cast("string").alias("text"))
+    if kind.startswith("array<"):
+        return F.transform(column, lambda v: one(v, kind[6:-1]))
+    return F.array(one(F.col(column), kind))
+
+
+def from_rows(rows: DataFrame, prefix: str, keys: list[str], *, doc: str = "doc", parent: str = "parent", number: str = "number", separator: str = "_") -> DataFrame:
+    """The inverse of :func:`numbered_sections`: each row becomes a section PREFIX_number below ``parent`` ("a/b"), each of ``keys`` a key with its typed value.
+
+    A null value leaves its key out; arrays become lists of values. Lines are counted from 1 within a document, by parent and number.
+    """
+    from pyspark.sql import Window as W
+
+    path = F.concat(F.split(parent, "/"), F.array(F.concat(F.lit(f"{prefix}{separator}"), F.col(number).cast("string"))))
+    entries = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("key"), F.when(F.col(k).isNotNull(), _typed_value(rows, k)).alias("values")) for i, k in enumerate(keys)))
+    kept = F.filter(entries, lambda e: e["values"].isNotNull())
+    nothing = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("key"), F.array().cast("array<struct<kind: string, text: string>>").alias("values")))
+    each = rows.select(F.col(doc).cast("string").alias("doc"), F.col(parent).alias("_p"), F.col(number).alias("_n"), path.alias("path"), F.explode(F.when(F.size(kept) > 0, kept).otherwise(nothing)).alias("e"))
+    line = F.row_number().over(W.partitionBy("doc").orderBy("_p", "_n", "e.at"))  # within one document
+    return each.select("doc", "path", F.transform("path", lambda _: F.lit(1)).alias("nth"), line.alias("line"), "e.key", "e.values")
+
+
+def joined(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Both tables as one: new keys and sections follow at the end of the section that they belong to, and lines are counted anew.
+
+    A row of ``other`` takes the place behind the last line of the longest part of its path that ``base`` has.
+    """
+    from pyspark.sql import Window as W
+
+    own = F.struct("path", "nth")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.struct(F.slice("path", F.lit(1), n).alias("path"), F.slice("nth", F.lit(1), n).alias("nth")))
+    ends = base.select("doc", "line", F.explode(prefixes).alias("of")).groupBy("doc", "of").agg(F.max("line").alias("end"))
+    found = other.select("doc", own.alias("own"), "path", "nth").distinct().select("doc", "own", F.explode(prefixes).alias("of")).join(ends, ["doc", "of"])
+    after = found.groupBy("doc", "own").agg(F.max_by("end", F.size("of.path")).alias("_after"))
+    placed = other.withColumn("own", own).join(after, ["doc", "own"], "left").select(*base.columns, F.coalesce("_after", F.lit(2_147_483_647)).alias("_a"), F.col("line").alias("_b"))
+    both = base.select(*base.columns, F.col("line").alias("_a"), F.lit(0).alias("_b")).unionByName(placed)
+    return both.withColumn("line", F.row_number().over(W.partitionBy("doc").orderBy("_a", "_b"))).select(*base.columns)
+
+
+def cleared(table: DataFrame, path: str) -> DataFrame:
+    """The table with the section at a path left empty."""
+    names = path.split("/")
+    inside = F.slice("path", 1, len(names)) == F.array(*map(F.lit, names))
+    first = table.where(inside).groupBy("doc").agg(F.min_by(F.struct(F.slice("nth", 1, len(names)).alias("nth"), "line"), "line").alias("f"))
+    none = F.array().cast("array<struct<kind: string, text: string>>")
+    empty = first.select("doc", F.array(*map(F.lit, names)).alias("path"), F.col("f.nth").alias("nth"), F.col("f.line").alias("line"), F.lit(None).cast("string").alias("key"), none.alias("values"))
+    return table.where(~inside).unionByName(empty)
+
+
+def get(table: DataFrame, path: str, default: str | None = None) -> DataFrame:
+    """doc and the first value at the path of a key, as text; ``default`` where a document has none."""
+    first = at_path(table, path).groupBy("doc").agg(F.min_by(value(), "line").alias("_found"), F.count("*").alias("_n"))
+    return table.select("doc").distinct().join(first, "doc", "left").select("doc", F.when(F.col("_n") > 0, F.col("_found")).otherwise(F.lit(default)).alias("value"))
+
+
+def children(table: DataFrame, path: str = "") -> DataFrame:
+    """doc, name, is_section, n (how often) and line (of the first) of all keys and sections directly below a path, or of all roots."""
+    names = path.split("/") if path else []
+    below = table.where(F.slice("path", 1, len(names)) == F.array(*map(F.lit, names))) if names else table
+    deep = F.size("path") > len(names)
+    entry = F.when(deep, F.struct(F.get("path", F.lit(len(names))).alias("name"), F.lit(True).alias("is_section"))).otherwise(F.struct(F.col("key").alias("name"), F.lit(False).alias("is_section")))
+    which = F.when(deep, F.slice("nth", 1, len(names) + 1).cast("string")).otherwise(F.col("line").cast("string"))
+    rows = below.select("doc", entry.alias("e"), which.alias("which"), "line").where("e.name is not null")
+    return rows.groupBy("doc", "e.name", "e.is_section").agg(F.count_distinct("which").alias("n"), F.min("line").alias("line"))
+
+
+#: Short names of modules and the sections that they stand for.
+ALIASES = {
+    "HD": "HYDRODYNAMIC_MODULE",
+    "SW": "SPECTRAL_WAVE_MODULE",
+    "TR": "TRANSPORT_MODULE",
+    "MT": "MUD_TRANSPORT_MODULE",
+    "EL": "ECOLAB_MODULE",
+    "ST": "SAND_TRANSPORT_MODULE",
+    "PT": "PARTICLE_TRACKING_MODULE",
+    "DA": "DATA_ASSIMILATION_MODULE",
+}
+
+
+def aliased(table: DataFrame) -> DataFrame:
+    """The keys of the modules that are switched on, at paths that begin with the module's short name instead of the document's first section and the module.
+
+    A module is on where MODULE_SELECTION of the same root has mode_of_<module> above 0.
+    """
+    short = F.create_map(*(F.lit(x) for alias, module in ALIASES.items() for x in (module, alias)))
+    root = F.get("path", F.lit(0))
+    first = table.groupBy("doc").agg(F.min_by(root, "line").alias("root"))
+    modes = table.join(first, "doc").where((F.col("path") == F.array("root", F.lit("MODULE_SELECTION"))) & F.startswith("key", F.lit("mode_of_")) & (value("int") > 0))
+    on = modes.select("doc", "root", F.upper(F.substring("key", 9, 1000)).alias("module")).distinct()
+    at = F.get("path", F.lit(1))
+    rows = table.join(on, (table["doc"] == on["doc"]) & (root == on["root"]) & (at == on["module"])).drop(on["doc"])
+    rest = lambda c, head: F.concat(F.array(head), F.slice(c, F.lit(3), F.size(c)))
+    return rows.where(short[F.col("module")].isNotNull()).select("doc", rest("path", short[F.col("module")]).alias("path"), rest("nth", F.get("nth", F.lit(1))).alias("nth"), "line", "key", "values")
+
+
 def first_of_repeated(table: DataFrame) -> DataFrame:
     """Each key of a section once: the first one."""
     row = table.groupBy("doc", "path", "nth", "key").agg(F.min(F.struct("line", "values")).alias("_row"))
