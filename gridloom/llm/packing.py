@@ -5,7 +5,8 @@ On it the plan is made. Lengths above ``small`` are sorted and cut into groups o
 length is rounded up to the largest of its group, and column generation finds which configurations of the few sizes that are left meet
 all demand with the fewest sequences. Then actual documents take the places of the rounded ones; the last place of a sequence goes to the
 longest that fits, which takes up what rounding left free. As that changes what is left, the fuller half of the configurations is filled at a time and
-the rest is grouped anew. What still is free is given to the small lengths by best fit. The plan
+the rest is grouped anew. What still is free is given to the small lengths by best fit. Plans with several bounds of what is small are made
+and the one with the fewest sequences is taken. A plan
 consists of runs of equal sequences, so it is as small as the histogram. Spark ranks the pieces of
 each length and every piece looks its place up.
 
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks, slices, text_batches
+from gridloom.llm.common import blocks, fresh, slices, text_batches
 from gridloom.llm.tokenization import byte_level_encoder
 
 CAPACITY = 1024
-#: Groups that lengths are rounded in; lengths up to a sixteenth of the capacity are small.
+#: Groups that lengths are rounded in.
 GROUPS = 48
+#: Plans that are made: lengths up to this part of the capacity are small, and large ones are grouped at most so often (None: until none is left). With half
+#: the capacity every large length has a sequence of its own, which is what rounding up can lose against where lengths are spread evenly.
+TRIALS = ((2, None), (16, None), (16, 1), (4, None))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,12 +155,23 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, roun
     return out
 
 
-def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> np.ndarray:
-    """Places for ranks: rows (length, first rank, number of ranks, first sequence, offset), one for each run.
+def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
+    """The plan of the fewest sequences among those of :data:`TRIALS`; one that no plan can beat ends the search."""
+    best, fewest = np.zeros((0, 5), dtype=np.int64), None
+    for share, rounds in TRIALS:
+        places, sequences = grouped_plan(histogram, capacity=capacity, groups=groups, small=capacity // share, rounds=rounds)
+        if fewest is None or sequences < fewest:
+            best, fewest = places, sequences
+        if fewest <= -(-sum(x * n for x, n in histogram.items()) // capacity):
+            break
+    return best
 
-    The rank r of a run belongs in sequence ``first sequence + r - first rank``.
+
+def grouped_plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = GROUPS, small: int = CAPACITY // 16, rounds: int | None = None) -> tuple[np.ndarray, int]:
+    """Places for ranks: rows (length, first rank, number of ranks, first sequence, offset), one for each run; and how many sequences there are.
+
+    The rank r of a run belongs in sequence ``first sequence + r - first rank``. After ``rounds`` groupings the large lengths that are left go to the best fit as well.
     """
-    small = capacity // 16 if small is None else small
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n if length > small else 0
@@ -186,7 +201,9 @@ def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = G
                 first, n = first + k, n - k
         return given, full
 
-    while left.any():
+    turns = 0
+    while left.any() and (rounds is None or turns < rounds):
+        turns += 1
         grouped = equal_groups([(int(x), int(left[x])) for x in np.flatnonzero(left)[::-1]], groups)
         sizes = np.array([g[0][0] for g in grouped], dtype=np.int64)
         demand = np.array([sum(n for _, n in g) for g in grouped], dtype=np.int64)
@@ -208,8 +225,8 @@ def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = G
             made += times
             if not left.any() or planned > 16 and made >= planned // 2:
                 break
-    for length in sorted((x for x in histogram if x <= small), reverse=True):
-        n = histogram[length]
+    for length in sorted(histogram, reverse=True):
+        n = histogram[length] if length <= small else int(left[length])
         while n:
             fits = [f for f in free if f >= length and free[f]]
             if fits:
@@ -224,7 +241,7 @@ def plan(histogram: dict[int, int], *, capacity: int = CAPACITY, groups: int = G
             place(length, k, first, capacity - room)
             free.setdefault(room - length, []).append([first, k])
             n -= k
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+    return np.array(rows, dtype=np.int64).reshape(-1, 5), sequences
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -239,20 +256,21 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = GROUPS, o
     places = plan(histogram, capacity=capacity, groups=groups)
     places = places[np.lexsort((places[:, 1], places[:, 0]))]
     buckets = blocks(sum(histogram.values()), 200_000, 64)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_bucket", (F.sum("_n").over(W.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inner = W.partitionBy("length", "_bucket").orderBy(*order)
-    ranked = dealt.withColumn("_row", F.row_number().over(inner)).join(before, ["length", "_bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
+    bucket, n, ahead, row, rank = (fresh(c, pieces.columns) for c in ("bucket", "n", "before", "row", "rank"))
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy("length", bucket).agg(F.count("*").alias(n))
+    before = counts.select("length", bucket, (F.sum(n).over(W.partitionBy("length").orderBy(bucket)) - F.col(n)).alias(ahead))
+    inner = W.partitionBy("length", bucket).orderBy(*order)
+    ranked = dealt.withColumn(row, F.row_number().over(inner)).join(before, ["length", bucket])
+    ranked = ranked.select(*pieces.columns, (F.col(ahead) + F.col(row) - 1).alias(rank))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = int(places[:, 1].max(initial=0)) + 1
         keys = places[:, 0] * width + places[:, 1]
         for pdf in batches:
-            rank = pdf["_rank"].to_numpy()
-            at = np.searchsorted(keys, pdf["length"].to_numpy() * width + np.minimum(rank, width - 1), side="right") - 1
-            yield pdf.drop(columns="_rank").assign(sequence_id=places[at, 3] + rank - places[at, 1], offset=places[at, 4])
+            ranks = pdf[rank].to_numpy()
+            at = np.searchsorted(keys, pdf["length"].to_numpy() * width + np.minimum(ranks, width - 1), side="right") - 1
+            yield pdf.drop(columns=rank).assign(sequence_id=places[at, 3] + ranks - places[at, 1], offset=places[at, 4])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
     return ranked.mapInPandas(look_up, schema)

@@ -19,6 +19,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed by a cryptographic hash: patterns that collide in both sums below take longer words.
+LONG_WORD, _KEY = 32, b"words of texts"
 #: A second modulus, a prime, and a base of it: what collides modulo 2**64 (texts with a recursive pattern do for any base) doesn't there.
 _PRIME, _BASE_2 = (1 << 31) - 1, 1_234_567_891
 
@@ -68,7 +70,10 @@ def _hash_part(data: bytes) -> np.ndarray:
     # Bytes times residues of 31 bits: the sum of all of a part stays below 2**60.
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up_2[: len(a)], out=total[1:])
     second = (total[end] - total[begin]) % np.uint64(_PRIME) * down_2[begin] % np.uint64(_PRIME)
-    return mix(mix(first + (end - begin).astype(np.uint64)) + second * np.uint64(_BASE))
+    out = mix(mix(first + (end - begin).astype(np.uint64)) + second * np.uint64(_BASE))
+    for i in np.flatnonzero(end - begin > LONG_WORD):
+        out[i] = _hash_long_word(data[begin[i] : end[i]])[0]
+    return out
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -82,8 +87,8 @@ def _parts(text: bytes) -> Iterator[bytes]:
 
 
 def _hash_long_word(word: bytes) -> np.ndarray:
-    """A word that is longer than the tables."""
-    return np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype="<u8").copy()
+    """A word of more than ``LONG_WORD`` bytes."""
+    return np.frombuffer(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), dtype="<u8").copy()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -94,7 +99,7 @@ def word_hashes(text: bytes) -> np.ndarray:
             out.append(_hash_part(part))
             continue
         for word in part.split():
-            out.append(_hash_part(word) if len(word) <= PART_BYTES else _hash_long_word(word))
+            out.append(_hash_part(word) if len(word) <= LONG_WORD else _hash_long_word(word))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 

@@ -126,3 +126,23 @@ def test_one_of_a_group_stays_without_ids_and_with_repeated_ids(spark):
     got = [(r.doc_id, r.text, r._row_key, r.row_key) for r in left.collect()]
     assert len(got) == 5 and all(r[2:] == ("a", "b") for r in got)
     assert sum(r[0] == 7 for r in got) == 1 and sum(r[0] is None and bool(r[1]) for r in got) == 1
+
+
+def test_words_of_a_recursive_pattern_stay_apart(spark):
+    """Words of 22 blocks, each a Thue-Morse word of 1024 letters or its complement: sums over their bytes collide for any base."""
+    from itertools import product
+
+    from gridloom.llm.shingles import LONG_WORD, word_hashes
+
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    blocks = (t, t.translate(str.maketrans("ab", "ba")))
+    some = ["".join(blocks[b] for b in (*bits, *([0] * 11))) for bits in product((0, 1), repeat=11)]
+    assert len(set(word_hashes(" ".join(some).encode()).tolist())) == len(some)
+    assert len({int(word_hashes(w.encode())[0]) for w in some}) == len(some)
+    # The bound of long words doesn't show: words on both sides of it and in any company have one hash.
+    for n in (LONG_WORD - 1, LONG_WORD, LONG_WORD + 1, 5000):
+        assert word_hashes(("x " + "q" * n).encode())[1] == word_hashes(("q" * n).encode())[0]
+    docs = spark.createDataFrame(list(enumerate(some[:40])), "doc_id long, text string")
+    assert all(r["kept"] for r in near_dedup.near_duplicates(docs, percent=85).collect())
