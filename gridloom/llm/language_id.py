@@ -67,7 +67,8 @@ def gram_counts(codes: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
     for n in range(2, max_n + 1):
         if len(value) < 2:
             break
-        inner = inner[:-1] | blank[n - 2 : len(codes) - 1] if n > 2 else inner[:-1]
+        # Blanks of two texts that were counted at once meet, which is no n-gram.
+        inner = inner[:-1] | blank[n - 2 : len(codes) - 1] if n > 2 else blank[:-1] & blank[1:]
         value = value[:-1] * _STEP + digits[n - 1 :]
         found.append(value[~inner])
     every = np.sort(np.concatenate(found))

@@ -37,16 +37,23 @@ DRAWS = 256
 #: Two classes are candidates only if at most so many of 64 bits of their signatures differ. At 0.8 a tenth do, more than 18 with a
 #: probability of 1e-5; of unrelated classes nearly half.
 MOST_BITS_APART = 18
+#: Characters that count as blank at the ends of a line: those that Unicode calls white space.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Hubs that a bucket has in each round.
 HUBS = (2, 8)
 #: Longs of the parity of a set.
 PARITY_LONGS = 16
 
 
+def _trimmed(line: Column) -> Column:
+    """A line without blanks at its ends: white space of any kind, of ASCII and beyond."""
+    return F.trim(line, F.lit(_BLANKS))
+
+
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Columns id, row_key, place (from 0), line (trimmed, in lower case) and class of every line that isn't blank."""
     rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim("line"))).where("line != ''")
+    rows = rows.withColumn("line", F.lower(_trimmed(F.col("line")))).where("line != ''")
     return rows.withColumn("class", F.xxhash64("line"))
 
 
@@ -229,5 +236,5 @@ def without_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str =
     """``docs`` with the lines that stay. A document that had lines and keeps none goes."""
     kept, gone = fresh("kept", docs.columns), fresh("gone", docs.columns)
     joined = with_kept_lines(docs, key=key, text=text, kept=kept, gone=gone, **options)
-    joined = joined.where(F.col(kept).isNull() | F.exists(kept, lambda x: F.trim(x) != ""))
+    joined = joined.where(F.col(kept).isNull() | F.exists(kept, lambda x: _trimmed(x) != ""))
     return joined.withColumn(text, F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(docs.columns)

@@ -105,12 +105,10 @@ def compare_block(index: Index, which: int, queries: pd.DataFrame, candidates: p
     x_ids, y_ids = queries["cid"].to_numpy(), candidates["cid"].to_numpy()
     nodes, number = np.unique(np.concatenate([x_ids, y_ids]), return_inverse=True)
     x_node, y_node = number[: len(x)], number[len(x) :]
-    if maybe.mean() > 0.02:
-        rows, cols = np.nonzero(maybe & (x @ y.T >= cosine))
-    else:
-        rows, cols = np.nonzero(maybe)
-        same = np.concatenate([np.zeros(0, dtype=bool), *(np.einsum("ij,ij->i", x[rows[i : i + 50_000]], y[cols[i : i + 50_000]]) >= cosine for i in range(0, len(rows), 50_000))])
-        rows, cols = rows[same], cols[same]
+    rows, cols = np.nonzero(maybe)
+    # Sums in one order whatever the block, so that a pair at the bound is judged alike wherever it is compared.
+    same = np.concatenate([np.zeros(0, dtype=bool), *(np.einsum("ij,ij->i", x[rows[i : i + 50_000]], y[cols[i : i + 50_000]]) >= cosine for i in range(0, len(rows), 50_000))])
+    rows, cols = rows[same], cols[same]
     other = x_node[rows] != y_node[cols]
     rows, cols = rows[other], cols[other]
     # The other side finds the pair by itself if it probes the query's list.

@@ -32,11 +32,60 @@ def brute_counts(text, max_n):
     return out
 
 
+def value(gram):
+    """The number that stands for an n-gram and breaks ties between equal counts."""
+    out = 0
+    for c in gram:
+        out = (out * 0xD6E8FEB86659FD93 + (1 if c == " " else ord(c) + 1)) % (1 << 64)
+    return out
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def plain_predictions(rows, max_n=3, most=400):
+    """Predictions of all texts by dictionaries: profiles of labelled texts outside the fold, then the sum of places out of place."""
+    profiles = {}
+    for lang in sorted({lang for _, _, lang in rows if lang is not None}):
+        total = {}
+        for doc_id, text, of in rows:
+            if of == lang and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+                for g, n in brute_counts(text or "", max_n).items():
+                    total[g] = total.get(g, 0) + n
+        order = sorted(total, key=lambda g: (-total[g], signed(value(g))))[:most]
+        profiles[lang] = {g: i for i, g in enumerate(order)}
+    out = {}
+    for doc_id, text, _ in rows:
+        counts = brute_counts(text or "", max_n)
+        top = sorted(counts, key=lambda g: (-counts[g], value(g)))[:most]
+        if not top:
+            out[doc_id] = ("und", 0.0)
+            continue
+        distance = {lang: sum(min(most, abs(p[g] - i)) if g in p else most for i, g in enumerate(top)) for lang, p in profiles.items() if p}
+        best = min(distance, key=lambda lang: (distance[lang], lang))
+        out[doc_id] = (best, 1 - distance[best] / (most * len(top)))
+    return out
+
+
+def test_whole_table_equals_out_of_place_by_dictionaries(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = plain_predictions(rows)
+    got = {r.doc_id: r for r in queries.op5_rank_order_language(spark, folder).collect()}
+    assert set(got) == set(want)
+    for k, (lang, score) in want.items():
+        assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-12
+
+
 def test_counts_equal_brute_force():
     for text in ["Anble anes.", "É, x!! zz-top", "a", "  a b  ", "one two two three three three"]:
         for max_n in (1, 2, 3, 4):
             _, counts = language_id.gram_counts(language_id.letter_codes(text), max_n)
             assert sorted(counts) == sorted(brute_counts(text, max_n).values())
+            # Texts that are counted together count as they do apart.
+            _, both = language_id.gram_counts(np.concatenate([language_id.letter_codes(text)] * 2), max_n)
+            assert both.tolist() == (2 * counts).tolist()
 
 
 def test_distance_is_out_of_place_and_ties_go_to_the_smaller_name():

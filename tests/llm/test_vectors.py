@@ -113,6 +113,24 @@ def test_recall_near_the_threshold(spark):
     print("recall", recall)
 
 
+def test_recall_with_as_many_lists_as_there_may_be(spark, monkeypatch):
+    """2048 lists, of which 8 are probed: pairs of random vectors at a cosine of 0.953."""
+    monkeypatch.setattr(pq, "ROWS_A_LIST", 4)
+    rng = np.random.default_rng(6)
+    n = 4200
+    base = rng.normal(size=(n, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=base.shape)
+    noise -= np.sum(noise * base, axis=1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    near = 0.953 * base + np.sqrt(1 - 0.953**2) * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    found = {r.vec_id: r.component_id for r in pq.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.95).collect()}
+    recall = np.mean([found[i + n] == found[i] for i in range(n)])
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def test_spanning_forest():
     a, b = np.array([5, 3, 1, 8]), np.array([3, 2, 7, 9])
     assert components.spanning_forest(a, b, 10).tolist() == [0, 1, 2, 2, 4, 2, 6, 1, 8, 8]
