@@ -79,10 +79,25 @@ class Frame:
 
     # items
 
-    def __getitem__(self, wanted: str | int | Sequence[str | int]) -> Frame:
+    def __getitem__(self, wanted: str | int | slice | Column | tuple | Sequence[str | int]) -> Frame:
+        """Items by name, number or wildcard; places by a slice, or a tuple of slices and numbers in the order of the dimensions; a mask as a column makes
+        values NaN where it doesn't hold."""
+        if isinstance(wanted, Column):
+            return self.where(~wanted)
+        if isinstance(wanted, slice) or (isinstance(wanted, tuple) and all(isinstance(w, (int, slice)) for w in wanted)):
+            return self._at_places(wanted if isinstance(wanted, tuple) else (wanted,))
         names = select.match_items(self.names, wanted)
         return self._with(self.df.select(*self.dims, *names), items=tuple(next(i for i in self.items if i.name == n) for n in names))
 
+    def _at_places(self, places: tuple[int | slice, ...]) -> Frame:
+        if len(places) > len(self.dims):
+            raise IndexError(f"{len(places)} places for {len(self.dims)} dimensions")
+        at = {d: p for d, p in zip(self.dims, places, strict=False) if p != slice(None)}
+        found = self.isel(**at) if at else self
+        if isinstance(at.get("time"), int):
+            found = found._with(found.df.drop("time"), dims=tuple(d for d in found.dims if d != "time"))
+        return found
+
     def __contains__(self, name: str) -> bool:
         return name in self.names
 
@@ -281,17 +296,22 @@ class Frame:
                 raise ValueError(f"no dimension {d!r}")
         return [d for d in self.dims if d not in gone], gone
 
-    def aggregate(self, how: str | Callable[[Column], Column], axis: str | Sequence[str] | None = "time") -> Frame:
-        """A reduction along "time", "space", dimensions, everything (None), or over "items"."""
+    def aggregate(self, how: str | Callable[[Column], Column], axis: str | Sequence[str] | None = "time", *, keep_first_time: bool = False) -> Frame:
+        """A reduction along "time", "space", dimensions, everything (None), or over "items".
+
+        Over items a function takes the list of their columns. With ``keep_first_time`` a reduction over time keeps its first stamp.
+        """
+        if axis == "items" and not isinstance(how, str):
+            name = getattr(how, "__name__", "value").strip("<>")
+            return self._with(self.df.select(*self.dims, nan.num(how([nan.num(i) for i in self.names])).alias(name)), items=(Item(name),))
         if axis == "items":
-            if not isinstance(how, str):
-                raise ValueError("over items an aggregate is given by name")
             same = {(i.quantity, i.unit) for i in self.items}
             item = Item(how, *next(iter(same))) if len(same) == 1 else Item(how)
             return self._with(aggregate.across_items(self.df, self.dims, self.names, how), items=(item,))
         keys, gone = self._reduced(axis)
-        df = aggregate.reduce(self.df, keys, self.names, how)
-        return self._with(df, dims=tuple(keys), geometry=self._geometry_without(gone))
+        stamp = keep_first_time and "time" in gone
+        df = aggregate.reduce(self.df, keys, self.names, how, time="time" if stamp else None)
+        return self._with(df, dims=("time", *keys) if stamp else tuple(keys), geometry=self._geometry_without(gone))
 
     def apply(self, function: Callable[[pd.Series], float], axis: str | Sequence[str] = "time") -> Frame:
         """A reduction by any function of a group's values; a group has to fit into a task's memory."""

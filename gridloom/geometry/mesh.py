@@ -100,6 +100,31 @@ class TableMesh:
     def as_tables(self, spark: SparkSession) -> TableMesh:
         return self
 
+    @property
+    def is_geo(self) -> bool:
+        return self.projection == "LONG/LAT"
+
+    def box(self) -> BoundingBox:
+        e = self.nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        return BoundingBox(*map(float, e))
+
+    def overset_grid(self, dx: float | None = None, dy: float | None = None, nx: int | None = None, ny: int | None = None, buffer: float = 0.0):
+        """A grid that covers the mesh."""
+        from gridloom.geometry.grid import Grid2D
+
+        b = self.box()
+        return Grid2D.in_box(BoundingBox(b.left - buffer, b.bottom - buffer, b.right + buffer, b.top + buffer), dx, dy, nx, ny)
+
+    def boundary_codes(self) -> list[int]:
+        return sorted(r["code"] for r in self.nodes.where("code > 0").select("code").distinct().collect())  # a handful
+
+    def check(self) -> None:
+        """ValueError if an element has fewer than three nodes or one that there isn't."""
+        used = self.elements.select("element", F.explode("nodes").alias("node"))
+        bad = self.elements.where(F.size("nodes") < 3).select("element").union(used.join(self.nodes, "node", "left_anti").select("element")).first()
+        if bad is not None:
+            raise ValueError(f"element {bad['element']} has too few nodes, or some that aren't there")
+
     def keep(self, ids: DataFrame) -> TableMesh:
         """The mesh of the elements in ``ids`` (a table with the column element), with the nodes that they use."""
         elements = self.elements.join(ids, "element", "left_semi")
