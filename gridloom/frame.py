@@ -530,9 +530,15 @@ class Frame:
         done = self._with(df.withColumns(cells).select(*keys, *dims, *self.names), dims=(*keys, *dims), geometry=g)
         return done.interp_time(other, method=method) if isinstance(other, Frame) and "time" in keys and "time" in other.dims else done
 
-    def extract_track(self, track: DataFrame, elements: DataFrame, *, method: str = "nearest", step_seconds: float | None = None) -> DataFrame:
+    def extract_track(self, track: DataFrame, elements: DataFrame | None = None, *, method: str = "nearest", step_seconds: float | None = None, columns: Sequence[str] = ("time", "x", "y")) -> DataFrame:
+        """Values along a moving point, whose time and coordinates are in ``columns`` of ``track``. Elements are those of the geometry unless given."""
         step = step_seconds or self.timestep()
-        return interpolate.extract_track(self.df, track, elements, self.names, method=method, step_seconds=step)
+        if elements is None:
+            table = self.geometry.as_tables(self.df.sparkSession)
+            elements = centroids(table.nodes, table.elements)
+        named = dict(zip(columns, ("time", "x", "y"), strict=True))
+        done = interpolate.extract_track(self.df, track.withColumnsRenamed(named), elements, self.names, method=method, step_seconds=step)
+        return done.withColumnsRenamed({v: k for k, v in named.items()})
 
     # out
 

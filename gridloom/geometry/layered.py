@@ -49,6 +49,14 @@ class LayeredMesh:
 
     to_2d = flat
 
+    def write_mesh(self, path: str) -> None:
+        """The mesh of the columns as a mesh file, its nodes and elements numbered anew."""
+        from gridloom.sources.text import write_mesh_tables
+
+        flat = self.flat()
+        nodes, elements = mesh.renumber(flat.nodes, flat.elements)
+        write_mesh_tables(TableMesh(nodes, elements, self.projection), path)
+
     def contains(self, points: DataFrame, *, point: str = "point") -> DataFrame:
         """Whether a column holds each point's (x, y)."""
         flat = self.flat()

@@ -98,3 +98,25 @@ def append_again(spark, sf):
     layout.append(f.sel(time=slice("1997", None)), path)
     layout.append(f.sel(time=slice("1996", "1996")), path, batch="of 1996")
     return layout.read(spark, path, items="n").df.select(T(), out("n").alias("n"))
+
+
+@query(f"SELECT count(*) AS n_steps, epoch_us(min(time)) AS start, epoch_us(max(time)) AS stop, 'price,n' AS items, 7 AS datatype FROM {ds.DAILY}")
+def dataset_header(spark, sf):
+    """What is known of a dataset without its values, after it got another tag."""
+    path, f = new_path(spark, "header"), Frame.of(ds.daily(spark, sf)).rename({"total": "price"})
+    layout.write(f, path, period="year")
+    layout.change_datatype(spark, path, 7)
+    h = layout.open_dataset(spark, path)
+    ends = [F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")) for t in (h.start, h.end)]
+    return spark.range(1).select(F.lit(h.n_steps).cast("long").alias("n_steps"), ends[0].alias("start"), ends[1].alias("stop"), F.lit(",".join(i.name for i in h.items)).alias("items"), F.lit(h.datatype).alias("datatype"))
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01' + INTERVAL 30 MINUTE AS time, (4.2 + o_orderkey % 7 * 1.3)::DOUBLE AS lon, (1.2 + o_orderkey // 7 % 4 * 0.6)::DOUBLE AS lat FROM orders),
+n AS (SELECT DISTINCT lon, lat, arg_min(element, (round((lon - x) * (lon - x) + (lat - y) * (lat - y), 9), element)) AS element FROM (SELECT DISTINCT lon, lat FROM t), {_CENTRED} GROUP BY lon, lat)
+SELECT id, {sql_out('element * 2.0 + 0.5')} AS value FROM t JOIN n USING (lon, lat)""")
+def track_of_columns(spark, sf):
+    """A track with columns of other names over a frame's own mesh: all orders, at one time between two steps."""
+    key = F.col("o_orderkey")
+    lon, lat = (4.2 + key % 7 * 1.3).cast("double"), (1.2 + F.floor(key / 7) % 4 * 0.6).cast("double")
+    track = ds.table(spark, sf, "orders").select(key.alias("id"), F.expr("timestamp_ntz'2024-01-01 00:30:00'").alias("when"), lon.alias("lon"), lat.alias("lat"))
+    return _mesh_values(spark, sf).extract_track(track, step_seconds=3600, columns=("when", "lon", "lat")).select("id", out("value").alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import asdict, replace
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 from functools import reduce
 
@@ -277,6 +277,34 @@ def _exactly(frame: Frame, area: Sequence | None, elements: int | Sequence[int]
     return frame if elements is None else frame.isel(element=[elements] if isinstance(elements, int) else list(elements))
 
 
+@dataclass(frozen=True)
+class Header:
+    """What is known of a dataset without its values."""
+
+    items: tuple[Item, ...]
+    dims: tuple[str, ...]
+    geometry: object
+    start: datetime | None
+    end: datetime | None
+    n_steps: int
+    timestep: float | None
+    datatype: int | None
+
+
+def open_dataset(spark: SparkSession, path: str, *, dims: Sequence[str] = ("time",)) -> Header:
+    """Items, dimensions, geometry and time axis. Of the files only the column of times is read."""
+    df = spark.read.parquet(path)
+    about = _about(spark, path) or {}
+    dims = tuple(about.get("dims", dims))
+    items = tuple(Item(f.name, **{k: v for k, v in f.metadata.items() if k in ("quantity", "unit", "value_type")}) for f in df.schema.fields if f.name not in (*dims, *_OWN))
+    start = end = None
+    n = 0
+    if "time" in dims:
+        start, end, n = df.select("time").distinct().agg(F.min("time"), F.max("time"), F.count("*")).first()
+    geometry = _read_geometry(spark, path, about) if "geometry" in about else None
+    return Header(items, dims, geometry, start, end, n, about.get("step"), about.get("datatype"))
+
+
 def read_many(spark: SparkSession, paths: Sequence[str], **options) -> Frame:
     """Several datasets one after the other; where they overlap the last one counts."""
     return Frame.concat([read(spark, p, **options) for p in paths])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that were stored in each of the open scopes.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """At the end of the block all tables that were stored in it are deleted, but for those whose path was taken out of the list.
+
+    For callers that have written what they wanted: the intermediate tables of an operator are read until its result has been.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def path_of(df: DataFrame) -> str:
+    """Where a table made by :func:`stored` lies."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through the file system that it belongs to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
