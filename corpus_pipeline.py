@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import language_id, line_dedup, near_dedup, packing
-from gridloom.llm.common import stored
+from gridloom.llm.common import remove, stored
+from gridloom.sources.shared import scope
 
 NEAR_PERCENT = 80
 #: No SQL can express these stages; tests compare each with a brute-force version.
@@ -47,7 +48,13 @@ STAGES = [("language_id", identify_language), ("line_dedup", drop_repeated_lines
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What stages stored on their way is deleted as soon as the next stage's rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            here = made.pop()  # the stage's own rows were stored last
+        if before is not None:
+            remove(spark, before)
+        before = here
     return docs
