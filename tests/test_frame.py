@@ -364,5 +364,8 @@ def test_append_refuses_other_items(spark, tmp_path):
         layout.append(Frame.of(rows.withColumnRenamed("a", "b")), path)
     with pytest.raises(ValueError):
         layout.append(Frame.of(rows, items=[Item("a", "Surface_Elevation", "feet")]), path)
-    layout.append(Frame.of(rows, items=[Item("a", "Surface_Elevation", "meter")]), path)
+    with pytest.raises(ValueError, match="already"):
+        layout.append(Frame.of(rows, items=[Item("a", "Surface_Elevation", "meter")]), path)
+    later = spark.sql("SELECT timestamp_ntz'2024-01-02' AS time, 1.0 AS a")
+    layout.append(Frame.of(later, items=[Item("a", "Surface_Elevation", "meter")]), path)
     assert layout.read(spark, path).df.count() == 2

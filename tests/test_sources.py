@@ -103,3 +103,44 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("w")) == rows(windowed(df, ["x_idx"], ["T"], size="30 days"))
+
+
+def test_mesh_tables_round_trip_and_damage(spark, tmp_path):
+    mesh = Mesh(np.array([[0, 0, -1], [1, 0, -2], [1, 1, -3.5], [0, 1, 0], [2, 0.5, 0]], dtype=float), [[0, 1, 2, 3], [1, 4, 2]], np.array([1, 1, 0, 2, 3]), "UTM-33")
+    text.write_mesh_tables(mesh.as_tables(spark), str(tmp_path / "m"))
+    back = text.read_mesh_tables(spark, str(tmp_path / "m"))
+    assert sorted((r["element"], r["nodes"]) for r in back.elements.collect()) == [(0, [0, 1, 2, 3]), (1, [1, 4, 2])]
+    assert sorted(tuple(r) for r in back.nodes.collect()) == [(i, *map(float, mesh.nodes[i]), int(mesh.codes[i])) for i in range(5)]
+    assert back.projection == "UTM-33" and back.boundary_codes() == [1, 2, 3] and not back.is_geo
+    back.check()
+    assert text.read_mesh(spark, str(tmp_path / "m")) == mesh
+    (tmp_path / "short.mesh").write_text("\n".join(text.format_mesh(mesh).splitlines()[:-1]))
+    with pytest.raises(ValueError, match="last element"):
+        text.read_mesh_tables(spark, str(tmp_path / "short.mesh"))
+    (tmp_path / "bad.mesh").write_text("1 LONG/LAT\n1 0 0 0 0\n1 3 21\n1 1 2 3\n")
+    with pytest.raises(ValueError, match="element 0"):
+        text.read_mesh_tables(spark, str(tmp_path / "bad.mesh")).check()
+
+
+def test_scope_deletes_what_was_stored(spark):
+    from gridloom.sources.shared import path_of, scope, stored
+
+    with scope(spark) as made:
+        gone, kept = stored(spark.range(3), "gone"), stored(spark.range(4), "kept")
+        paths = path_of(gone), path_of(kept)
+        made.pop()
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(paths[0]).count()
+
+
+def test_documents_from_rows_with_gaps(spark):
+    rows = spark.createDataFrame([("d", "A/B", 2, "x", None), ("d", "A/B", 1, None, None), ("e", "A", 1, "it", 2.5)], "doc string, parent string, number int, name string, size double")
+    table = params.from_rows(rows, "P", ["name", "size"])
+    texts = {r["doc"]: r["text"] for r in params.to_text(table).collect()}
+    assert texts["d"].split() == "[A] [B] [P_1] EndSect // P_1 [P_2] name = 'x' EndSect // P_2 EndSect // B EndSect // A".split()
+    again = params.parse_documents(params.to_text(table))
+    assert {(r["doc"], r["value"]) for r in params.get(again, "A/B/P_2/name", "none").collect()} == {("d", "x"), ("e", "none")}
+    assert {(r["name"], r["is_section"], r["n"]) for r in params.children(again, "A").where("doc = 'd'").collect()} == {("B", True, 1)}
+    assert params.cleared(again, "A/B").where("doc = 'd'").select("key").collect()[0]["key"] is None
+    assert params.from_rows(rows.limit(0), "P", ["name"]).collect() == []
