@@ -159,10 +159,10 @@ def _write_rows(frame: Frame, df: DataFrame, path: str, *, period: str, mode: st
 
 
 def append(frame: Frame, path: str, *, period: str = "month", batch: str | None = None) -> None:
-    """Add steps to a dataset that has the same items, dimensions, geometry and time step; anything else is refused before a row is written.
+    """Add steps to a dataset that has the same items, dimensions and geometry; anything else is refused before a row is written.
 
-    An item of undefined quantity is taken for the dataset's item of its name. Times that are there already are refused. A ``batch`` has a name: appended
-    again under it (after a failure, say) it takes its own place.
+    An item of undefined quantity is taken for the dataset's item of its name. Times that are there already are refused, as is
+    another step if both have equal ones. A ``batch`` has a name: appended again under it (after a failure, say) it takes its own place.
     """
     spark = frame.df.sparkSession
     stored = spark.read.parquet(path)
@@ -197,8 +197,8 @@ def _check_times(frame: Frame, stored: DataFrame, about: dict, period: str, batc
         near = near.where(F.col("_batch") != batch)
     if not new.join(near.select("time"), "time", "left_semi").isEmpty():
         raise ValueError("some of the times are in the dataset already")
-    if about.get("step") and ends["n"] > 1 and _step(new) != about["step"]:
-        raise ValueError(f"the time step isn't the dataset's, {about['step']} s")
+    if about.get("step") and ends["n"] > 1 and (step := _step(new)) is not None and step != about["step"]:
+        raise ValueError(f"the time step is {step} s, the dataset's {about['step']} s")
 
 
 def read(

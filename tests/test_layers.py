@@ -174,6 +174,7 @@ def test_appends_that_are_refused(spark):
     with pytest.raises(ValueError, match="already"):
         layout.append(frame(4), path, batch="c")
     assert layout.read(spark, path, dims=("time", "x_idx")).df.count() == 24
+    assert layout.open_dataset(spark, path).n_steps == 8 and layout.open_dataset(spark, path).timestep == 3600
     with pytest.raises(ValueError, match="tiled"):
         layout.read(spark, path, dims=("time", "x_idx"), area=(0, 0, 1, 1))
 
