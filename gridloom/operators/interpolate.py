@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from gridloom.functions import nan
 from gridloom.functions.distance import planar
 from gridloom.functions.time import micros
-from gridloom.sources.shared import stored
 
 #: Seconds that a chunk of time covers.
 CHUNK_SECONDS = 30 * 86_400
@@ -134,16 +132,16 @@ def _extend(df: DataFrame, keys: Sequence[str], items: Sequence[str], time: str)
 # neighbours in space
 
 
-#: How much wider bins get for points whose neighbours may lie beyond theirs.
-COARSER = 4
+#: How much wider bins get from level to level, and how many of them a point looks through at most.
+COARSER, MOST_BINS = 4, 64
 
 
 def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "point", element: str = "element", x: str = "x", y: str = "y", box: Sequence[float] | None = None, n_elements: int | None = None) -> DataFrame:
     """The ``k`` nearest elements of every point: point, element, distance and rank (from 1); ties go to the smaller element.
 
-    Elements lie in bins of about ``2 k``. A point, moved into the elements' box if it lies outside, looks through its bin and the eight around it. Where its k-th
-    neighbour may lie beyond them (by the distance to their sides, and to the box) it looks again through bins 4 times as wide; only these points are written down
-    and go on. Extent and number are worked out unless given.
+    Elements lie in bins of about ``2 k``, and in coarser ones 4 times as wide from level to level. First each point gets a bound: it meets ``k`` elements of each bin around
+    it (of the elements' box, if it lies outside) on all levels, a few dozen rows, and its neighbours can't be further than the k-th of these. Then it
+    looks through the bins that its circle touches, on the finest level on which they are few. Extent and number are worked out unless given.
     """
     if k < 1:
         raise ValueError("at least one neighbour")
@@ -154,39 +152,44 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
             return points.select(point).limit(0).crossJoin(elements.select(element).limit(0)).select(point, element, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     left, bottom, right, top = map(float, box)
     n = max(1, int(math.sqrt(n_elements / (2 * k))))
-    todo = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    out = []
-    while True:
-        sx, sy = max((right - left) / n, 1e-300), max((top - bottom) / n, 1e-300)
-        place = lambda c, low, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / size))).cast("int")  # noqa: B023, E731
-        held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), place(x, left, sx).alias("_i"), place(y, bottom, sy).alias("_j"))
-        placed = todo.withColumns({"_pi": place("_x", left, sx), "_pj": place("_y", bottom, sy)})
-        around = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - 1), F.least(F.lit(n - 1), F.col(c) + 1)))  # noqa: B023, E731
-        asked = placed.withColumn("_i", around("_pi")).withColumn("_j", around("_pj"))
-        d = planar(F.col("_x"), F.col("_y"), F.col("_ex"), F.col("_ey"))
-        met = asked.join(held, ["_i", "_j"]).select("_p", "_x", "_y", "_pi", "_pj", "_e", d.alias("distance"))
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
-        sides = []
-        for c, at, low, high, size, other, o_low, o_high in (("_x", "_pi", left, right, sx, "_y", bottom, top), ("_y", "_pj", bottom, top, sy, "_x", left, right)):
-            beside = F.greatest(F.lit(0.0), F.lit(o_low) - F.col(other), F.col(other) - F.lit(o_high))
-            below = F.when(F.col(at) > 1, F.col(c) - (low + (F.col(at) - 1) * size))
-            above = F.when(F.col(at) < n - 2, (low + (F.col(at) + 2) * size) - F.col(c))
-            sides += [F.sqrt(beside * beside + s * s) for s in (below, above)]
-        # Elements beyond a side that has bins beyond it are at least so far; null if there is no such side.
-        bound = F.least(*sides)
-        if n == 1:
-            out.append(ranked.select("_p", "_e", "distance", "rank"))
-            break
-        whole = F.count("*").over(W.partitionBy("_p")) == min(k, n_elements)
-        sure = whole & F.coalesce(F.max("distance").over(W.partitionBy("_p")) <= bound, F.lit(True))
-        level = stored(ranked.withColumn("_sure", sure).select("_p", "_e", "distance", "rank", "_sure"), "nearest")
-        out.append(level.where("_sure").drop("_sure"))
-        todo = stored(todo.join(level.where("_sure and rank = 1").select("_p"), "_p", "left_anti"), "points-left")
-        if todo.isEmpty():
-            break
-        n = max(1, n // COARSER)
-    every = reduce(lambda a, b: a.unionByName(b), out)
-    return every.select(F.col("_p").alias(point), F.col("_e").alias(element), "distance", "rank")
+    sx, sy = max((right - left) / n, 1e-300), max((top - bottom) / n, 1e-300)
+    levels = [1]
+    while (n - 1) // levels[-1]:
+        levels.append(levels[-1] * COARSER)
+    on_levels = F.explode(F.array(*map(F.lit, levels)))
+    inside = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
+    up = lambda c: F.floor(F.col(c) / F.col("_c")).cast("int")
+
+    held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), inside((F.col(x) - left) / sx).alias("_i0"), inside((F.col(y) - bottom) / sy).alias("_j0"))
+    held = held.withColumn("_c", on_levels).select("_e", "_ex", "_ey", "_c", up("_i0").alias("_i"), up("_j0").alias("_j"))
+    asked = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    d = planar(F.col("_x"), F.col("_y"), F.col("_ex"), F.col("_ey"))
+
+    # Spark keeps the first k of each bin in every task before anything moves.
+    few = held.withColumn("_n", F.row_number().over(W.partitionBy("_c", "_i", "_j").orderBy("_e"))).where(F.col("_n") <= k).drop("_n")
+    placed = asked.withColumns({"_i0": inside((F.col("_x") - left) / sx), "_j0": inside((F.col("_y") - bottom) / sy)}).withColumn("_c", on_levels)
+    last = F.floor(F.lit(n - 1) / F.col("_c")).cast("int")
+    beside = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), up(c) - 1), F.least(last, up(c) + 1)))
+    met = placed.withColumn("_i", beside("_i0")).withColumn("_j", beside("_j0")).join(few, ["_c", "_i", "_j"]).select("_p", "_x", "_y", "_e", d.alias("_d"))
+    found = F.array_sort(F.collect_set(F.struct("_d", "_e")))  # some 9 k a level at most
+    bound = met.groupBy("_p", "_x", "_y").agg(found.alias("_f")).select("_p", "_x", "_y", (F.element_at("_f", F.least(F.lit(k), F.size("_f")))["_d"] * (1 + 1e-9) + 1e-300).alias("_u"))
+
+    ends = {"_i1": inside((F.col("_x") - F.col("_u") - left) / sx), "_i2": inside((F.col("_x") + F.col("_u") - left) / sx), "_j1": inside((F.col("_y") - F.col("_u") - bottom) / sy), "_j2": inside((F.col("_y") + F.col("_u") - bottom) / sy)}
+    width = lambda a, b, c: F.floor(F.col(b) / c) - F.floor(F.col(a) / c) + 1
+    finest = F.coalesce(*(F.when(width("_i1", "_i2", c) * width("_j1", "_j2", c) <= MOST_BINS, F.lit(c)) for c in levels), F.lit(levels[-1]))
+    circles = bound.withColumns(ends).withColumn("_c", finest)
+    circles = circles.withColumn("_i", F.explode(F.sequence(up("_i1"), up("_i2")))).withColumn("_j", F.explode(F.sequence(up("_j1"), up("_j2"))))
+
+    def off(v: str, at: str, low: float, size: float) -> Column:
+        """How far a coordinate is from a bin's side, with room for rounding."""
+        first = F.col(at) * F.col("_c") * size + low
+        return F.greatest(F.lit(0.0), first - F.col(v), F.col(v) - (first + F.col("_c") * size)) * (1 - 1e-9)
+
+    dx, dy = off("_x", "_i", left, sx), off("_y", "_j", bottom, sy)
+    touched = circles.where(F.sqrt(dx * dx + dy * dy) <= F.col("_u"))
+    close = touched.join(held, ["_c", "_i", "_j"]).select("_p", "_e", "_u", d.alias("distance")).where(F.col("distance") <= F.col("_u"))
+    ranked = close.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("_p").alias(point), F.col("_e").alias(element), "distance", "rank")
 
 
 def idw_weights(neighbours: DataFrame, *, p: float = 2, radius: float | None = None, point: str = "point") -> DataFrame:

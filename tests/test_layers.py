@@ -209,3 +209,21 @@ def test_quantiles_by_ranges_equal_those_in_a_task(spark):
     assert plain == ranged
     wide = aggregate.ranked(df, ["k"], ["a"], [0.5], parts=16)
     assert {r["k"]: r["_q0_0"] for r in wide.collect()}[0] == sorted(a for k, a, _ in rows if k == 0)[1499] / 2 + sorted(a for k, a, _ in rows if k == 0)[1500] / 2
+
+
+def test_neighbours_equal_brute_force(spark):
+    """Clusters, outliers, ties, repeated places, points far outside, and fewer elements than are asked for."""
+    import numpy as np
+
+    from gridloom.operators import interpolate
+
+    rng = np.random.default_rng(2)
+    at = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(50, 0.01, (300, 2)), rng.integers(-5, 6, (200, 2)).astype(float), [[1e4, -1e4], [0, 0], [0, 0]]])
+    asked = np.concatenate([rng.normal(0, 2, (60, 2)), rng.normal(50, 1, (40, 2)), rng.uniform(-2e4, 2e4, (40, 2)), rng.integers(-5, 6, (30, 2)) + 0.5, [[0, 0], [1e4, -1e4], [1e7, 3]]])
+    df = lambda a, name: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} int, x double, y double")
+    for elements, k in ((at, 1), (at, 5), (at[:3], 5), (at[:1], 2), (np.tile(at[:1], (4, 1)), 2)):
+        d = np.sqrt(((asked[:, None, :] - elements[None, :, :]) ** 2).sum(axis=2))
+        want = {(i, int(e), r) for i in range(len(asked)) for r, e in enumerate(np.lexsort((np.arange(len(elements)), d[i]))[:k], 1)}
+        got = interpolate.nearest(df(asked, "point"), df(elements, "element"), k).collect()
+        assert {(r["point"], r["element"], r["rank"]) for r in got} == want and len(got) == len(want)
+    assert interpolate.nearest(df(asked, "point"), df(at[:0], "element"), 2).collect() == []
