@@ -79,3 +79,37 @@ def test_most_texts_are_joined(spark, tmp_path):
     rows = [(i, " ".join(rng.choice(words, 1500)) + ("y" * 9000 if i % 3 == 0 else "")) for i in range(12)] + [(99, "short")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     check(spark, str(tmp_path))
+
+
+def test_pieces_of_very_long_texts_are_dealt_out(spark):
+    rng = np.random.default_rng(6)
+    words = ["the", "Quick", "été", "don't", "3.14", "...", "supercalifragilistic", "日本", "x" * 300]
+    rows = [(i, " ".join(rng.choice(words[: 7 + 2 * (i % 2)], 3000))) for i in range(6)] + [(7, "12" * 9000), (7, "12" * 9000), (8, "short"), (9, "Ab \t" * 8000)]
+    docs, tokenizer = spark.createDataFrame(rows, "doc_id long, text string"), load_tokenizer(PATH)
+    want = Counter((i, np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()) for i, t in rows)
+    for dealt in (5000, 20_000):
+        got = bpe.encode(docs, PATH, leaf_chars=1000, dealt_chars=dealt).collect()
+        assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
+def test_windows_that_grow_beyond_the_known_spans(monkeypatch):
+    tokenizer, encoder = load_tokenizer(PATH), bpe.PieceEncoder(bpe.field_encoder(PATH))
+    rng = np.random.default_rng(7)
+    words = ["word", "it's", "12", "Éa", "...", "of", "unknowable"]
+    partial = 0
+    for edge in (1, 2, 30):
+        monkeypatch.setattr(bpe, "EDGE_FIELDS", edge)
+        for _ in range(40):
+            text = " ".join(rng.choice(words, rng.integers(50, 900)))
+            pieces = [encoder.leaf(text[i : i + 700]) for i in range(0, len(text), 700)]
+            partial += sum(x.head < len(x.ids) for x in pieces)
+            for x in pieces:
+                again = bpe._unpack_spans(x.text, x.ids, bpe._pack_spans(x))
+                whole = encoder.encode(x.text)
+                assert np.array_equal(whole.ids, x.ids)
+                for known in (x, again):
+                    assert np.array_equal(known.starts[: x.head], whole.starts[: x.head]) and np.array_equal(known.ends[: x.head], whole.ends[: x.head])
+                    last = len(x.ids) - x.tail
+                    assert np.array_equal(known.starts[last:], whole.starts[last:]) and np.array_equal(known.ends[last:], whole.ends[last:])
+            assert encoder.tree(pieces).ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert partial > 100
