@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
+import regex
 
 #: The pre-token pattern of byte-level BPE files (a fixed value).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,29 +37,53 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The printable characters that byte-level files write for bytes (a fixed rule of the format)."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _word_pattern(path: str) -> regex.Pattern | None:
+    """The pattern of pre-tokens of a file that lower-cases text and passes the pattern's matches to its model as bytes; None for others."""
+    file = json.loads(Path(path).read_text())
+    normal, cut = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps, cuts = normal.get("normalizers", []), cut.get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or file.get("post_processor"):
+        return None
+    split, level = cuts
+    blanks = steps[1]["pattern"].get("Regex") == r"\s+" and steps[1]["content"] == " "
+    matches = split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
+    plain = not level["add_prefix_space"] and not level["use_regex"]
+    return regex.compile(split["pattern"]["Regex"]) if blanks and matches and plain else None
+
+
 class _Ids(dict):
-    """Little-endian 32-bit ids of a pre-token, worked out when first asked for."""
+    """Little-endian 32-bit ids of a field, worked out when first asked for.
 
-    def __init__(self, tokenizer) -> None:
+    Fields of stable characters without added tokens go straight to the file's model where :func:`_word_pattern` knows
+    what it gets; others go the library's whole way.
+    """
+
+    def __init__(self, tokenizer, pattern: regex.Pattern | None = None, added: re.Pattern | None = None) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.pattern, self.added = tokenizer, pattern, added
+        self.model, self.letters = tokenizer.model, {b: c for c, b in _byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.pattern and _STABLE.fullmatch(word) and not (self.added and self.added.search(word)):
+            parts = [p.encode().decode("latin-1").translate(self.letters) for p in self.pattern.findall(word.lower())]
+            ids = [t.id for p in parts for t in self.model.tokenize(p)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             self[word] = found
         return found
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable characters that byte-level files write for bytes (a fixed rule of the format)."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def merge_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a byte-level file whose ids follow the order of its merges; ValueError otherwise."""
     model = json.loads(Path(path).read_text())["model"]
@@ -120,9 +146,10 @@ class FieldEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.ids, self.spans = _Ids(self.tokenizer), _Spans(self.tokenizer)
+        self.spans = _Spans(self.tokenizer)
         added = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.ids = _Ids(self.tokenizer, _word_pattern(path), self.added)
         self.words = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], dtype=object)
 
     def by_fields(self, text: str) -> bool:

@@ -113,3 +113,13 @@ def test_windows_that_grow_beyond_the_known_spans(monkeypatch):
                     assert np.array_equal(known.starts[last:], whole.starts[last:]) and np.array_equal(known.ends[last:], whole.ends[last:])
             assert encoder.tree(pieces).ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert partial > 100
+
+
+def test_fields_that_go_straight_to_the_model():
+    tokenizer, encoder = load_tokenizer(PATH), bpe.field_encoder(PATH)
+    assert encoder.ids.pattern is not None
+    rng = np.random.default_rng(8)
+    parts = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2016), 0x20AC]] + ["'s", "'LL", "ing", "THE", "½", "<|endoftext|>"]
+    for _ in range(20_000):
+        field = "".join(rng.choice(parts, rng.integers(1, 9)))
+        assert np.frombuffer(encoder.encode(field), dtype="<u4").tolist() == tokenizer.encode(field, add_special_tokens=False).ids, field
