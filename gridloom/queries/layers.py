@@ -83,7 +83,7 @@ def sel_column(spark, sf):
 @query(f"SELECT element, array_to_string([c * 100 + l * 3 + k FOR k IN [0, 1, 2]], ',') AS nodes FROM (SELECT *, {_XY} FROM {_PRISMS}) WHERE layer = 2 AND x <= 6")
 def one_layer_is_flat(spark, sf):
     """The geometry of one layer is a flat mesh with the elements' ids."""
-    geometry = _values(spark, sf).sel(area=(-1, -1, 6, 1000), layers=2).geometry
+    geometry = _values(spark, sf).sel(area=(-1, -1, 6, float("inf")), layers=2).geometry
     assert isinstance(geometry, TableMesh)
     return geometry.elements.select("element", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
 
