@@ -93,7 +93,7 @@ def mesh_nodes(spark: SparkSession, sf: str) -> DataFrame:
     last = p.agg(F.floor(F.max("p_partkey") / WIDTH)).first()[0]
     i, j = F.col("p_partkey") % WIDTH, F.floor(F.col("p_partkey") / WIDTH)
     edge = (i == 0) | (i == WIDTH - 1) | (j == 0) | (j == last)
-    return p.select(F.col("p_partkey").cast("int").alias("node"), (i + j * 0.1).cast("double").alias("x"), (j * 0.5 + i * 0.02).cast("double").alias("y"), F.col("p_size").cast("double").alias("z"), F.when(edge, 1).otherwise(0).alias("code"))
+    return p.select(F.col("p_partkey").cast("int").alias("node"), ((i * 10 + j) / 10).alias("x"), ((j * 50 + i * 2) / 100).alias("y"), F.col("p_size").cast("double").alias("z"), F.when(edge, 1).otherwise(0).alias("code"))
 
 
 NODES = """(SELECT p_partkey::INT AS node, (i + j * 0.1)::DOUBLE AS x, (j * 0.5 + i * 0.02)::DOUBLE AS y, p_size::DOUBLE AS z,
