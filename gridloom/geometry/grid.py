@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +15,12 @@ from gridloom.geometry.base import BoundingBox, Geometry0D, OutsideDomainError
 
 @dataclass(frozen=True)
 class Axis:
-    """n equidistant centres from x0."""
+    """n equidistant centres from x0. ``ends`` holds the outer edges where these were given, as they can't be had from the centres without rounding."""
 
     x0: float
     dx: float
     n: int
+    ends: Sequence[float] | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.n < 1 or self.dx <= 0:
@@ -49,11 +50,11 @@ class Axis:
 
     @property
     def left(self) -> float:
-        return self.x0 - self.dx / 2
+        return self.ends[0] if self.ends else self.x0 - self.dx / 2
 
     @property
     def right(self) -> float:
-        return self.x0 + self.dx * (self.n - 0.5)
+        return self.ends[1] if self.ends else self.x0 + self.dx * (self.n - 0.5)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.range(self.n).select(F.col("id").cast("int").alias(f"{name}_idx"), (F.lit(self.x0) + F.col("id") * self.dx).alias(name))
@@ -84,7 +85,7 @@ class Axis:
     def spanning(cls, low: float, high: float, dx: float | None = None, n: int | None = None) -> Axis:
         """Cells between two edges; with a step, they are centred between them."""
         if n is not None:
-            return cls(low + (high - low) / n / 2, (high - low) / n, n)
+            return cls(low + (high - low) / n / 2, (high - low) / n, n, (low, high))
         if dx is None:
             raise ValueError("give a step or a number of cells")
         n = max(1, math.ceil((high - low) / dx - 1e-9))
@@ -221,7 +222,7 @@ class Grid2D(_Grid):
 
     def at_origin(self) -> Grid2D:
         """The same cells with the start of the axes moved into the origin."""
-        return replace(self, x=replace(self.x, x0=0.0), y=replace(self.y, x0=0.0), origin=(self.origin[0] + self.x.x0, self.origin[1] + self.y.x0))
+        return replace(self, x=replace(self.x, x0=0.0, ends=None), y=replace(self.y, x0=0.0, ends=None), origin=(self.origin[0] + self.x.x0, self.origin[1] + self.y.x0))
 
     def to_mesh(self, *, west: int = 2, east: int = 4, north: int = 5, south: int = 3):
         """Quadrilaterals with one code for the nodes of each side; corners take south before north, then east and west."""
