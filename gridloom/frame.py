@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import nan
 from gridloom.functions import time as times
+from gridloom.functions.joins import spread
 from gridloom.geometry import Geometry0D, Grid1D, Grid2D, Point2D, Undefined
 from gridloom.items import Item, ItemsError, unique_names
 from gridloom.geometry.base import OutsideDomainError
@@ -239,7 +240,7 @@ class Frame:
         table = self.geometry.as_tables(spark)
         if area is not None:
             ids = mesh.elements_in(table.nodes, table.elements, area)
-            return self._with(self.df.join(ids, "element", "left_semi"), geometry=table.keep(ids))
+            return self._with(self.df.join(spread(ids), "element", "left_semi"), geometry=table.keep(ids))
         if set(at) != {"x", "y"}:
             raise ValueError("a point in a mesh has x and y")
         point = spark.range(1).select(F.col("id").alias("point"), *(F.lit(float(v)).alias(c) for c, v in at.items()))
@@ -256,12 +257,12 @@ class Frame:
         found = None if layers is None else self.geometry.layer_elements(layers)
         if area is not None or at:
             there = self.geometry.area_elements(area) if area is not None else self.geometry.point_elements(self.df.sparkSession, **at)
-            found = there if found is None else there.join(found, "element", "left_semi")
+            found = there if found is None else there.join(spread(found), "element", "left_semi")
         return self._at_elements(found, self.geometry.keep(found))
 
     def _at_elements(self, ids: DataFrame, geometry: object) -> Frame:
         """Rows of some elements; a geometry that is one point drops the axis."""
-        df, name = self.df.join(ids, ids.columns[0], "left_semi"), ids.columns[0]
+        df, name = self.df.join(spread(ids), ids.columns[0], "left_semi"), ids.columns[0]
         if name in geometry.dims:
             return self._with(df, geometry=geometry)
         return self._with(df.drop(name), dims=tuple(d for d in self.dims if d != name), geometry=geometry)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.joins import spread
 from gridloom.geometry.base import Geometry0D, OutsideDomainError, Point3D
 from gridloom.geometry.mesh import TableMesh, centroids
 from gridloom.operators import layered, mesh
@@ -63,7 +64,7 @@ class LayeredMesh:
         return mesh.contains(points, flat.nodes, flat.elements, point=point)
 
     def _used(self, elements: DataFrame) -> DataFrame:
-        return self.nodes.join(elements.select(F.explode("nodes").alias("node")), "node", "left_semi")
+        return self.nodes.join(spread(elements.select(F.explode("nodes").alias("node"))), "node", "left_semi")
 
     # elements by layer and place, as tables with the column element
 
@@ -91,7 +92,7 @@ class LayeredMesh:
             raise ValueError("a vertical slice has no area")
         flat = self.flat()
         columns = mesh.elements_in(flat.nodes, flat.elements, area).withColumnRenamed("element", "column")
-        return self.layers.join(columns, "column", "left_semi").select("element")
+        return self.layers.join(spread(columns), "column", "left_semi").select("element")
 
     def point_elements(self, spark: SparkSession, x: float, y: float, z: float | None = None) -> DataFrame:
         """The elements of the column at a point, or the one between whose faces z lies. OutsideDomainError outside the mesh or the column."""
@@ -117,10 +118,10 @@ class LayeredMesh:
 
     def keep(self, ids: DataFrame) -> LayeredMesh | TableMesh | Point3D:
         """The geometry of the elements in ``ids``: a point for one, a flat mesh for one layer (or only bottom elements), else a layered mesh."""
-        layers = self.layers.join(ids.select("element"), "element", "left_semi")
+        layers = self.layers.join(spread(ids.select("element")), "element", "left_semi")
         lowest = self.layers.groupBy("column").agg(F.min("layer").alias("_low"))
-        n = layers.join(lowest, "column").agg(F.count("*").alias("n"), F.min("layer").alias("low"), F.max("layer").alias("high"), F.min((F.col("layer") == F.col("_low")).cast("int")).alias("bottom"), F.count_distinct("column").alias("columns"), F.first("element").alias("one")).first()
-        elements = self.elements.join(layers, "element", "left_semi")
+        n = layers.join(spread(lowest), "column").agg(F.count("*").alias("n"), F.min("layer").alias("low"), F.max("layer").alias("high"), F.min((F.col("layer") == F.col("_low")).cast("int")).alias("bottom"), F.count_distinct("column").alias("columns"), F.first("element").alias("one")).first()
+        elements = self.elements.join(spread(layers), "element", "left_semi")
         if n["n"] == 1:
             c = centroids(self.nodes, elements).first()
             return Point3D(c["x"], c["y"], c["z"])

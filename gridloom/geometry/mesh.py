@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.joins import spread
 from gridloom.geometry.base import BoundingBox, Geometry0D
 
 NODE_SCHEMA = "node int, x double, y double, z double, code int"
@@ -121,15 +122,15 @@ class TableMesh:
     def check(self) -> None:
         """ValueError if an element has fewer than three nodes or one that there isn't."""
         used = self.elements.select("element", F.explode("nodes").alias("node"))
-        bad = self.elements.where(F.size("nodes") < 3).select("element").union(used.join(self.nodes, "node", "left_anti").select("element")).first()
+        bad = self.elements.where(F.size("nodes") < 3).select("element").union(used.join(spread(self.nodes), "node", "left_anti").select("element")).first()
         if bad is not None:
             raise ValueError(f"element {bad['element']} has too few nodes, or some that aren't there")
 
     def keep(self, ids: DataFrame) -> TableMesh:
         """The mesh of the elements in ``ids`` (a table with the column element), with the nodes that they use."""
-        elements = self.elements.join(ids, "element", "left_semi")
+        elements = self.elements.join(spread(ids), "element", "left_semi")
         used = elements.select(F.explode("nodes").alias("node"))
-        return TableMesh(self.nodes.join(used, "node", "left_semi"), elements, self.projection, self.dims)
+        return TableMesh(self.nodes.join(spread(used), "node", "left_semi"), elements, self.projection, self.dims)
 
     def reduce(self, dims: Sequence[str]) -> TableMesh | Geometry0D:
         return Geometry0D() if "element" in dims or "space" in dims else self
@@ -138,7 +139,7 @@ class TableMesh:
 def corner_table(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """One row for each corner: element, corner (from 0), n_corners, node, x, y, z."""
     corners = elements.select("element", F.size("nodes").alias("n_corners"), F.posexplode("nodes").alias("corner", "node"))
-    return corners.join(nodes.select("node", "x", "y", "z"), "node")
+    return corners.join(spread(nodes.select("node", "x", "y", "z")), "node")
 
 
 def centroids(nodes: DataFrame, elements: DataFrame) -> DataFrame:

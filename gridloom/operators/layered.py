@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import nan
 from gridloom.functions.distance import distance
+from gridloom.functions.joins import spread
 from gridloom.geometry.mesh import centroids
 from gridloom.operators import interpolate, mesh, ordering
 
@@ -43,7 +44,7 @@ def at_layer(df: DataFrame, layers: DataFrame, layer: str | int | Sequence[str |
     if down := [-x for x in numbers if x < 0]:
         layers = layers.withColumn("_down", F.row_number().over(W.partitionBy("column").orderBy(F.desc("layer"))))
         wanted = wanted | F.col("_down").isin(down)
-    return df.join(layers.where(wanted).select("element", "column"), "element")
+    return df.join(spread(layers.where(wanted).select("element", "column")), "element")
 
 
 def end_values(df: DataFrame, keys: Sequence[str], items: Sequence[str], *, top: bool = True, layer: str = "layer") -> DataFrame:
@@ -60,7 +61,7 @@ def layers_per_column(layers: DataFrame) -> DataFrame:
 def element_z(elements: DataFrame, node_z: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
     """Centre, bottom, top and thickness of each element from z at the nodes (for each of ``keys``)."""
     half = F.size("nodes") / 2
-    corners = elements.select("element", half.alias("_h"), F.posexplode("nodes").alias("at", "node")).join(node_z, "node")
+    corners = elements.select("element", half.alias("_h"), F.posexplode("nodes").alias("at", "node")).join(spread(node_z), "node")
     low = F.avg(F.when(F.col("at") < F.col("_h"), F.col("z")))
     high = F.avg(F.when(F.col("at") >= F.col("_h"), F.col("z")))
     return corners.groupBy(*keys, "element").agg(F.avg("z").alias("z"), low.alias("z_bottom"), high.alias("z_top"), (high - low).alias("thickness"))
@@ -90,7 +91,7 @@ def lowest_faces(elements: DataFrame, layers: DataFrame) -> DataFrame:
     """The lower faces of the lowest element of each column, numbered by column."""
     bottom = layers.groupBy("column").agg(F.min_by("element", "layer").alias("element"))
     half = (F.size("nodes") / 2).cast("int")
-    return elements.join(bottom, "element").select(F.col("column").alias("element"), F.slice("nodes", F.lit(1), half).alias("nodes"))
+    return elements.join(spread(bottom), "element").select(F.col("column").alias("element"), F.slice("nodes", F.lit(1), half).alias("nodes"))
 
 
 def to_2d(elements: DataFrame, layers: DataFrame) -> DataFrame:
@@ -104,12 +105,12 @@ def in_columns(asked: DataFrame, layers: DataFrame, faces: DataFrame, *, point:
     ``asked`` has point, column and z, ``faces`` has element, z_bottom and z_top for each of ``keys``. A z on a face belongs to the element below
     it, on the lowest face to the lowest element. Rows of one column meet, never all rows of all columns.
     """
-    stacked = layers.select("element", "column").join(faces.select(*keys, "element", "z_bottom", "z_top"), "element")
+    stacked = layers.select("element", "column").join(spread(faces.select(*keys, "element", "z_bottom", "z_top")), "element")
     lowest = F.min("z_bottom").over(W.partitionBy(*keys, "column"))
     stacked = stacked.withColumn("_floor", lowest)
     inside = (F.col("_z") <= F.col("z_top")) & ((F.col("_z") > F.col("z_bottom")) | ((F.col("_z") == F.col("z_bottom")) & (F.col("z_bottom") == F.col("_floor"))))
     rows = asked.select(point, "column", F.col("z").alias("_z"))
-    met = rows.join(stacked, "column", "left").groupBy(*keys, point, "column").agg(F.min(F.when(inside, F.col("element"))).alias("element"))
+    met = rows.join(spread(stacked), "column", "left").groupBy(*keys, point, "column").agg(F.min(F.when(inside, F.col("element"))).alias("element"))
     return met
 
 
@@ -119,12 +120,12 @@ def find_elements(points: DataFrame, nodes: DataFrame, elements: DataFrame, laye
     With ``node_z`` (``keys``, node, z) the faces move and there is a row for each of ``keys``.
     """
     column = mesh.find_elements(points, nodes, to_2d(elements, layers), point=point).withColumnRenamed("element", "column")
-    asked = points.select(point, "z").join(column, point)
+    asked = points.select(point, "z").join(spread(column), point)
     moving = list(keys) if node_z is not None else []
     faces = element_z(elements, nodes.select("node", "z") if node_z is None else node_z, keys=moving)
     found = in_columns(asked.where("column is not null"), layers, faces, point=point, keys=moving)
     if not moving:
-        return points.select(point).join(found, point, "left")
+        return points.select(point).join(spread(found), point, "left")
     times = node_z.select(*moving).distinct()
     outside = asked.where("column is null").select(point, "column", F.lit(None).cast(elements.schema["element"].dataType).alias("element"))
     return found.unionByName(outside.join(times).select(*found.columns))
@@ -134,7 +135,7 @@ def nearest_column(points: DataFrame, nodes: DataFrame, elements: DataFrame, lay
     """point and column: the column of a vertical slice whose top element is nearest to (x, y)."""
     tops = centroids(nodes, at_layer(elements, layers, "top").select("element", "nodes"))
     near = interpolate.nearest(points, tops, 1, point=point)
-    return near.select(point, "element").join(layers.select("element", "column"), "element").select(point, "column")
+    return near.select(point, "element").join(spread(layers.select("element", "column")), "element").select(point, "column")
 
 
 def face_z(elements: DataFrame, layers: DataFrame, node_z: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
@@ -142,7 +143,7 @@ def face_z(elements: DataFrame, layers: DataFrame, node_z: DataFrame, keys: Sequ
 
     A column has few layers, so its arrays are short; columns and ``keys`` are spread over tasks.
     """
-    z = element_z(elements, node_z, keys=list(keys)).join(layers.select("element", "column", "layer"), "element")
+    z = element_z(elements, node_z, keys=list(keys)).join(spread(layers.select("element", "column", "layer")), "element")
     row = z.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.struct("layer", "z", "z_bottom", "z_top"))).alias("_of"))
     of = lambda name: F.transform("_of", lambda s: s[name])
     top = F.array(F.element_at("_of", -1)["z_top"])
@@ -166,7 +167,7 @@ def distance_along(nodes: DataFrame, elements: DataFrame, *, is_geo: bool = Fals
 def nearest_distance_along(points: DataFrame, along: DataFrame, *, point: str = "point") -> DataFrame:
     """point and distance: that of the element of :func:`distance_along` whose centre is nearest."""
     near = interpolate.nearest(points, along, 1, point=point).select(point, "element")
-    return near.join(along.select("element", "distance"), "element").select(point, "distance")
+    return near.join(spread(along.select("element", "distance")), "element").select(point, "distance")
 
 
 def surface_elevation(elements: DataFrame, nodes: DataFrame, layers: DataFrame, node_z: DataFrame, *, k: int = 4, keys: Sequence[str] = ("time",)) -> DataFrame:
@@ -177,7 +178,7 @@ def surface_elevation(elements: DataFrame, nodes: DataFrame, layers: DataFrame,
     half = (F.size("nodes") / 2).cast("int")
     faces = at_layer(elements, layers, "top").select("element", F.slice("nodes", half + 1, half).alias("nodes"))
     centres = centroids(nodes, faces).select(F.col("element").alias("point"), "x", "y")
-    surface = nodes.join(faces.select(F.explode("nodes").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("element"), "x", "y")
+    surface = nodes.join(spread(faces.select(F.explode("nodes").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("element"), "x", "y")
     weights = interpolate.idw_weights(interpolate.nearest(centres, surface, k))
     values = node_z.select(*keys, F.col("node").alias("element"), F.col("z").alias("elevation"))
     return interpolate.apply_weights(values, weights, ["elevation"], keys=list(keys)).withColumnRenamed("point", "element")

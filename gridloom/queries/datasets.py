@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import nan
+from gridloom.functions.joins import spread
 
 MISSING = -9999.0
 
@@ -88,7 +89,7 @@ WIDTH = 20
 
 
 def mesh_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """node, x, y, z, code: the parts as nodes of a skewed grid, 20 to a row; code 1 on its edge."""
+    """node, x, y, z, code: the parts as nodes of a skewed grid, 20 to a row; code 1 on its edge. Places are exact decimals as in the SQL, rounded once."""
     p = table(spark, sf, "part")
     last = p.agg(F.floor(F.max("p_partkey") / WIDTH)).first()[0]
     i, j = F.col("p_partkey") % WIDTH, F.floor(F.col("p_partkey") / WIDTH)
@@ -106,7 +107,7 @@ def mesh_elements(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     n = p.select(F.col("p_partkey").cast("int").alias("node"))
     above = n.select((F.col("node") - WIDTH - 1).alias("node"))
-    n = n.where(F.col("node") % WIDTH < WIDTH - 1).join(above, "node", "left_semi")
+    n = n.where(F.col("node") % WIDTH < WIDTH - 1).join(spread(above), "node", "left_semi")
     quad = F.array(F.col("node"), F.col("node") + 1, F.col("node") + WIDTH + 1, F.col("node") + WIDTH)
     return n.select(F.col("node").alias("element"), F.when(F.col("node") % 7 == 3, F.slice(quad, 1, 3)).otherwise(quad).cast("array<int>").alias("nodes"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
+from gridloom.functions.joins import spread
 from gridloom.geometry.layered import LayeredMesh
 from gridloom.geometry.mesh import TableMesh
 from gridloom.geometry.spectrum import AreaSpectrum, LineSpectrum
@@ -169,7 +170,7 @@ def profile_columns(spark, sf):
     g = LayeredMesh.of(nodes, elements, is_profile=True)
     mid = lambda c: (spark, (2 * c + 1) * 1.5, (c % 3 + (c + 1) % 3) * 2.0)
     ids = g.point_elements(*mid(5)).union(g.point_elements(*mid(7)))
-    return g.layers.join(ids, "element", "left_semi").select("element", "column")
+    return g.layers.join(spread(ids), "element", "left_semi").select("element", "column")
 
 
 # Spectra of the first eight vectors' numbers along a line, and of all vectors over the mesh of the parts.
@@ -200,7 +201,7 @@ def sel_line_point(spark, sf):
 def _area(spark: SparkSession, sf: str) -> Frame:
     nodes, elements = ds.mesh_nodes(spark, sf), ds.mesh_elements(spark, sf)
     g = AreaSpectrum(_FREQUENCIES, tuple(45.0 * i for i in range(8)), mesh=TableMesh(nodes, elements))
-    rows = ds.spectra(spark, sf).withColumnRenamed("point", "element").join(elements.select("element"), "element", "left_semi")
+    rows = ds.spectra(spark, sf).withColumnRenamed("point", "element").join(spread(elements.select("element")), "element", "left_semi")
     return Frame.of(rows, ("element", "direction_idx", "frequency_idx"), geometry=g)
 
 

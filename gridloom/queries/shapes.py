@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
+from gridloom.functions.joins import spread
 from gridloom.geometry.grid import Axis, Grid2D, logarithmic_frequencies
 from gridloom.geometry.mesh import TableMesh, centroids
 from gridloom.geometry.spectrum import PointSpectrum
@@ -151,7 +152,7 @@ def mesh_file_round_trip(spark, sf):
     text.write_mesh_tables(TableMesh(nodes, elements, "UTM-33"), path)
     back = text.read_mesh_tables(spark, path)
     back.check()
-    corners = back.elements.select("element", "nodes", F.explode("nodes").alias("node")).join(back.nodes, "node")
+    corners = back.elements.select("element", "nodes", F.explode("nodes").alias("node")).join(spread(back.nodes), "node")
     sums = corners.groupBy("element", "nodes").agg(F.sum("x").alias("x"), F.sum("code").alias("code"))
     return sums.select("element", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), out("x").alias("x"), "code")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
+from gridloom.functions.joins import spread
 from gridloom.geometry.grid import Axis, Grid2D
 from gridloom.operators import aggregate, layered, mesh
 from gridloom.queries import datasets as ds
@@ -103,7 +104,7 @@ def several_layers(spark, sf):
 def depth_mean(spark, sf):
     nodes, elements, layers = _prisms(spark, sf)
     z = layered.element_z(elements, nodes.select("node", "z"), keys=[])  # all layers are 1.5 thick
-    values = layers.join(z, "element").withColumn("value", F.col("element").cast("double"))
+    values = layers.join(spread(z), "element").withColumn("value", F.col("element").cast("double"))
     return layered.depth_mean(values, ["column"], ["value"]).select("column", out("value").alias("value"))
 
 
@@ -114,7 +115,7 @@ SELECT col AS "column", level AS z, {sql_out('CASE WHEN n = 1 THEN vs[1] ELSE vs
 def interp_z(spark, sf):
     nodes, elements, layers = _prisms(spark, sf)
     z = layered.element_z(elements, nodes.select("node", "z"), keys=[])
-    values = layers.join(z, "element").withColumn("value", (F.col("element") * 37 % 101).cast("double"))
+    values = layers.join(spread(z), "element").withColumn("value", (F.col("element") * 37 % 101).cast("double"))
     return layered.interp_z(values, ["column"], "z", "value", [0.33, 3.33, 7.77]).select("column", "z", out("value").alias("value"))
 
 
@@ -231,7 +232,7 @@ def _lakes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     row = F.floor(n / 20) % 6
     lake = (n % 20).between(4, 9) & row.between(2, 4) & ~((n % 20 == 6) & (row == 3))
     parts = ds.table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("node"))
-    whole = parts.where(n % 20 < 19).join(parts.select((n - 21).alias("node")), "node", "left_semi").where(~lake)
+    whole = parts.where(n % 20 < 19).join(spread(parts.select((n - 21).alias("node"))), "node", "left_semi").where(~lake)
     return ds.mesh_nodes(spark, sf), whole.select(n.alias("element"), F.array(n, n + 1, n + 21, n + 20).alias("nodes"))
 
 

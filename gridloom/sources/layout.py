@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.frame import Frame
 from gridloom.functions import time as times
+from gridloom.functions.joins import spread
 from gridloom.functions.time import between, moment
 from gridloom.geometry.grid import Axis, Grid2D, Grid3D
 from gridloom.geometry.layered import LayeredMesh
@@ -50,7 +51,7 @@ def _places(geometry: object, spark: SparkSession) -> DataFrame | None:
     if isinstance(geometry, LayeredMesh):
         flat = geometry.flat()
         at = centroids(flat.nodes, flat.elements).select(F.col("element").alias("column"), "x", "y")
-        return geometry.layers.join(at, "column").select("element", "x", "y", F.col("layer").alias("_layer"))
+        return geometry.layers.join(spread(at), "column").select("element", "x", "y", F.col("layer").alias("_layer"))
     if hasattr(geometry, "as_tables"):
         table = geometry.as_tables(spark)
         return centroids(table.nodes, table.elements).select("element", "x", "y", F.lit(0).alias("_layer"))
@@ -65,7 +66,7 @@ def _tiled(frame: Frame, levels: int) -> tuple[DataFrame, Tiling, DataFrame | No
         e = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
         tiling = Tiling(*(float(v or 0) for v in e), levels)
         keyed = places.withColumn("_key", tiling.key(F.col("x"), F.col("y")))
-        rows = frame.df.join(keyed.select("element", "_key", "_layer"), "element")
+        rows = frame.df.join(spread(keyed.select("element", "_key", "_layer")), "element")
         return rows.withColumn("_tile", tiling.tile(F.col("_key"))), tiling, keyed
     if isinstance(g, (Grid2D, Grid3D)) and {"x", "y"} <= set(g.axes):
         x, y = g.axes["x"], g.axes["y"]
