@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import nan
 from gridloom.functions.distance import planar
+from gridloom.functions.joins import spread
 from gridloom.functions.time import micros
 
 #: Seconds that a chunk of time covers.
@@ -136,12 +137,32 @@ def _extend(df: DataFrame, keys: Sequence[str], items: Sequence[str], time: str)
 COARSER, MOST_BINS = 4, 64
 
 
+def _bin_size(elements: DataFrame, box: Sequence[float], n: int, k: int, x: str, y: str) -> float:
+    """The side of square bins that hold about ``2 k`` elements where there are any.
+
+    Elements that fill their box get it from their number. Those of a long band or line leave most of the box empty: the bins in use are counted and
+    made smaller, at most four times.
+    """
+    left, bottom, right, top = box
+    width, height = right - left, top - bottom
+    least = max(width, height, 1e-292) / 2**30  # numbers of bins are integers
+    size = max(math.sqrt(width * height * 2 * k / n), max(width, height) * 2 * k / n if min(width, height) == 0 else 0.0, least)
+    for _ in range(4):
+        used = elements.select(F.floor((F.col(x) - left) / size).alias("_i"), F.floor((F.col(y) - bottom) / size).alias("_j")).agg(F.approx_count_distinct(F.struct("_i", "_j"))).first()[0]
+        many = n / max(1, used) / (2 * k)
+        if many <= 4 or size <= least:
+            break
+        size = max(size / math.sqrt(many), least)
+    return size
+
+
 def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "point", element: str = "element", x: str = "x", y: str = "y", box: Sequence[float] | None = None, n_elements: int | None = None) -> DataFrame:
     """The ``k`` nearest elements of every point: point, element, distance and rank (from 1); ties go to the smaller element.
 
-    Elements lie in bins of about ``2 k``, and in coarser ones 4 times as wide from level to level. First each point gets a bound: it meets ``k`` elements of each bin around
+    Elements lie in bins of about ``2 k``, and in coarser ones 4 times as wide from level to level. First each place gets a bound: it meets ``k`` elements of each bin around
     it (of the elements' box, if it lies outside) on all levels, a few dozen rows, and its neighbours can't be further than the k-th of these. Then it
-    looks through the bins that its circle touches, on the finest level on which they are few. Extent and number are worked out unless given.
+    looks through the bins that its circle touches, on the finest level on which they are few. Points at one place are looked for once. Extent and number are
+    worked out unless given.
     """
     if k < 1:
         raise ValueError("at least one neighbour")
@@ -151,45 +172,46 @@ def nearest(points: DataFrame, elements: DataFrame, k: int, *, point: str = "poi
         if not n_elements:
             return points.select(point).limit(0).crossJoin(elements.select(element).limit(0)).select(point, element, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     left, bottom, right, top = map(float, box)
-    n = max(1, int(math.sqrt(n_elements / (2 * k))))
-    sx, sy = max((right - left) / n, 1e-300), max((top - bottom) / n, 1e-300)
+    size = _bin_size(elements, (left, bottom, right, top), n_elements, k, x, y)
+    nx, ny = (max(1, math.ceil((high - low) / size)) for low, high in ((left, right), (bottom, top)))
     levels = [1]
-    while (n - 1) // levels[-1]:
+    while (max(nx, ny) - 1) // levels[-1]:
         levels.append(levels[-1] * COARSER)
     on_levels = F.explode(F.array(*map(F.lit, levels)))
-    inside = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
+    along_x = lambda v: F.greatest(F.lit(0), F.least(F.lit(nx - 1), F.floor((v - left) / size))).cast("int")
+    along_y = lambda v: F.greatest(F.lit(0), F.least(F.lit(ny - 1), F.floor((v - bottom) / size))).cast("int")
     up = lambda c: F.floor(F.col(c) / F.col("_c")).cast("int")
 
-    held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), inside((F.col(x) - left) / sx).alias("_i0"), inside((F.col(y) - bottom) / sy).alias("_j0"))
+    held = elements.select(F.col(element).alias("_e"), F.col(x).alias("_ex"), F.col(y).alias("_ey"), along_x(F.col(x)).alias("_i0"), along_y(F.col(y)).alias("_j0"))
     held = held.withColumn("_c", on_levels).select("_e", "_ex", "_ey", "_c", up("_i0").alias("_i"), up("_j0").alias("_j"))
-    asked = points.select(F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    named = points.select(F.col(point).alias("_point"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("_p"))
+    asked = named.select("_p").distinct().select("_p", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
     d = planar(F.col("_x"), F.col("_y"), F.col("_ex"), F.col("_ey"))
 
     # Spark keeps the first k of each bin in every task before anything moves.
     few = held.withColumn("_n", F.row_number().over(W.partitionBy("_c", "_i", "_j").orderBy("_e"))).where(F.col("_n") <= k).drop("_n")
-    placed = asked.withColumns({"_i0": inside((F.col("_x") - left) / sx), "_j0": inside((F.col("_y") - bottom) / sy)}).withColumn("_c", on_levels)
-    last = F.floor(F.lit(n - 1) / F.col("_c")).cast("int")
-    beside = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), up(c) - 1), F.least(last, up(c) + 1)))
-    met = placed.withColumn("_i", beside("_i0")).withColumn("_j", beside("_j0")).join(few, ["_c", "_i", "_j"]).select("_p", "_x", "_y", "_e", d.alias("_d"))
+    placed = asked.withColumns({"_i0": along_x(F.col("_x")), "_j0": along_y(F.col("_y"))}).withColumn("_c", on_levels)
+    beside = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), up(c) - 1), F.least(F.floor(F.lit(n - 1) / F.col("_c")).cast("int"), up(c) + 1)))
+    met = placed.withColumn("_i", beside("_i0", nx)).withColumn("_j", beside("_j0", ny)).join(spread(few), ["_c", "_i", "_j"]).select("_p", "_x", "_y", "_e", d.alias("_d"))
     found = F.array_sort(F.collect_set(F.struct("_d", "_e")))  # some 9 k a level at most
     bound = met.groupBy("_p", "_x", "_y").agg(found.alias("_f")).select("_p", "_x", "_y", (F.element_at("_f", F.least(F.lit(k), F.size("_f")))["_d"] * (1 + 1e-9) + 1e-300).alias("_u"))
 
-    ends = {"_i1": inside((F.col("_x") - F.col("_u") - left) / sx), "_i2": inside((F.col("_x") + F.col("_u") - left) / sx), "_j1": inside((F.col("_y") - F.col("_u") - bottom) / sy), "_j2": inside((F.col("_y") + F.col("_u") - bottom) / sy)}
+    ends = {"_i1": along_x(F.col("_x") - F.col("_u")), "_i2": along_x(F.col("_x") + F.col("_u")), "_j1": along_y(F.col("_y") - F.col("_u")), "_j2": along_y(F.col("_y") + F.col("_u"))}
     width = lambda a, b, c: F.floor(F.col(b) / c) - F.floor(F.col(a) / c) + 1
     finest = F.coalesce(*(F.when(width("_i1", "_i2", c) * width("_j1", "_j2", c) <= MOST_BINS, F.lit(c)) for c in levels), F.lit(levels[-1]))
     circles = bound.withColumns(ends).withColumn("_c", finest)
     circles = circles.withColumn("_i", F.explode(F.sequence(up("_i1"), up("_i2")))).withColumn("_j", F.explode(F.sequence(up("_j1"), up("_j2"))))
 
-    def off(v: str, at: str, low: float, size: float) -> Column:
+    def off(v: str, at: str, low: float) -> Column:
         """How far a coordinate is from a bin's side, with room for rounding."""
         first = F.col(at) * F.col("_c") * size + low
         return F.greatest(F.lit(0.0), first - F.col(v), F.col(v) - (first + F.col("_c") * size)) * (1 - 1e-9)
 
-    dx, dy = off("_x", "_i", left, sx), off("_y", "_j", bottom, sy)
+    dx, dy = off("_x", "_i", left), off("_y", "_j", bottom)
     touched = circles.where(F.sqrt(dx * dx + dy * dy) <= F.col("_u"))
-    close = touched.join(held, ["_c", "_i", "_j"]).select("_p", "_e", "_u", d.alias("distance")).where(F.col("distance") <= F.col("_u"))
+    close = touched.join(spread(held), ["_c", "_i", "_j"]).select("_p", "_e", "_u", d.alias("distance")).where(F.col("distance") <= F.col("_u"))
     ranked = close.withColumn("rank", F.row_number().over(W.partitionBy("_p").orderBy("distance", "_e"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("_p").alias(point), F.col("_e").alias(element), "distance", "rank")
+    return named.join(spread(ranked), "_p").select(F.col("_point").alias(point), F.col("_e").alias(element), "distance", "rank")
 
 
 def idw_weights(neighbours: DataFrame, *, p: float = 2, radius: float | None = None, point: str = "point") -> DataFrame:
@@ -209,7 +231,7 @@ def idw_weights(neighbours: DataFrame, *, p: float = 2, radius: float | None = N
 
 def apply_weights(df: DataFrame, weights: DataFrame, items: Sequence[str], *, keys: Sequence[str] = ("time",), element: str = "element", point: str = "point") -> DataFrame:
     """Values at points: the weighted sum over the elements of a weights table (point, element, weight)."""
-    joined = df.join(weights.select(point, element, "weight"), element)
+    joined = df.join(spread(weights.select(point, element, "weight")), element)
     return joined.groupBy(*keys, point).agg(*(F.sum(nan.num(i) * F.col("weight")).alias(i) for i in items))
 
 
