@@ -92,14 +92,14 @@ def parse(text: str) -> Iterator[tuple[list[str], list[int], int, str | None, li
 
 
 def parse_documents(docs: DataFrame, *, doc: str = "doc", text: str = "text") -> DataFrame:
-    """The table of all keys of a column of documents; each document is parsed where its row is."""
+    """The table of all keys of a column of documents, which are dealt to all tasks: parsing costs far more than moving a text, and a small file may hold many."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(d, p, n, at, k, [{"kind": a, "text": b} for a, b in v]) for d, t in zip(pdf["doc"], pdf["text"], strict=True) for p, n, at, k, v in parse(t or "")]
             yield pd.DataFrame(out, columns=["doc", "path", "nth", "line", "key", "values"])
 
-    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(rows, SCHEMA)
+    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).repartition("doc").mapInPandas(rows, SCHEMA)
 
 
 def read(spark: SparkSession, path: str, *, encoding: str = "cp1252") -> DataFrame:
@@ -274,15 +274,17 @@ def aliased(table: DataFrame) -> DataFrame:
 
     A module is on where MODULE_SELECTION of the same root has mode_of_<module> above 0.
     """
+    from pyspark.sql import Window as W
+
     short = F.create_map(*(F.lit(x) for alias, module in ALIASES.items() for x in (module, alias)))
-    root = F.get("path", F.lit(0))
-    first = table.groupBy("doc").agg(F.min_by(root, "line").alias("root"))
-    modes = table.join(first, "doc").where((F.col("path") == F.array("root", F.lit("MODULE_SELECTION"))) & F.startswith("key", F.lit("mode_of_")) & (value("int") > 0))
-    on = modes.select("doc", "root", F.upper(F.substring("key", 9, 1000)).alias("module")).distinct()
-    at = F.get("path", F.lit(1))
-    rows = table.join(on, (table["doc"] == on["doc"]) & (root == on["root"]) & (at == on["module"])).drop(on["doc"])
+    root, at = F.get("path", F.lit(0)), F.get("path", F.lit(1))
+    document = W.partitionBy("doc")  # one document's lines, so that all lines are read and parsed once
+    rooted = table.where("doc is not null").withColumn("_root", F.min_by(root, "line").over(document))
+    mode = (F.col("path") == F.array("_root", F.lit("MODULE_SELECTION"))) & F.startswith("key", F.lit("mode_of_")) & (value("int") > 0)
+    on = F.collect_set(F.when(mode, F.upper(F.substring("key", 9, 1000)))).over(document)
     rest = lambda c, head: F.concat(F.array(head), F.slice(c, F.lit(3), F.size(c)))
-    return rows.where(short[F.col("module")].isNotNull()).select("doc", rest("path", short[F.col("module")]).alias("path"), rest("nth", F.get("nth", F.lit(1))).alias("nth"), "line", "key", "values")
+    rows = rooted.withColumn("_on", on).where((root == F.col("_root")) & F.array_contains("_on", at) & short[at].isNotNull())
+    return rows.select("doc", rest("path", short[at]).alias("path"), rest("nth", F.get("nth", F.lit(1))).alias("nth"), "line", "key", "values")
 
 
 def first_of_repeated(table: DataFrame) -> DataFrame:

@@ -57,3 +57,8 @@ def test_one_layer_of_a_long_mesh(spark, tmp_path):
     spark.range(100_000, 100_400).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     found = QUERIES["one_layer_is_flat"](spark, str(tmp_path))
     assert found.count() == 4 * 6  # six columns of each of four rows, all beyond y = 1000
+
+
+def test_documents_are_parsed_once(spark):
+    plan = QUERIES["document_aliases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "BroadcastHashJoin" not in plan
