@@ -22,9 +22,12 @@ same lines. Columns of the input may have any names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.joins import spread
 from gridloom.llm.common import broadcast_if_small, drop_stored, fresh, release, stored
 from gridloom.llm.components import components
 from gridloom.llm.near_dedup import row_key
@@ -41,6 +44,8 @@ MOST_BITS_APART = 18
 _BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Hubs that a bucket has in each round.
 HUBS = (2, 8)
+#: Parts of the buckets that are gone through one after the other.
+BUCKET_PARTS = 2
 #: Longs of the parity of a set.
 PARITY_LONGS = 16
 
@@ -51,10 +56,13 @@ def _trimmed(line: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns id, row_key, place (from 0), line (trimmed, in lower case) and class of every line that isn't blank."""
-    rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("line", F.lower(_trimmed(F.col("line")))).where("line != ''")
-    return rows.withColumn("class", F.xxhash64("line"))
+    """Columns id, row_key, place (from 0), line (trimmed, in lower case) and class of every line that isn't blank.
+
+    Lines are trimmed before they are dealt to rows, else Spark would do it again for each use. From an inner posexplode it would infer a filter that splits the text once more.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.lower(_trimmed(x)))
+    rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("row_key"), F.posexplode_outer(lines).alias("place", "line"))
+    return rows.where("line != ''").withColumn("class", F.xxhash64("line"))
 
 
 def _shingle(wide: Column, at: Column, k: int) -> Column:
@@ -103,19 +111,22 @@ def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame
 def candidates(classes: DataFrame) -> DataFrame:
     """Columns bucket and class: the classes of each bucket that have another in it which may be like them, by the bits of their signatures.
 
-    The join looks for one such class only, so no pairs come out of it.
+    The join looks for one such class only, so no pairs come out of it. Both of its sides are one exchange: buckets move once, at any size of the input. They
+    are taken in ``BUCKET_PARTS`` parts, one after the other, so that only the files of one part are on disk at a time.
     """
     exploded = classes.select("class", "bits", F.explode("buckets").alias("bucket"))
-    shared = stored(exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "line-buckets")
-    # A stored table, for else the semi join would be pushed below the join with the shared buckets.
-    members = stored(exploded.join(broadcast_if_small(shared, 16), "bucket").select("bucket", "class", "bits"), "line-shared").alias("a")
     other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.class") != F.col("b.class")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= MOST_BITS_APART)
-    return members.join(members.alias("b"), other, "left_semi").select("bucket", "class")
+    found = []
+    for part in range(BUCKET_PARTS):
+        rows = exploded.where(F.pmod("bucket", F.lit(BUCKET_PARTS)) == part)
+        found.append(stored(rows.alias("a").join(rows.alias("b").hint("shuffle_hash"), other, "left_semi").select("bucket", "class"), "line-candidates"))
+        release(classes.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def described(texts: DataFrame, k: int) -> DataFrame:
     """Columns class, n (size of the shingle set) and p0, p1, ...: bit b of the parity is set if an odd number of shingles fall to it."""
-    shingles = texts.select("class", F.explode(shingle_set("line", k)).alias("h"))
+    shingles = texts.select("class", F.explode_outer(shingle_set("line", k)).alias("h"))
     at = shingles.select("class", F.pmod(F.shiftright("h", 6), F.lit(PARITY_LONGS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     return at.groupBy("class").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0))).alias(f"p{j}") for j in range(PARITY_LONGS)))
 
@@ -202,7 +213,7 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     lines = split_lines(docs, key, text)
     classes = stored(signed_classes(lines, k, bands, rows), "line-classes")
     release(docs.sparkSession)
-    members = stored(candidates(classes), "line-candidates")
+    members = candidates(classes)
     release(docs.sparkSession, classes)
     wanted = broadcast_if_small(stored(members.select("class").distinct(), "line-wanted"), 16)
     texts = stored(lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "line-texts")
@@ -225,8 +236,8 @@ def with_kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     by_row = found.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("place", "of_id", "of_place"))).alias(gone))
     by_row = stored(by_row, "repeated-lines")
     at = fresh("row_key", docs.columns, [kept, gone])
-    by_row = broadcast_if_small(by_row, F.lit(64) + 24 * F.size(gone)).withColumnRenamed("row_key", at)
-    joined = docs.withColumn(at, row_key(key, text)).join(by_row, at, "left")
+    # Both grow with the input, so texts move once at any size of it.
+    joined = docs.withColumn(at, row_key(key, text)).join(spread(by_row.withColumnRenamed("row_key", at)), at, "left")
     places = F.transform(gone, lambda x: x["place"])
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i))
     return joined.withColumn(kept, F.when(F.col(gone).isNotNull(), left)).drop(at)

@@ -138,3 +138,28 @@ def test_planted_pairs_are_found(spark):
     gone = {(r.doc_id, g.of_id) for r in line_dedup.with_kept_lines(docs).where("gone is not null").collect() for g in r.gone}
     found = sum((2 * i + 1, 2 * i) in gone for i in range(len(pairs)))
     assert found >= 0.99 * len(pairs) and len(gone) == found
+
+
+def test_buckets_move_once_whatever_their_number(spark, tmp_path, monkeypatch):
+    pick, plans = random.Random(3), []
+    rows = [(i, pick.choice((0, 0b1011, -1)), [pick.randrange(60) for _ in range(3)]) for i in range(80)]
+    spark.createDataFrame(rows, "class long, bits long, buckets array<long>").write.parquet(str(tmp_path / "classes"))
+    classes = spark.read.parquet(str(tmp_path / "classes"))
+
+    def collected(df, name):
+        out = spark.createDataFrame(df.collect(), df.schema)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", collected)
+    near = lambda a, b: a[0] != b[0] and (a[1] ^ b[1] & 2**64 - 1) % 2**64 in (0, 0b1011)
+    want = {(x, a[0]) for a in rows for x in a[2] for b in rows if near(a, b) and x in b[2]}
+    assert {tuple(r) for r in line_dedup.candidates(classes).select("bucket", "class").collect()} == want
+    assert all(p.count("- Exchange hashpartitioning(bucket") == 1 and p.count("ReusedExchange") == 1 for p in plans), plans[0]
+
+
+def test_texts_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "A line\n \nb"), (2, None), (3, "")], "doc_id long, text string")
+    lines = line_dedup.split_lines(docs, "doc_id", "text")
+    assert sorted((r.id, r.place, r.line) for r in lines.collect()) == [(1, 0, "a line"), (1, 2, "b")]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
