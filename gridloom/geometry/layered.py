@@ -12,6 +12,7 @@ from gridloom.functions.joins import spread
 from gridloom.geometry.base import Geometry0D, OutsideDomainError, Point3D
 from gridloom.geometry.mesh import TableMesh, centroids
 from gridloom.operators import layered, mesh
+from gridloom.sources.shared import stored
 
 
 @dataclass(frozen=True, eq=False)
@@ -32,8 +33,8 @@ class LayeredMesh:
 
     @classmethod
     def of(cls, nodes: DataFrame, elements: DataFrame, projection: str = "LONG/LAT", *, is_profile: bool = False) -> LayeredMesh:
-        """Columns and layers are found by the connectivity."""
-        found = layered.columns_of(elements)
+        """Columns and layers are found by the connectivity, once: the table is stored, as every selection joins it several times."""
+        found = stored(layered.columns_of(elements), "layers")
         n = (found.agg(F.max("layer")).first()[0] or 0) + 1
         return cls(nodes, elements, layered.aligned(found, n), n, projection, is_profile)
 

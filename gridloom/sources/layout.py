@@ -27,6 +27,7 @@ from gridloom.geometry.mesh import TableMesh, centroids
 from gridloom.geometry.tiles import Tiling
 from gridloom.items import Item, ItemsError
 from gridloom.operators.select import match_items
+from gridloom.sources.shared import stored
 
 #: How the partition column is made of the time.
 PERIODS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -63,6 +64,7 @@ def _tiled(frame: Frame, levels: int) -> tuple[DataFrame, Tiling, DataFrame | No
     spark, g = frame.df.sparkSession, frame.geometry
     places = _places(g, spark)
     if places is not None:
+        places = stored(places, "places")  # read for the box, the rows and the geometry beside them
         e = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
         tiling = Tiling(*(float(v or 0) for v in e), levels)
         keyed = places.withColumn("_key", tiling.key(F.col("x"), F.col("y")))

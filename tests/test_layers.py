@@ -227,3 +227,13 @@ def test_neighbours_equal_brute_force(spark):
         got = interpolate.nearest(df(asked, "point"), df(elements, "element"), k).collect()
         assert {(r["point"], r["element"], r["rank"]) for r in got} == want and len(got) == len(want)
     assert interpolate.nearest(df(asked, "point"), df(at[:0], "element"), 2).collect() == []
+
+
+def test_columns_and_places_are_worked_out_once(spark):
+    """Both are read several times by whoever writes tiles or selects."""
+    from gridloom.queries import layers as layer_queries
+
+    f = layer_queries._values(spark, "/root/testdata/sf0.001")
+    places = layout._tiled(f, 2)[2]
+    assert all("/layers-" in x for x in f.geometry.layers.inputFiles())
+    assert all("/places-" in x for x in places.inputFiles()) and places.count() == f.geometry.elements.count()
