@@ -22,6 +22,7 @@ same lines. Columns of the input may have any names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,23 +61,51 @@ def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Lines are trimmed before they are dealt to rows, else Spark would do it again for each use. From an inner posexplode it would infer a filter that splits the text once more.
     """
-    lines = F.transform(F.split(text, "\n"), lambda x: F.lower(_trimmed(x)))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.lower(F.when(_has_plain_ends(x), x).otherwise(_trimmed(x))))
     rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("row_key"), F.posexplode_outer(lines).alias("place", "line"))
     return rows.where("line != ''").withColumn("class", F.xxhash64("line"))
 
 
+def _has_plain_ends(line: Column) -> Column:
+    """Whether a line begins and ends with visible ASCII, so that there is nothing to trim. Trimming a set of characters looks at every byte of a line."""
+    last = F.substring(line.cast("binary"), -1, 1)
+    return F.ascii(line).between(0x21, 0x7E) & last.between(F.lit(b"\x21"), F.lit(b"\x7e"))
+
+
 def _shingle(wide: Column, at: Column, k: int) -> Column:
     """The hash of the ``k`` characters from byte ``at`` of UTF-16 text."""
     return F.xxhash64(F.substring(wide, at, F.lit(2 * k)))
 
 
-def shingle_set(line: Column | str, k: int) -> Column:
-    """The distinct shingles of a line. The wide text is bound to a variable, else it would be made anew for each shingle."""
-    places = lambda wide: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(wide) - 2 * k + 1), F.lit(2))
-    of = lambda wide: F.array_distinct(F.transform(places(wide), lambda i: _shingle(wide, i, k)))
+def _places(wide: Column, k: int) -> Column:
+    """The bytes of UTF-16 text where its shingles begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(wide) - 2 * k + 1), F.lit(2))
+
+
+def _of_wide(line: Column | str, of: Callable[[Column], Column]) -> Column:
+    """``of`` the line in UTF-16. The wide text is bound to a variable, else it would be made anew for each shingle."""
     return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
+def shingle_hashes(line: Column | str, k: int) -> Column:
+    """The shingles of a line, repeated ones too."""
+    return _of_wide(line, lambda wide: F.transform(_places(wide, k), lambda i: _shingle(wide, i, k)))
+
+
+def shingle_set(line: Column | str, k: int) -> Column:
+    """The distinct shingles of a line."""
+    return _of_wide(line, lambda wide: F.array_distinct(F.transform(_places(wide, k), lambda i: _shingle(wide, i, k))))
+
+
+def _distinct(texts: DataFrame, k: int) -> DataFrame:
+    """Columns class and h: each shingle of a line once.
+
+    A row's own longs are sorted, which takes no hash table and no boxed numbers. A filter that Spark infers from an inner explode would work them out once more.
+    """
+    dealt = texts.select("class", F.sort_array(shingle_hashes("line", k)).alias("all")).select("class", "all", F.posexplode_outer("all").alias("at", "h"))
+    return dealt.where((F.col("at") == 0) | (F.col("h") != F.get("all", F.col("at") - 1))).select("class", "h")
+
+
 def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """Columns class, bits (64 of the signature) and buckets (one for each band that isn't empty), one row for each class.
 
@@ -126,8 +155,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def described(texts: DataFrame, k: int) -> DataFrame:
     """Columns class, n (size of the shingle set) and p0, p1, ...: bit b of the parity is set if an odd number of shingles fall to it."""
-    shingles = texts.select("class", F.explode_outer(shingle_set("line", k)).alias("h"))
-    at = shingles.select("class", F.pmod(F.shiftright("h", 6), F.lit(PARITY_LONGS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    at = _distinct(texts, k).select("class", F.pmod(F.shiftright("h", 6), F.lit(PARITY_LONGS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     return at.groupBy("class").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0))).alias(f"p{j}") for j in range(PARITY_LONGS)))
 
 
@@ -215,12 +243,14 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     release(docs.sparkSession)
     members = candidates(classes)
     release(docs.sparkSession, classes)
-    wanted = broadcast_if_small(stored(members.select("class").distinct(), "line-wanted"), 16)
-    texts = stored(lines.select("class", "line").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "line-texts")
+    wanted = broadcast_if_small(stored(members.select("class").distinct(), "line-wanted"), 16).withColumn("wanted", F.lit(True))
+    # One pass over the texts gives the places of all lines and what the candidates say.
+    places = stored(lines.join(wanted, "class", "left").select("id", "row_key", "place", "class", F.when(F.col("wanted"), F.col("line")).alias("line")), "line-candidates-placed")
+    texts = stored(places.where("line is not null").select("class", "line").dropDuplicates(["class"]), "line-texts")
     roots = linked_classes(members, texts, k, percent)
-    places = lines.select("id", "row_key", "place", "class")
-    labelled = places.join(broadcast_if_small(roots, 24).withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
+    labelled = places.drop("line").join(broadcast_if_small(roots, 24).withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
     labelled = stored(labelled.select("id", "row_key", "place", "group"), "line-places")
+    release(docs.sparkSession, places)
     first = labelled.groupBy("group").agg(F.min(F.struct("id", "row_key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = labelled.join(first, "group").where(~F.struct("id", "row_key", "place").eqNullSafe(F.col("first")))
     return gone.select("row_key", "place", F.col("first.id").alias("of_id"), F.col("first.place").alias("of_place")).distinct()

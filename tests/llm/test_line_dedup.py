@@ -163,3 +163,40 @@ def test_texts_are_split_once(spark):
     lines = line_dedup.split_lines(docs, "doc_id", "text")
     assert sorted((r.id, r.place, r.line) for r in lines.collect()) == [(1, 0, "a line"), (1, 2, "b")]
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_two_passes_over_the_texts(spark, monkeypatch):
+    """One for the classes, one for the places of lines and what candidates say; what follows reads stored tables."""
+    line = "a line of more than fifty characters that is nearly the same in two documents"
+    docs, plans, stored = spark.createDataFrame([(1, f"{line}\nother"), (2, f"{line}s\nanother")], "doc_id long, text string"), [], line_dedup.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    assert [(r.place, r.of_id, r.of_place) for r in line_dedup.repeated_lines(docs).collect()] == [(0, 1, 0)]
+    assert sum("split(text" in p for p in plans) == 2
+
+
+def test_lines_with_plain_ends_are_not_trimmed(spark):
+    """Blanks of every kind go from both ends; a trim, which looks at every byte, is met only where an end isn't visible ASCII."""
+    ends = [*line_dedup._BLANKS, "", "x", "~", "!", "\x7f", "\x00", "\u00e9", "\u3002", "\U0001f600"]
+    texts = [f"{a}Mid dle{b}" for a in ends for b in ends if "\n" not in (a, b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.split_lines(docs, "doc_id", "text")
+    assert {r.id: r.line for r in lines.collect()} == {i: x.strip().lower() for i, x in enumerate(texts)}
+    assert "CASE WHEN" in lines._jdf.queryExecution().optimizedPlan().toString().split("trim(")[0]
+
+
+def test_sizes_and_parities_of_sets(spark):
+    """Of the distinct shingles: those that repeat in a line count once."""
+    texts = ["abc def abc def abc def", "-" * 300, "ab", "\u4f60\u597d, \U0001f600 x" * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "class long, line string")
+    got = {r["class"]: r for r in line_dedup.described(rows, 5).collect()}
+    for r in rows.select("class", line_dedup.shingle_set("line", 5).alias("of")).collect():
+        want = [0] * line_dedup.PARITY_LONGS
+        for h in r.of:
+            want[(h >> 6) % line_dedup.PARITY_LONGS] ^= 1 << (h & 63)
+        assert got[r["class"]].n == len(r.of) == len(set(r.of))
+        assert [got[r["class"]][f"p{j}"] % 2**64 for j in range(line_dedup.PARITY_LONGS)] == want
