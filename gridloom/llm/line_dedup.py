@@ -11,10 +11,10 @@ stands for itself there, and a component is the least of what falls to it. Lines
 only where earlier ones left a component empty, so lines of different lengths stay comparable. A line whose few distinct
 shingles repeat many times has fewer components filled and is found by the bands that are.
 
-Candidates are never listed as pairs of a bucket. Every class is first verified against the likeliest of a few hubs of its buckets,
-twice, and the links found so far are put together by union-find. What is still apart within a bucket is then joined on a bound that the
-sizes and 1024-bit parities of two sets give: sets whose parities differ in d bits differ in at least d shingles, so only
-pairs that may be similar enough leave that join, and all of them are verified.
+Candidates are never listed as pairs of a bucket. Every class is first verified against the least class of most of its buckets, then, if it
+is still apart from others of a large bucket, against the likeliest of a few hubs, and the links found so far are put together by union-find.
+What is still apart within a bucket is then joined on a bound that the sizes and 1024-bit parities of two sets give: sets whose parities
+differ in d bits differ in at least d shingles, so only pairs that may be similar enough leave that join, and all of them are verified.
 
 Null and empty texts have no lines. Rows with the same id and text count as one document, so they keep the
 same lines. Columns of the input may have any names.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.joins import spread
-from gridloom.llm.common import broadcast_if_small, drop_stored, fresh, release, stored
+from gridloom.llm.common import broadcast_if_small, drop_stored, fresh, release, setting, stored
 from gridloom.llm.components import components
 from gridloom.llm.near_dedup import row_key
 
@@ -43,10 +43,14 @@ DRAWS = 256
 MOST_BITS_APART = 18
 #: Characters that count as blank at the ends of a line: those that Unicode calls white space.
 _BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Hubs that a bucket has in each round.
-HUBS = (2, 8)
+#: Hubs of a bucket. Buckets of at most so many classes have none: their pairs are few.
+HUBS, SMALL_BUCKET = 8, 8
 #: Parts of the buckets that are gone through one after the other.
 BUCKET_PARTS = 2
+#: Stands for the value of an empty component; its lowest bit is 0.
+NONE = 2**62
+#: Draws are gathered in maps of at most 2 to this power of groups, of 16 for each class. Beyond them (Spark's own bound is 16) gathering takes longer; one page of memory bounds them too.
+MAP_BITS = ("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20")
 #: Longs of the parity of a set.
 PARITY_LONGS = 16
 
@@ -122,11 +126,12 @@ def signed_classes(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame
     component = F.shiftright(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) * (bands * rows), 31).cast("int")
     placed = hashed.select("class", component.alias("component"), (F.shiftleft(F.col("turn").cast("long"), 31) + F.shiftrightunsigned("h", 33)).alias("value"))
     dealt = placed.select("class", (F.col("component") % bands).alias("band"), F.expr(f"cast(component div {bands} as int)").alias("row"), "value")
-    least = dealt.groupBy("class", "band").agg(*(F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"m{r}") for r in range(rows)))
-    filled = [F.coalesce(F.col(f"m{r}"), F.lit(-1)) for r in range(rows)]
+    # A number above all values stands for none: nulls would be asked for at each draw.
+    least = dealt.groupBy("class", "band").agg(*(F.min(F.when(F.col("row") == r, F.col("value")).otherwise(F.lit(NONE))).alias(f"m{r}") for r in range(rows)))
+    filled = [F.col(f"m{r}") for r in range(rows)]
     # Bits that have no place in the 64 are shifted out by none being taken.
     place = lambda r: F.col("band") * rows + r
-    bits = [F.when(place(r) < 64, F.expr(f"shiftleft(cast(coalesce(m{r}, 0) & 1 as bigint), cast(band * {rows} + {r} as int))")).otherwise(F.lit(0)) for r in range(rows)]
+    bits = [F.when(place(r) < 64, F.expr(f"shiftleft(m{r} & 1, cast(band * {rows} + {r} as int))")).otherwise(F.lit(0)) for r in range(rows)]
     some = bits[0]
     for b in bits[1:]:
         some = some.bitwiseOR(b)
@@ -178,17 +183,20 @@ def _possible(percent: int) -> Column:
     return (F.col("root_a") != F.col("root_b")) & sizes & (_apart() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
-def _hub_pairs(members: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each class the pair with the hub of its buckets whose parity is nearest.
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """For each class the pair with the least class of most of its buckets. No set is looked at for it."""
+    hubs = members.groupBy("bucket").agg(F.min("class").alias("hub"))
+    met = members.join(hubs, "bucket").where("class != hub").groupBy("class", "hub").agg(F.count("*").alias("n"))
+    # The least class of a bucket is less than the others, so no pair comes twice.
+    return met.groupBy("class").agg(F.max_by("hub", "n").alias("a")).select("a", F.col("class").alias("b"))
 
-    The hubs of a bucket are classes of its largest component, drawn by a hash; at first, of all its classes.
-    """
-    group = F.lit(0) if turn == 0 else F.col("root")
-    drawn = [F.max_by("class", F.xxhash64(F.lit(turn), F.lit(i), "class")) for i in range(HUBS[turn])]
-    groups = members.groupBy("bucket", group.alias("group")).agg(F.count("*").alias("size"), F.array(*drawn).alias("hubs"))
-    largest = groups.groupBy("bucket").agg(F.max(F.struct("size", "group", "hubs")).alias("of"))
-    root = F.col("class") if turn == 0 else F.col("group")
-    hubs = largest.select("bucket", "of.group", F.explode(F.array_distinct("of.hubs")).alias("class")).withColumn("root", root)
+
+def _hub_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each class the pair with the hub of its buckets whose parity is nearest. The hubs of a bucket are classes of its largest component, drawn by a hash."""
+    drawn = [F.max_by("class", F.xxhash64(F.lit(i), "class")) for i in range(HUBS)]
+    groups = members.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.array(*drawn).alias("hubs"))
+    largest = groups.groupBy("bucket").agg(F.max(F.struct("size", "root", "hubs")).alias("of"))
+    hubs = largest.select("bucket", "of.root", F.explode(F.array_distinct("of.hubs")).alias("class"))
     hubs = _side(hubs.join(sets, "class"), "b")
     pairs = _side(members, "a").join(hubs, "bucket").where(_possible(percent))
     best = pairs.groupBy("a").agg(F.min_by("b", _apart() / (F.col("n_a") + F.col("n_b"))).alias("b"))
@@ -211,26 +219,37 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """Those of the pairs (a, b) of classes whose exact sets are similar enough; ``texts`` has class and line."""
     side = lambda e: texts.select(F.col("class").alias(e), F.col("line").alias(f"of_{e}"))
     two = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Lambda variables hold each set and the size of the intersection, so that they are worked out once a pair.
-    sets = F.array(F.struct(shingle_set("of_a", k).alias("a"), shingle_set("of_b", k).alias("b")))
-    alike = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda both: both * 100 >= (F.size(s["a"]) + F.size(s["b"]) - both) * percent)
-    return two.where(F.exists(sets, alike)).select("a", "b")
+    # Shingles are dealt to a row before they are compared, so that they are worked out once a pair and sets are compiled ones of longs.
+    dealt = two.select("a", "b", F.explode_outer(F.array(F.struct(shingle_hashes("of_a", k).alias("a"), shingle_hashes("of_b", k).alias("b")))).alias("of"))
+    return dealt.where(F.size(F.array_intersect("of.a", "of.b")) * 100 >= F.size(F.array_union("of.a", "of.b")) * percent).select("a", "b")
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Columns node and root of all classes with a link. ``members``: bucket and class; ``texts``: class and line; both stored."""
-    sets = stored(described(texts, k), "line-sets")
-    left = stored(members.join(sets, "class").withColumn("root", F.col("class")), "line-members")
-    found, roots = None, None
-    for turn in range(len(HUBS) + 1):
-        if turn:
-            before, left = left, _still_apart(left, roots)
-            drop_stored(before)
-        pairs = _hub_pairs(left, sets, turn, percent) if turn < len(HUBS) else _pairs_left(left, percent)
+    """Columns node and root of all classes with a link. ``members``: bucket and class; ``texts``: class and line; both stored.
+
+    Sizes and parities are worked out for those classes only that the first links leave apart from others of their buckets.
+    """
+    found = stored(verified(_first_pairs(members), texts, k, percent), "line-links")
+    roots = stored(components(found), "line-roots")
+    apart = _still_apart(members, roots)
+    sets = stored(described(texts.join(spread(apart.select("class").distinct()), "class", "left_semi"), k), "line-sets")
+    left = stored(apart.join(sets, "class"), "line-members")
+    release(members.sparkSession, apart)
+    large = stored(left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("bucket"), "line-large")
+    for of_hubs in (True, False):
+        if of_hubs:
+            if large.isEmpty():
+                continue
+            pairs = _hub_pairs(left.join(broadcast_if_small(large, 16), "bucket", "left_semi"), sets, percent)
+        else:
+            pairs = _pairs_left(left, percent)
         new = stored(verified(pairs, texts, k, percent), "line-links")
-        if roots is None or not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
+        if not new.isEmpty():
+            found = found.unionByName(new)
             roots = stored(components(found), "line-roots")
+            if of_hubs:
+                before, left = left, _still_apart(left, roots)
+                drop_stored(before)
         release(members.sparkSession)
     release(members.sparkSession, left, sets)
     return roots
@@ -239,7 +258,8 @@ def linked_classes(members: DataFrame, texts: DataFrame, k: int, percent: int) -
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE_CHARS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The lines that go: columns row_key, place, and of_id and of_place of the line that stays for them, once for each document."""
     lines = split_lines(docs, key, text)
-    classes = stored(signed_classes(lines, k, bands, rows), "line-classes")
+    with setting(docs.sparkSession, *MAP_BITS):
+        classes = stored(signed_classes(lines, k, bands, rows), "line-classes")
     release(docs.sparkSession)
     members = candidates(classes)
     release(docs.sparkSession, classes)

@@ -200,3 +200,38 @@ def test_sizes_and_parities_of_sets(spark):
             want[(h >> 6) % line_dedup.PARITY_LONGS] ^= 1 << (h & 63)
         assert got[r["class"]].n == len(r.of) == len(set(r.of))
         assert [got[r["class"]][f"p{j}"] % 2**64 for j in range(line_dedup.PARITY_LONGS)] == want
+
+
+def test_sets_are_described_only_for_what_first_links_leave_apart(spark, monkeypatch):
+    """Near copies that their first pairs connect need no sizes and parities; those of a large bucket that stay apart do."""
+    rng, rows = random.Random(2), []
+    for i in range(20):
+        line = "".join(rng.choice("abcdefghij klmnopq") for _ in range(120)).strip()
+        rows += [f"{line}{end}" for end in ("", "!")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    seen, described = [], line_dedup.described
+
+    def noted(texts, k):
+        seen.append(texts.count())
+        return described(texts, k)
+
+    monkeypatch.setattr(line_dedup, "described", noted)
+    assert line_dedup.repeated_lines(docs).count() == 20
+    assert seen == [0]
+
+
+def test_verified_pairs_are_those_of_exact_sets(spark):
+    """At 80 of 100 exactly and next to it, with shingles that repeat and lines of less than a shingle; the map of draws has its old bound afterwards."""
+    lines = ["abcdefghijklm", "abcdefghijkl", "abcdefghijklmno", "abcdeabcdeabcdeabcdeabcde", "abcdeabcdeabcde", "abc", "abcd", "你好\U0001f600 abc", "你好\U0001f600 abcd"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "class long, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines))], "a long, b long")
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if 100 * len((x := shingles16(lines[i])) & (y := shingles16(lines[j]))) >= 80 * len(x | y)}
+    assert {tuple(r) for r in line_dedup.verified(pairs, texts, 5, 80).collect()} == want and (0, 2) in want
+    before = spark.conf.get(line_dedup.MAP_BITS[0])
+    assert line_dedup.repeated_lines(texts.withColumnsRenamed({"class": "doc_id", "line": "text"})).count() and spark.conf.get(line_dedup.MAP_BITS[0]) == before
+
+
+def shingles16(line, k=line_dedup.SHINGLE_CHARS):
+    """Shingles of a line's UTF-16 units, as Spark's are."""
+    wide = line.encode("utf-16-be")
+    return {wide[i : i + 2 * k] for i in range(0, max(1, len(wide) - 2 * k + 1), 2)}
